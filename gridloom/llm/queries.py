@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_store
+from . import bpe, mixing, token_store
 from .common import new_path, table, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,9 +42,16 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).mapInArrow(_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op8_token_store": op8_token_store,
+    "op9_mixing": op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_mixing": mixing.SQL,
+}
