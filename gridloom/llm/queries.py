@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, substring, token_store
+from . import bpe, fingerprints, mixing, near_dup, substring, token_store
 from .common import new_path, table, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
@@ -54,12 +54,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_substring": op6_substring,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
+    "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {
