@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, near_dup, substring, token_store
+from . import bpe, fingerprints, line_dedup, mixing, near_dup, substring, token_store
 from .common import new_path, table, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def _crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], [*batch.schema.names[:3], "ids_crc32"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -60,6 +65,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op6_substring": op6_substring,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_store": op8_token_store,
