@@ -158,3 +158,21 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
 
     return features.mapInArrow(scored, out).select("doc_id", *keys, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose score is at least ``ACCEPT``, as they are.
+
+    Statistics are computed twice, once to learn and once to decide, so texts neither move nor are written.
+    """
+    model = fit(document_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "_t"), labels)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                texts = rows.column(rows.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+                x = np.array([statistics(t or b"") for t in texts], np.float32)
+                yield rows.filter(pa.array(model.score(x) >= ACCEPT if model is not None else np.ones(len(x), bool)))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -98,8 +98,8 @@ def top_k(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, vec
 
 SQL = """
 with v as (
-  select vec_id, list_transform(min(embedding), x -> floor(64 * x::double)) as v from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(min(embedding), lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
   group by vec_id
 ), scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
