@@ -13,7 +13,9 @@ empty table gives an empty table.  Output columns replace input columns of the s
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,9 +32,41 @@ SPLIT_CHARS = 1 << 18
 #: First reach of the window on each side of a join.
 WINDOW_CHARS = 64
 #: Words whose ids a Python worker remembers at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+#: Rows of an Arrow batch that are worked on at a time.
+ROWS_AT_ONCE = 500
 #: Characters of text that are turned into words at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+
+
+#: The one kind of tokenizer whose normalising and splitting are known well enough to do them on bytes.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+_SPACE, _UPPER, _LOWER = b" \t\n\r\x0b\x0c", bytes(range(65, 91)), bytes(range(97, 123))
+_LATIN = bytes(range(0x80, 0xC0)) + b"\xc3"  # bytes of Latin-1 letters
+#: Each byte's kind: letter or digit a, space, stop or comma ".", other punctuation !, anything else X.
+KINDS = bytes(
+    ord("a") if bytes([b]).isalnum() or b in _LATIN else ord(" ") if b in _SPACE else ord(".") if b in b".," else ord("!") if 33 <= b <= 126 else ord("X") for b in range(256)
+)
+#: Bytes of lower-case letters up to U+00FF.
+LOWER = _LOWER + b"\xc3\x9f" + bytes(b for b in range(0xA0, 0xC0) if b != 0xB7)
+
+
+PIECES = re.compile(rb"[a-z\x80-\xbf\xc3]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def simple_split(text: bytes) -> list[bytes] | None:
+    """The lower-case words, digits and runs of punctuation of a text that is Latin-1 letters and ASCII.
+
+    None where splitting takes more: other characters, added tokens, apostrophes beside other punctuation.
+    """
+    kinds = text.translate(KINDS)
+    if b"X" in kinds or b"<|" in text or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return None
+    if not (b".." in kinds or b".!" in kinds or b"!." in kinds):  # stops and commas stand alone
+        return text.lower().replace(b".", b" . ").replace(b",", b" , ").split()
+    return PIECES.findall(text.lower()) if b"'" not in text else None
 
 
 class Words(dict):
@@ -74,16 +108,32 @@ class Piece:
         return list(zip(self.places.tolist(), self.ids.tolist(), strict=True))
 
 
+def load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class Encoder:
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, cached_words: int = CACHED_WORDS) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = load(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leaf_chars, self.cached_words = leaf_chars, cached_words
+        made = json.loads(self.tokenizer.to_str())
+        normal, split, suffix = made["normalizer"] or {}, (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0], made["model"].get("end_of_word_suffix")
+        self.simple = bool(suffix) and [x["type"] for x in normal.get("normalizers", [])] == KNOWN_NORMALIZERS and split.get("pattern") == {"Regex": KNOWN_SPLIT}
+        if self.simple:
+            made["normalizer"] = None
+            self.lower = Tokenizer.from_str(json.dumps(made))
+            self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.last[i] = token.endswith(suffix)
         self.forget()
 
     def forget(self) -> None:
@@ -146,15 +196,28 @@ class Encoder:
         return self.tree(text, [self.piece(text, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], cuts).ids
 
     def learn(self) -> None:
-        """Finds the ids of new words: short ones many at a time, told apart by their places."""
-        new, counts, parts = self.words.new, np.zeros(len(self.words.new), np.int64), []
-        self.words.new = []
-        texts = [w.decode() for w in new]
+        """Finds the ids of new words, short ones many at a time.
+
+        Words of lower-case letters are told apart by the tokens that end words, others by their places.
+        """
+        new, self.words.new = self.words.new, []
+        counts, order, parts = np.zeros(len(new), np.int64), [], []
+        simple = [i for i, w in enumerate(new) if self.simple and len(w) <= 512 and not w.translate(None, LOWER)]
+        other = np.ones(len(new), bool)
+        other[simple] = False
+        lots = [simple[at : at + 1000] for at in range(0, len(simple), 1000)]
+        joined = [b" ".join([new[i] for i in lot]).decode() for lot in lots]
+        for lot, e in zip(lots, self.lower.encode_batch_fast(joined, add_special_tokens=False), strict=True):  # without places
+            parts.append(np.asarray(e.ids, np.uint32))
+            counts[lot] = np.diff(np.flatnonzero(self.last[parts[-1]]), prepend=-1)
+            order += lot
+        rest = np.flatnonzero(other).tolist()
+        texts = [new[i].decode() for i in rest]
         at = 0
         while at < len(texts):
             if len(texts[at]) > 512:
                 parts.append(self.unbroken(texts[at]))
-                counts[at] = len(parts[-1])
+                counts[rest[at]] = len(parts[-1])
                 at += 1
                 continue
             to = at
@@ -163,17 +226,24 @@ class Encoder:
             e = self.tokenizer.encode("\n".join(texts[at:to]), add_special_tokens=False)
             begins = np.cumsum([0] + [len(x) + 1 for x in texts[at : to - 1]])
             places = np.fromiter((x[0] for x in e.offsets), np.int64, len(e.ids))
-            counts[at:to] = np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=to - at)
+            counts[rest[at:to]] = np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=to - at)
             parts.append(np.asarray(e.ids, np.uint32))
             at = to
+        order += rest
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
-        self.length = np.concatenate([self.length, counts])
+        start, n = np.empty(len(new), np.int64), counts[order]
+        start[order] = self.used + np.cumsum(n) - n
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, counts])
         self.used += len(ids)
 
+    def split(self, text: bytes) -> list[bytes]:
+        """On ASCII white space, or finer where that is simple."""
+        found = simple_split(text) if self.simple else None
+        return text.split() if found is None else found
+
     def encode_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         at = 0
@@ -181,7 +251,7 @@ class Encoder:
             words: list[bytes] = []
             ends, size = [], 0
             while at < len(texts) and (size < CHUNK_CHARS or not ends):
-                words += (texts[at] or b"").split()  # on ASCII white space
+                words += self.split(texts[at] or b"")
                 ends.append(len(words))
                 size += len(texts[at] or b"")
                 at += 1
@@ -200,6 +270,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+_decoders: dict[str, object] = {}
 
 
 def encoder(path: str, leaf_chars: int = LEAF_CHARS) -> Encoder:
@@ -231,8 +302,10 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path, leaf_chars)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            yield _replaced(batch, ids, binary_array([x.astype("<u4").tobytes() for x in e.encode_all(texts)]))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+                yield _replaced(part, ids, binary_array([x.astype("<u4").tobytes() for x in e.encode_all(texts)]))
 
     out = _with(df, ids, T.BinaryType())
     if split_chars is None:
@@ -293,10 +366,10 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str =
     """Adds ``text``: what the tokenizer's own decoding makes of ``ids``, special tokens included."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = encoder(tokenizer_path).tokenizer
+        t = _decoders[tokenizer_path] = _decoders.get(tokenizer_path) or load(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 lists = [np.frombuffer(x or b"", "<u4").tolist() for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield _replaced(part, text, pa.array(t.decode_batch(lists, skip_special_tokens=False), pa.string()))
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +27,6 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], [*batch.schema.names[:3], "ids_crc32"])
-
-
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,7 +65,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "tokens")
     token_store.write_texts(docs, path, tokenizer_path(), end_id=2)
-    return token_store.read_tokens(spark, path).mapInArrow(_crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,9 +108,9 @@ STORE = "shard long, n_docs long, n_tokens long, doc_ids binary, known binary, e
 
 
 def ordered(df: DataFrame, doc_id: str = "doc_id", *then: str) -> DataFrame:
-    """Documents dealt over range partitions and sorted by doc_id within each."""
+    """Documents dealt over range partitions of doc_id and sorted within each; the driver samples doc_ids alone."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, doc_id, *then).sortWithinPartitions(doc_id, *then)
+    return df.repartitionByRange(n, doc_id).sortWithinPartitions(doc_id, *then)
 
 
 def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", end_id: int | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -140,7 +140,14 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "i
             yield close()
 
     rows = df.select(F.col(doc_id).cast("long"), F.col(ids)).mapInArrow(shards, STORE.rpartition(",")[0])
-    rows.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/shards")
+    sizes = df.sparkSession.read.schema(STORE).parquet(f"{path}/shards").groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    # a row per written partition, then a row per shard of a partition: never rows of documents
+    part_start = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")
+    starts = sizes.select("part", "shard", inside.alias("shard_start")).join(part_start, "part")
+    starts.select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("before")).write.parquet(f"{path}/starts")
 
 
 def write_texts(df: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -154,7 +161,9 @@ def write_texts(df: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, ids (binary) of each stored document."""
-    stored = spark.read.schema(STORE).parquet(path)
+    shards = spark.read.schema(STORE).parquet(f"{path}/shards").select("part", "shard", "doc_ids", "known", "ends", "payload")
+    # as a written table, the starts have a size that Spark can hold against its limit for broadcasts
+    starts = spark.read.schema("part int, shard long, before long").parquet(f"{path}/starts")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +171,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 packed, ends = Packed(row["payload"]), np.frombuffer(row["ends"], "<i8")
                 docs, known, begins = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["known"], "<u1"), np.concatenate([[0], ends[:-1]])
                 ids = [packed.slice(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=known == 0), pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int64()), pa.array(begins), pa.array(ends - begins), pa.array(ids, pa.binary())], ["doc_id", "part", "shard", "begin", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=known == 0), pa.array(begins + row["before"]), pa.array(ends - begins), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    read = stored.select("part", "shard", "doc_ids", "known", "ends", "payload").mapInArrow(documents, "doc_id long, part int, shard long, begin long, n_tokens long, ids binary")
-    sizes = stored.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
-    # a row per written partition, then a row per shard of a partition: never rows of documents
-    part_start = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    shard_start = sizes.select("part", "shard", (F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")).alias("shard_start"))
-    starts = shard_start.join(part_start, "part")
-    return read.join(starts, ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("begin")).alias("start"), "n_tokens", "ids")
+    return shards.join(starts, ["part", "shard"]).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

@@ -30,6 +30,15 @@ def test_words_are_exact(texts):
     assert [x.tolist() for x in SMALL.encode_all([t.encode() for t in texts])] == [direct(t) for t in texts]
 
 
+LATIN = ["A", "b", "É", "ß", "ÿ", ".", ",", "1", "×", "÷", "!", "'", "'S", "ing", "Th", " ", "\n", " ", "-", "<|ENDOFTEXT|>", "ō", "J̌", "\x00"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LATIN), max_size=25).map("".join), max_size=4))
+def test_plain_texts_are_exact(texts):
+    assert [x.tolist() for x in SMALL.encode_all([t.encode() for t in texts])] == [direct(t) for t in texts]
+
+
 def test_long_unbroken_run():
     r = random.Random(3)
     text = "".join(r.choice("etaoinshrdlu") for _ in range(30_000))
