@@ -84,36 +84,32 @@ def neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     part, cell = F.lit(0), F.lit(0)
     if bounds:
         array = F.array(*(F.lit(b) for b in bounds))
-        part = F.coalesce(F.size(F.filter(array, lambda b: b < F.col("doc_id"))), F.lit(0))
+        # the number of lesser bounds, without a lambda: plans that hold one are not seen to be equal and would not share an exchange
+        part = F.coalesce(F.array_position(F.sort_array(F.array_append(array, F.col("doc_id"))), F.col("doc_id")) - 1, F.lit(0)).cast("int")
         cells = math.ceil(groups / BOUNDS)
         if cells > 1:  # equal cells between the bounds
             before, after = F.get(array, part - 1), F.get(array, part)
             cell = F.coalesce(F.least(F.floor((F.col("doc_id") - before) * cells / (after - before)), F.lit(cells)), F.lit(0))
     base = base.withColumn("part", part).withColumn("cell", cell.cast("long"))
 
-    own = Window.partitionBy("part", "cell").orderBy("doc_id", "text", "row")
-    laid = base.withColumn("next_row", F.lead("row").over(own)).withColumn("next_text", F.lead("text").over(own)).withColumn("place", F.row_number().over(own))
-    inner = laid.where("next_row is not null")
-    ends = laid.where("next_row is null").drop("next_row", "next_text")
-    firsts = laid.where("place = 1").select("part", "cell", F.col("row").alias("next_row"), F.col("text").alias("next_text"))
-    # a row per group: which group follows
-    used = base.groupBy("part", "cell").agg(F.lit(1).alias("one"))
-    within = Window.partitionBy("part").orderBy("cell")
-    parts = used.groupBy("part").agg(F.min("cell").alias("first_cell"))
+    # a row per group: its first id, and the group before it, which gets a copy of its first document
+    groups = base.groupBy("part", "cell").agg(F.min(F.struct("doc_id")).alias("first"))
+    parts = groups.groupBy("part").agg(F.max("cell").alias("last_cell"))
     over = Window.orderBy("part")
-    parts = parts.withColumn("to_part", F.lead("part").over(over)).withColumn("to_cell", F.lead("first_cell").over(over))
-    head = parts.agg(F.min(F.struct("part", "first_cell")).alias("h")).select("h.part", "h.first_cell")
-    begin = head.withColumnsRenamed({"part": "begin_part", "first_cell": "begin_cell"}).withColumn("one", F.lit(1))
-    follows = used.withColumn("next_cell", F.lead("cell").over(within)).join(parts, "part").join(F.broadcast(begin), "one")
-    follows = follows.select(
-        "part", "cell",
-        F.when(F.col("next_cell").isNotNull(), F.col("part")).otherwise(F.coalesce("to_part", "begin_part")).alias("n_part"),
-        F.coalesce("next_cell", "to_cell", "begin_cell").alias("n_cell"),
+    end = parts.agg(F.max(F.struct("part", "last_cell"))).first()[0] or (0, 0)
+    parts = parts.select("part", F.lag("part").over(over).alias("part_before"), F.lag("last_cell").over(over).alias("last_cell"))
+    groups = groups.withColumn("cell_before", F.lag("cell").over(Window.partitionBy("part").orderBy("cell"))).join(parts, "part")
+    heads = groups.select(
+        F.col("part").alias("own_part"), F.col("cell").alias("own_cell"), F.col("first.doc_id").alias("first_id"),
+        F.when(F.col("cell_before").isNotNull(), F.col("part")).otherwise(F.coalesce("part_before", F.lit(end[0]))).alias("to_part"),
+        F.coalesce("cell_before", "last_cell", F.lit(end[1])).alias("to_cell"),
     )
-    firsts = firsts.withColumnsRenamed({"part": "n_part", "cell": "n_cell"})
-    ends = ends.join(follows, ["part", "cell"]).join(firsts, ["n_part", "n_cell"])
-    names = ["row", "doc_id", "text", "next_row", "next_text"]
-    return inner.select(names).union(ends.select(names))
+    heads = written(heads, "heads")  # of a size that Spark knows
+    firsts = base.join(heads, (F.col("part") == F.col("own_part")) & (F.col("cell") == F.col("own_cell")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    copies = firsts.select("row", "doc_id", "text", F.col("to_part").alias("part"), F.col("to_cell").alias("cell"), F.lit(True).alias("copy"))
+    own = Window.partitionBy("part", "cell").orderBy("copy", "doc_id", "text", "row")
+    laid = base.withColumn("copy", F.lit(False)).union(copies).withColumn("next_row", F.lead("row").over(own)).withColumn("next_text", F.lead("text").over(own))
+    return laid.where("not copy").select("row", "doc_id", "text", "next_row", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:

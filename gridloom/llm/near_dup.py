@@ -36,8 +36,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 #: Signatures this far below the similarity (four standard errors) are not verified.
 SLACK = 0.13
+#: The same (three standard errors) for pairs that no chosen member links.
+LATE_SLACK = 0.1
 BLOCK = 256
 CHUNK_WORDS = 100_000
+#: At most 2**DOC_BITS documents are worked on at once; the rest of 64 bits are a shingle's hash.
+DOC_BITS = 10
+#: Texts of candidate pairs up to this many are found by sending their 16-byte keys to all tasks.
+BROADCAST_TEXTS = 1_000_000
 
 
 def shingles(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,10 +55,10 @@ def shingles(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarra
     document = np.repeat(np.arange(len(lists)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
     hashes = Stretch(words).runs(start, np.repeat(np.minimum(sizes, size), n))
-    order = np.lexsort((hashes, document))
-    document, hashes = document[order], hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (hashes[1:] != hashes[:-1])])) if len(order) else order
-    return document[first], hashes[first], np.diff(np.append(first, len(order)))
+    keys = np.sort((document.astype(np.uint64) << np.uint64(64 - DOC_BITS)) | (hashes >> np.uint64(DOC_BITS)))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    found = keys[first]
+    return (found >> np.uint64(64 - DOC_BITS)).astype(np.int64), found & np.uint64((1 << (64 - DOC_BITS)) - 1), np.diff(np.append(first, len(keys)))
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -88,8 +94,10 @@ def dart_minhash(document: np.ndarray, element: np.ndarray, weight: np.ndarray,
             throw += 1
         d, dart, rank = (np.concatenate(x) for x in zip(*found, strict=True))
         slot = d * k + (dart % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((dart, rank, slot))
-        first = order[np.flatnonzero(np.concatenate([[True], slot[order][1:] != slot[order][:-1]]))] if len(order) else order
+        # slot above, the rank's share of phi below: one sort puts the earliest dart of each slot first
+        packed = (slot.astype(np.uint64) << np.uint64(40)) | (rank / phi[d] * 2.0**40).astype(np.uint64)
+        order = np.argsort(packed)
+        first = order[np.flatnonzero(np.concatenate([[True], np.diff(packed[order] >> np.uint64(40)) != 0]))] if len(order) else order
         full = np.bincount(d[first], minlength=many) == k
         take = first[full[d[first]]]
         out.reshape(-1)[slot[take]] = mixed(dart[take])
@@ -103,11 +111,11 @@ def signatures(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts_, at = batch.column(1), batch.column(2).cast(pa.binary()).to_pylist(), 0
-            while at < len(texts_):
+            keys, at = batch.column(1), 0
+            while at < batch.num_rows:
                 begin, lists, n = at, [], 0
-                while at < len(texts_) and (not lists or n < CHUNK_WORDS):
-                    lists.append((texts_[at] or b"").split())
+                while at < batch.num_rows and (not lists or n < CHUNK_WORDS) and len(lists) < 1 << DOC_BITS:
+                    lists.append((batch.column(2)[at].as_py() or "").encode().split())
                     n += len(lists[-1])
                     at += 1
                 document, element, _ = shingles(lists, shingle)
@@ -161,7 +169,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(true, "a binary, b binary").distinct()
 
 
-def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketches: DataFrame, bands: int, least: float) -> DataFrame:
     """Promising pairs (a, b) of different classes within a bucket, where a is not in the class of the bucket's centre.
 
     Members are dealt into blocks of about ``BLOCK``; a goes to each block of its bucket and is compared there.
@@ -170,22 +178,29 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(group.num_rows, -1)
-        asks, of, c = np.asarray(group.column("asks")), np.asarray(group.column("of").combine_chunks().dictionary_encode().indices), group.column("c")
+        asks, loose, c = np.asarray(group.column("asks")), np.asarray(group.column("loose")), np.array(group.column("c").to_pylist(), "S16")
+        of, band = np.asarray(group.column("of").combine_chunks().dictionary_encode().indices), group.column("band")[0].as_py()
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         a, b = [], []
         for i in left:
-            near = right[(of[right] != of[i]) & ((sketch[right] == sketch[i]).mean(axis=1) >= least)]
-            a += [int(i)] * len(near)
-            b += near.tolist()
-        return pa.table({"a": c.take(pa.array(a, pa.int64())), "b": c.take(pa.array(b, pa.int64()))})
+            once = right[(of[right] != of[i]) & (~loose[right] | (c[right] > c[i]))]  # of two that ask, one
+            equal = sketch[once] == sketch[i]
+            near = equal.mean(axis=1) >= least
+            # only in the first bucket that both are in
+            here = equal[near].reshape(int(near.sum()), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band
+            found = once[near][here]
+            a += [int(i)] * len(found)
+            b += found.tolist()
+        keys = group.column("c")
+        return pa.table({"a": keys.take(pa.array(a, pa.int64())), "b": keys.take(pa.array(b, pa.int64()))})
 
     placed = members.join(classes.withColumnsRenamed({"node": "c"}), "c", "left").withColumn("of", F.coalesce("component", "c"))
     middle = centres.join(classes.select(F.col("node").alias("centre"), F.col("component").alias("centre_of")), "centre", "left")
     placed = placed.join(middle.select("key", "size", F.coalesce("centre_of", "centre").alias("centre_of")), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     loose = placed.where("of <> centre_of")
-    asks = loose.select("key", "c", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    asks = loose.select("key", "band", "c", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.lit(True).alias("loose"))
     open_ = loose.select("key").distinct()
-    rest = placed.join(open_, "key", "left_semi").select("key", "c", "of", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
+    rest = placed.join(open_, "key", "left_semi").select("key", "band", "c", "of", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), (F.col("of") != F.col("centre_of")).alias("loose"))
     rows = asks.union(rest).join(sketches.select("c", "sketch"), "c")
     pairs = rows.groupBy("key", "block").applyInArrow(compare, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -202,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = written(signed.groupBy("c").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sketches")
     sketches = distinct.select("c", "sketch")
 
-    banded = distinct.select(F.explode("bands").alias("key"), "c")
+    banded = distinct.select(F.posexplode("bands").alias("band", "key"), "c")
     crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(crowded, "key"), "members")
     crowd = members.groupBy("c").agg(F.sum("size").alias("crowd"))
@@ -216,7 +231,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = written(verified(likely, _one_each(texts, whole, likely), shingle, similarity), "verified")
 
     classes = components(links)
-    more = written(unlinked(members.select("key", "c"), centres, classes, sketches, similarity - SLACK), "unlinked")
+    more = written(unlinked(members.select("key", "band", "c"), centres, classes, sketches, bands, similarity - LATE_SLACK), "unlinked")
     if more.count():
         links = links.union(written(verified(more, _one_each(texts, whole, more), shingle, similarity), "verified"))
         classes = components(links)
@@ -233,6 +248,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _one_each(texts: DataFrame, whole: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that pairs need, each once: of equal texts the one with the least doc_id is taken."""
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    """The texts that pairs need, each once."""
+    needed = written(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "needed")
+    if needed.count() <= BROADCAST_TEXTS:
+        needed = F.broadcast(needed)
     return written(whole.join(needed, "c", "left_semi").dropDuplicates(["c"]).select("c", "text"), "texts")

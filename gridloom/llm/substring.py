@@ -117,11 +117,11 @@ def blocks(words: np.ndarray, document: np.ndarray, window: int) -> tuple[np.nda
 
 
 def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[list[bytes]]]]:
-    texts, at = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist(), 0
+    texts, at = batch.column(batch.schema.get_field_index(column)), 0
     while at < len(texts):
         begin, lists, n = at, [], 0
         while at < len(texts) and (not lists or n < CHUNK_WORDS):
-            lists.append((texts[at] or b"").split())  # on ASCII white space
+            lists.append((texts[at].as_py() or "").encode().split())  # on ASCII white space
             n += len(lists[-1])
             at += 1
         yield begin, lists
