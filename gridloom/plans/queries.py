@@ -142,8 +142,8 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive {_TREE}, both as (select src, dst from edges union select dst, src from edges),
-closure as (select src as node, src as other from both union select c.node, b.dst from closure c join both b on b.src = c.other)
+    f"""with recursive {_TREE}, ends as (select src, dst from edges union select dst, src from edges),
+closure as (select src as node, src as other from ends union select c.node, b.dst from closure c join ends b on b.src = c.other)
 select node, min(other) as component from closure group by node"""
 )
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
@@ -161,9 +161,9 @@ def articulation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive {FEEDS_SQL}, costs as (select src, dst, 1.0 + (src + dst) % 3 as cost from feeds),
-walk as (select s_suppkey as node, 0.0 as dist, 0 as hops from supplier where s_suppkey % 25 = 0
-  union select c.dst, w.dist + c.cost, w.hops + 1 from walk w join costs c on c.src = w.node where w.hops < 12)
+    f"""with recursive {FEEDS_SQL}, costs as (select src, dst, 1.0::double + (src + dst) % 3 as cost from feeds),
+walk as (select s_suppkey as node, 0.0::double as dist, 0 as hops from supplier where s_suppkey % 25 = 0
+  union select c.dst, w.dist + c.cost, w.hops + 1 from walk w join costs c on c.src = w.node where w.hops < 25)
 select node, min(dist)::double as dist from walk group by node"""
 )
 def access_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -251,10 +251,10 @@ def within_distance_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {points_sql('supplier', 's_suppkey', 's')}, {AREAS_SQL}, overlaps as (
+    f"""with {points_sql('supplier', 's_suppkey', 's')}, {AREAS_SQL}, meeting as (
   select s_suppkey, n_nationkey, (least(x + 600, x2) - greatest(x, x1)) * (least(y + 900, y2) - greatest(y, y1)) / (600.0 * 900.0) as share from s, areas where x < x2 and x1 < x + 600 and y < y2 and y1 < y + 900
 )
-select s_suppkey, n_nationkey, round(share, 4)::double as share from overlaps where share > 0.2"""
+select s_suppkey, n_nationkey, round(share, 4)::double as share from meeting where share > 0.2"""
 )
 def area_overlap(spark: SparkSession, d: str) -> DataFrame:
     a = points(read(spark, d, "supplier"), "s_suppkey").select("s_suppkey", F.col("x").alias("ax1"), F.col("y").alias("ay1"), (F.col("x") + 600).alias("ax2"), (F.col("y") + 900).alias("ay2"))
@@ -320,7 +320,7 @@ def hazard_score(spark: SparkSession, d: str) -> DataFrame:
     f"""{_SERVED}, {_ASSETS}, once as (
   select *, row_number() over (partition by root, entity order by depth, confidence desc) as rn from served where via = 'POWERS'
 ), impact as (select root, round(sum({CRITICALITY_SQL} * confidence), 4) as cascade from once where rn = 1 group by root),
-scored as (select scenario, h.entity, round(hazard * cascade * (1 + (h.entity % 10) / 100.0::double), 4) as composite from hazards h join impact on root = h.entity)
+scored as (select scenario, h.entity, round(hazard * cascade * (1 + (h.entity % 10) / 100.0::double) + 1e-9::double, 4) as composite from hazards h join impact on root = h.entity)
 select scenario, entity, composite, row_number() over (partition by scenario order by composite desc, entity) as rank from scored"""
 )
 def composite_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -388,13 +388,13 @@ def percent_rank_null_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select p_partkey, round((coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3) / nullif(case when a is not null then 0.5 else 0 end + case when b is not null then 0.3 else 0 end, 0), 6)::double as blend
+    """select p_partkey, round((coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3) / nullif(case when a is not null then 0.5 else 0 end + case when b is not null then 0.3 else 0 end, 0), 8)::double as blend
 from (select p_partkey, case when p_size % 3 > 0 then p_size / 50.0::double end as a, case when p_size % 2 > 0 then p_retailprice / 2000 end as b from part)"""
 )
 def weighted_blend(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
     part = read(spark, d, "part").select("p_partkey", F.when(size % 3 > 0, size / 50.0).alias("a"), F.when(size % 2 > 0, F.col("p_retailprice") / 2000).alias("b"), F.lit(1.0).alias("unused"))
-    return part.select("p_partkey", F.round(ranking.weighted_blend({"a": 0.5, "b": 0.3, "unused": 0.0}), 6).alias("blend"))
+    return part.select("p_partkey", F.round(ranking.weighted_blend({"a": 0.5, "b": 0.3, "unused": 0.0}), 8).alias("blend"))
 
 
 @query(
@@ -530,7 +530,7 @@ _FOLD = f"translate(upper(translate({{}}, '{text.ACCENTED}', '{text.FOLDED}')),
 
 
 @query(
-    f"""select doc_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace({_FOLD.format("substr(text, 1, 60) || ', Inc.'")}, '[^0-9A-Z ]', ' ', 'g'), '\\s+', ' ', 'g')), '(\\s+(LLC|INC|INCORPORATED|CORP|CORPORATION|LTD|LIMITED|LP|LLP|PSC|SRL))+$', ''), '') as owner_key
+    f"""select doc_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace({_FOLD.format("replace(substr(text, 1, 60), 'ß', 'ss') || ', Inc.'")}, '[^0-9A-Z ]', ' ', 'g'), '\\s+', ' ', 'g')), '(\\s+(LLC|INC|INCORPORATED|CORP|CORPORATION|LTD|LIMITED|LP|LLP|PSC|SRL))+$', ''), '') as owner_key
 from documents where length(text) >= 60"""
 )
 def name_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -774,7 +774,7 @@ def feed_freshness(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select * from (select 'event' as kind, ts as at, event_type as detail from events where value > 100 union all select 'order', o_orderdate, o_orderpriority from orders where o_orderkey % 500 = 0) order by at desc nulls last, kind, detail limit 12"""
+    """select * from (select 'event' as kind, ts as "at", event_type as detail from events where value > 100 union all select 'order', o_orderdate, o_orderpriority from orders where o_orderkey % 500 = 0) order by "at" desc nulls last, kind, detail limit 12"""
 )
 def typed_change_stream(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").where("value > 100").select(F.col("ts").alias("at"), F.col("event_type").alias("detail"))
