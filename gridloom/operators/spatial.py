@@ -44,6 +44,24 @@ def boxes_meeting(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return both.where(once & meets).drop("_cx", "_cy")
 
 
+def lines_in_boxes(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Lines (x1, y1, x2, y2) joined to the boxes (bx1..) they run through, with ``length``, the length inside."""
+    left = _cells(lines, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
+    right = _cells(boxes, F.col("bx1"), F.col("by1"), F.col("bx2"), F.col("by2"), size)
+    both = left.join(right, ["_cx", "_cy"])
+    enter, leave = F.lit(0.0), F.lit(1.0)
+    for axis in "xy":
+        start, step, low, high = F.col(f"{axis}1"), F.col(f"{axis}2") - F.col(f"{axis}1"), F.col(f"b{axis}1"), F.col(f"b{axis}2")
+        a, b = F.try_divide(low - start, step), F.try_divide(high - start, step)
+        out = (step == 0) & ((start < low) | (start > high))
+        enter = F.greatest(enter, F.least(a, b), F.when(out, F.lit(2.0)))
+        leave = F.least(leave, F.greatest(a, b))
+    # once: in the first cell that both touch
+    once = (F.col("_cx") == F.greatest(cell(F.least("x1", "x2"), size), cell(F.col("bx1"), size))) & (F.col("_cy") == F.greatest(cell(F.least("y1", "y2"), size), cell(F.col("by1"), size)))
+    whole = distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return both.where(once).withColumn("length", (leave - enter) * whole).where("length > 0").drop("_cx", "_cy")
+
+
 def within_distance(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs of points (ax, ay) and (bx, by) at most ``radius`` apart, with ``dist``; cells are as wide as the radius."""
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))

@@ -1,0 +1,4 @@
+"""Registered queries of the engine's operators."""
+
+from . import networks, queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401

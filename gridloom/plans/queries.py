@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,22 +10,11 @@ from ..functions import geo, ranking, text
 from ..operators import graph, optimize, raster, scoring, spatial, tables, validate
 from ..streaming import feeds as streams
 from .analogs import AREAS_SQL, CRITICALITY_SQL, FEEDS_SQL, POWERS_SQL, REACH_SQL, areas, criticality, feeds, points, points_sql, powers, read, snapshots
+from .registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 DEPTH = 5
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _roots(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from gridloom.plans.queries import QUERIES, SQL
+from gridloom.plans import QUERIES, SQL
 
 from .oracle import DATA, connect, differences
 
