@@ -27,3 +27,32 @@ def rank_stability(scores: DataFrame, key: str, base: str, changed: str, group:
     out = ranked.groupBy(group).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"), F.count_if((F.col("pa") <= top) & (F.col("pb") <= top)).alias("both"))
     rho, overlap = F.when(F.col("n") >= 3, F.round("rho", 4)), F.round(F.col("both") / F.least(F.col("n"), F.lit(top)), 4)
     return out.select(group, rho.alias("rho"), overlap.alias("overlap"), F.coalesce((rho >= 0.9) & (overlap >= 0.8), F.lit(False)).alias("stable"))
+
+
+def sweep(assets: DataFrame, perturbations: DataFrame, top: int = 10) -> DataFrame:
+    """By perturbation: how stable the composite ranking of assets (entity, hazard, cascade, betweenness) is under it.
+
+    perturbations: perturbation, hazard_factor, cascade_factor, betweenness_factor, a few rows; all run in one job.
+    """
+    every = assets.join(F.broadcast(perturbations), F.lit(True))
+    score = lambda h, c, b: h * c * (1 + b)
+    h, c, b = F.coalesce("hazard", F.lit(0.03)), F.col("cascade"), F.coalesce("betweenness", F.lit(0.0))
+    changed = score(F.least(h * F.col("hazard_factor"), F.lit(0.95)), c * F.col("cascade_factor"), b * F.col("betweenness_factor"))
+    return rank_stability(every.select("entity", "perturbation", score(h, c, b).alias("base"), changed.alias("changed")), "entity", "base", "changed", "perturbation", top)
+
+
+def rank_shifts(scores: DataFrame, key: str, base: str, changed: str, most: int = 15) -> DataFrame:
+    """key, before, after and shift of the rows whose place changes most when one score replaces the other."""
+    from ..functions.ranking import global_rank
+
+    both = global_rank(global_rank(scores.select(key, (-F.col(base)).alias("_a"), (-F.col(changed)).alias("_b")), "_a", "before"), "_b", "after")
+    moved = both.withColumn("shift", F.col("before") - F.col("after")).where("shift <> 0")
+    return moved.select(key, "before", "after", "shift").orderBy(F.abs("shift").desc(), "after", key).limit(most)
+
+
+def covered(predicted: DataFrame, actual: DataFrame, item: str) -> DataFrame:
+    """One row: sorted items that were hit, missed and falsely named."""
+    p, a = predicted.select(item).distinct().withColumn("p", F.lit(True)), actual.select(item).distinct().withColumn("a", F.lit(True))
+    both = p.join(a, item, "full")
+    of = lambda when: F.array_sort(F.collect_list(F.when(when, F.col(item))))
+    return both.agg(of(F.col("p") & F.col("a")).alias("hits"), of(F.col("p").isNull()).alias("misses"), of(F.col("a").isNull()).alias("false_alarms"))

@@ -39,7 +39,7 @@ def geojson_text(df: DataFrame, x: str, y: str, properties: list[str], digits: i
 
 def bridges(spark: SparkSession, path: str, box: tuple[float, float, float, float] = (-68.5, 16.8, -64.0, 19.5)) -> DataFrame:
     """structure, lat, lon, year_built and span of a latin-1 list with degrees as digits, inside a box."""
-    raw = spark.read.csv(path, header=True, encoding="latin1", quote="'")
+    raw = spark.read.csv(path, header=True, encoding="iso-8859-1", quote="'")
     clean = lambda c: F.nullif(F.trim(F.translate(F.col(c), "'\"", "")), F.lit(""))
     positive = lambda c: F.when(clean(c).try_cast("double") > 0, clean(c).try_cast("double"))
     optional = lambda c: positive(c) if c in raw.columns else F.lit(None).cast("double")

@@ -21,7 +21,7 @@ def read_feed(spark, path: str, schema: str, **options: str) -> DataFrame:
 def windowed(events: DataFrame, ts: str, size: str, slide: str | None = None, late: str = "1 hour", keys: tuple[str, ...] = (), *aggs: Column) -> DataFrame:
     """Counts (or ``aggs``) by event-time window; rows later than ``late`` are dropped by the watermark."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return events.withWatermark(ts, late).groupBy(w.alias("window"), *keys).agg(*(aggs or (F.count("*").alias("n"),))).select("window.start", "window.end", *keys, "*").drop("window")
+    return events.withWatermark(ts, late).groupBy(w.alias("window"), *keys).agg(*(aggs or (F.count("*").alias("n"),))).select("window.start", "window.end", "*").drop("window")
 
 
 def sessions(events: DataFrame, ts: str, gap: str, key: str, late: str = "1 hour") -> DataFrame:
