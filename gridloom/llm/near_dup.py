@@ -9,7 +9,7 @@ however many elements there are; documents with gaps throw again up to twice phi
 Signatures are joined by bands.  Equal texts count once.  A bucket is not paired out: its members are compared with the
 member that is in the most crowded buckets overall, which in a group of edited copies is the text they were made from.
 Pairs whose signatures promise enough are verified exactly on their shingle sets and become links.  What is then left
-unlinked in a bucket is compared with the other members in blocks, signature against signature, so a link that the
+unlinked in a bucket is compared with the other members in blocks, signatures and then least hashes, so a link that the
 chosen member does not show is found too.  Components of the links are the classes.
 
 Edge cases: texts with fewer words than a shingle are one element; null texts and texts without words, and rows
@@ -38,7 +38,9 @@ BANDS, ROWS = 30, 5
 SLACK = 0.13
 #: The same (three standard errors) for pairs that no chosen member links.
 LATE_SLACK = 0.1
-BLOCK = 256
+BLOCK, ASKING = 256, 1024
+#: Least hashes kept of a text's shingles.
+LOW = 512
 CHUNK_WORDS = 100_000
 #: At most 2**DOC_BITS documents are worked on at once; the rest of 64 bits are a shingle's hash.
 DOC_BITS = 10
@@ -169,15 +171,45 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(true, "a binary, b binary").distinct()
 
 
-def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketches: DataFrame, bands: int, least: float) -> DataFrame:
+def low_hashes(texts: DataFrame, shingle: int) -> DataFrame:
+    """c, n (distinct shingles) and low: the ``LOW`` least hashes of a text's shingles (32 bits each), all if fewer."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 100):
+                part = batch.slice(begin, 100)
+                document, element, _ = shingles([x.split() for x in part.column(1).cast(pa.binary()).to_pylist()], shingle)
+                sizes = np.bincount(document, minlength=part.num_rows)
+                lows = [np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))[:LOW].tobytes() for x in np.split(element, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(lows, pa.binary())], ["c", "n", "low"])
+
+    return texts.select("c", "text").mapInArrow(least, "c binary, n long, low binary")
+
+
+def alike(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the others may be as similar as asked, by their least hashes: exact but for equal hashes where all are there."""
+    out = np.zeros(len(others), bool)
+    for i, other in enumerate(others):
+        common = np.intersect1d(own, other, assume_unique=True)
+        if len(own) < LOW and len(other) < LOW:
+            out[i] = len(common) >= (similarity - 0.005) * (len(own) + len(other) - len(common))
+        else:
+            union = np.union1d(own, other)[:LOW]
+            out[i] = np.searchsorted(common, union[-1], "right") >= (similarity - 4 * math.sqrt(similarity * (1 - similarity) / LOW)) * len(union)
+    return out
+
+
+def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketches: DataFrame, whole: DataFrame, bands: int, shingle: int, similarity: float) -> DataFrame:
     """Promising pairs (a, b) of different classes within a bucket, where a is not in the class of the bucket's centre.
 
-    Members are dealt into blocks of about ``BLOCK``; a goes to each block of its bucket and is compared there.
+    Members are dealt into blocks of about ``BLOCK`` and those that ask into blocks of about ``ASKING``; each block of the
+    one meets each of the other, first by sketches, then by least hashes, so a pair that leaves here is nearly sure.
     """
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(group.num_rows, -1)
+        low = [np.frombuffer(x, "<u4") for x in group.column("low").to_pylist()]
         asks, loose, c = np.asarray(group.column("asks")), np.asarray(group.column("loose")), np.array(group.column("c").to_pylist(), "S16")
         of, band = np.asarray(group.column("of").combine_chunks().dictionary_encode().indices), group.column("band")[0].as_py()
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
@@ -185,10 +217,11 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
         for i in left:
             once = right[(of[right] != of[i]) & (~loose[right] | (c[right] > c[i]))]  # of two that ask, one
             equal = sketch[once] == sketch[i]
-            near = equal.mean(axis=1) >= least
+            near = equal.mean(axis=1) >= similarity - LATE_SLACK
             # only in the first bucket that both are in
             here = equal[near].reshape(int(near.sum()), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band
             found = once[near][here]
+            found = found[alike(low[i], [low[j] for j in found], similarity)]
             a += [int(i)] * len(found)
             b += found.tolist()
         keys = group.column("c")
@@ -197,12 +230,16 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
     placed = members.join(classes.withColumnsRenamed({"node": "c"}), "c", "left").withColumn("of", F.coalesce("component", "c"))
     middle = centres.join(classes.select(F.col("node").alias("centre"), F.col("component").alias("centre_of")), "centre", "left")
     placed = placed.join(middle.select("key", "size", F.coalesce("centre_of", "centre").alias("centre_of")), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    loose = placed.where("of <> centre_of")
-    asks = loose.select("key", "band", "c", "of", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.lit(True).alias("loose"))
-    open_ = loose.select("key").distinct()
-    rest = placed.join(open_, "key", "left_semi").select("key", "band", "c", "of", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), (F.col("of") != F.col("centre_of")).alias("loose"))
-    rows = asks.union(rest).join(sketches.select("c", "sketch"), "c")
-    pairs = rows.groupBy("key", "block").applyInArrow(compare, "a binary, b binary")
+    placed = placed.withColumn("loose", F.col("of") != F.col("centre_of"))
+    open_ = placed.where("loose").groupBy("key").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("ask_blocks"))
+    placed = written(placed.join(open_, "key").select("key", "band", "c", "of", "loose", "blocks", "ask_blocks"), "placed")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    asks = placed.where("loose").select("key", "band", "c", "of", every("blocks").alias("block"), mine("ask_blocks").alias("ask_block"), F.lit(True).alias("asks"), "loose")
+    rest = placed.select("key", "band", "c", "of", mine("blocks").alias("block"), every("ask_blocks").alias("ask_block"), F.lit(False).alias("asks"), "loose")
+    texts = _one_each(placed.select(F.col("c").alias("a"), F.col("c").alias("b")), whole)
+    held = written(low_hashes(texts, shingle).join(sketches.select("c", "sketch"), "c"), "low_hashes")
+    pairs = asks.union(rest).join(held, "c").groupBy("key", "block", "ask_block").applyInArrow(compare, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -226,14 +263,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = members.join(centres.select("key", "centre"), "key").where("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
     likely = written(promising(stars, sketches, similarity - SLACK), "likely")
     # one text of each kind: equal texts share c
-    texts = whole.select("c", "text")
     firsts = whole.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    links = written(verified(likely, _one_each(texts, whole, likely), shingle, similarity), "verified")
+    links = written(verified(likely, _one_each(likely, whole), shingle, similarity), "verified")
 
     classes = components(links)
-    more = written(unlinked(members.select("key", "band", "c"), centres, classes, sketches, bands, similarity - LATE_SLACK), "unlinked")
+    more = written(unlinked(members.select("key", "band", "c"), centres, classes, sketches, whole, bands, shingle, similarity), "unlinked")
     if more.count():
-        links = links.union(written(verified(more, _one_each(texts, whole, more), shingle, similarity), "verified"))
+        links = links.union(written(verified(more, _one_each(more, whole), shingle, similarity), "verified"))
         classes = components(links)
 
     named = whole.select("doc_id", "c").join(signed.select("c").distinct().withColumn("has_words", F.lit(True)), "c", "left").join(classes.select(F.col("node").alias("c"), "component"), "c", "left")
@@ -247,7 +283,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.union(none)
 
 
-def _one_each(texts: DataFrame, whole: DataFrame, pairs: DataFrame) -> DataFrame:
+def _one_each(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The texts that pairs need, each once."""
     needed = written(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "needed")
     if needed.count() <= BROADCAST_TEXTS:

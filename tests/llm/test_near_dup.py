@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm.components import components
-from gridloom.llm.near_dup import dart_minhash, near_duplicates
+from gridloom.llm.near_dup import LOW, alike, dart_minhash, near_duplicates
 
 
 def shingle_set(text):
@@ -91,3 +91,35 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == {x: root(x) for x in nodes}
+
+
+def test_links_that_no_chosen_member_shows(spark):
+    """A chain of small edits, and copies that differ from one another more than from their source."""
+    r = random.Random(8)
+    base = [f"c{i}" for i in range(150)]
+    rows, now = [(0, " ".join(base))], list(base)
+    for i in range(1, 12):
+        now = list(now)
+        now[i * 12] = f"x{i}"
+        rows.append((i, " ".join(now)))
+    source = [f"s{i}" for i in range(200)]
+    for i in range(100, 180):
+        copy = list(source)
+        for _ in range(r.choice([3, 4, 5, 6])):
+            copy[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_least_hashes_lose_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (5, 100, 400, 3000):
+        for share in (0.95, 0.85, 0.8, 0.5, 0.1):
+            a = r.choice(2**32, n, replace=False).astype("<u4")
+            keep = round(2 * n * share / (1 + share))
+            b = np.concatenate([a[:keep], r.choice(2**32, n - keep, replace=False).astype("<u4")])
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            said = alike(np.sort(a)[:LOW], [np.sort(b)[:LOW]], 0.8)[0]
+            assert said or true < 0.8
+            assert not said or true > 0.7
