@@ -158,3 +158,19 @@ def read_chat(chats: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(turns, pa.list_(turn)), pa.array(learnt, pa.list_(pa.string()))], ["conv_id", "formatted", "turns", "learnt"])
 
     return chats.select("conv_id", "formatted", "loss").mapInArrow(read, "conv_id long, formatted string, turns array<struct<role: string, text: string>>, learnt array<string>")
+
+
+SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, * from (values (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok')) t(turn, role, text)
+), marked as (
+  select *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>') as e,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:') as r from turns
+), told as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r, e) as said,
+         coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, r, e), '') as learnt, sum(4 + length(r) + 2 + length(e) + 9)::bigint as formatted_chars
+  from marked group by conv_id
+)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars from told
+"""

@@ -220,3 +220,33 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     out = strip_lines(whole.join(marks, ["doc_id", "version"], "left"))
     untouched = every.where("doc_id is null").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
     return out.unionByName(untouched).withColumnsRenamed({"doc_id": doc_id, "text": text})
+
+
+SQL = """
+with split as (
+  select doc_id, string_split(text, chr(10)) as lines from documents where text is not null
+), placed as (
+  select doc_id, unnest(lines) as raw, unnest(range(len(lines))) as no from split
+), named as (
+  select doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from placed
+), once as (
+  select line, min({'doc_id': doc_id, 'no': no}) as spot, min(doc_id) as least from named where line <> '' group by line
+), long as (
+  select line, spot, length(line) as n from once where length(line) >= 20
+), cut as (
+  select line, spot, n, i, substr(line, 1, i) || substr(line, i + 2) as variant from (select *, unnest(range(n)) as i from long)
+), same_length as (
+  select n, i, variant, min(spot) as first from cut group by 1, 2, 3 having count(*) > 1
+), near as (
+  select c.line from cut c join same_length s using (n, i, variant) where s.first < c.spot
+  union select c.line from cut c join long l on l.line = c.variant where l.spot < c.spot
+  union select l.line from cut c join long l on l.line = c.variant where c.spot < l.spot
+), judged as (
+  select m.*, line <> '' and (row_number() over (partition by doc_id, line order by no) > 1 or m.doc_id > o.least or e.line is not null) as gone
+  from named m left join once o using (line) left join near e using (line)
+), kept as (
+  select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(case when not gone then raw end, chr(10) order by no), '') as text from judged group by doc_id
+)
+select doc_id, n_lines, n_removed, sha256(text) as text_sha256 from kept
+union all select doc_id, 0, 0, null from documents where text is null
+"""

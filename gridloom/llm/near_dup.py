@@ -289,3 +289,29 @@ def _one_each(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     if needed.count() <= BROADCAST_TEXTS:
         needed = F.broadcast(needed)
     return written(whole.join(needed, "c", "left_semi").dropDuplicates(["c"]).select("c", "text"), "texts")
+
+
+SQL = r"""
+with recursive texts as (
+  select coalesce(text, '') as text, min(doc_id) as doc_id from documents where doc_id is not null group by 1
+), split as (
+  select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from texts
+), known as (
+  select doc_id, words, greatest(len(words) - 4, 1) as n from split where len(words) > 0
+), shingles as (
+  select distinct doc_id, md5_number(array_to_string(words[place:place + 4], ' ')) as h from (select doc_id, words, unnest(range(1, n + 1)) as place from known)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c.n >= 0.8 * (x.n + y.n - c.n) - 1e-9
+), ends as (select a, b from links union all select b, a from links),
+closure as (select a as node, a as other from ends union select c.node, e.b from closure c join ends e on e.a = c.other),
+classes as (select node, min(other) as class_id from closure group by node)
+select d.doc_id, case when k.doc_id is null then d.doc_id else coalesce(c.class_id, t.doc_id) end as class_id,
+       case when k.doc_id is null then true else d.doc_id = coalesce(c.class_id, t.doc_id) end as kept
+from documents d join texts t on t.text = coalesce(d.text, '') left join known k on k.doc_id = t.doc_id left join classes c on c.node = t.doc_id
+where d.doc_id is not null
+union all select doc_id, doc_id, true from documents where doc_id is null
+"""

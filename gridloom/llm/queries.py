@@ -90,6 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.SQL,
+    "op4_chat": chat.SQL,
     "op5_topk": topk.SQL,
+    "op6_substring": substring.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_minhash": near_dup.SQL,
 }

@@ -214,3 +214,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     out = strip(whole.join(spans, ["doc_id", "version"], "left"), window, not digest)
     null_spans = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")
     return out.union(strip(every.where("doc_id is null").select("doc_id", "text", null_spans), window, not digest))
+
+
+SQL = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), placed as (
+  select doc_id, words, unnest(range(1, len(words) - 48)) as place from split where len(words) >= 50
+), windows as (
+  select doc_id, place, md5_number(array_to_string(words[place:place + 49], ' ')) as h from placed
+), firsts as (
+  select h, min(doc_id) as least from windows group by h having count(*) > 1
+), marked as (
+  select doc_id, place from windows join firsts using (h) where doc_id > least
+), gone as (
+  select distinct doc_id, unnest(range(place, place + 50)) as place from marked
+), lists as (
+  select doc_id, list(place) as places, count(*) as n_removed from gone group by doc_id
+)
+select s.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(array_to_string(case when n_removed is null then words else list_select(words, list_sort(list_where(range(1, len(words) + 1), list_transform(range(1, len(words) + 1), lambda i: not list_contains(places, i))))) end, ' ')) as kept_sha256
+from split s left join lists using (doc_id)
+"""
