@@ -61,6 +61,35 @@ def overlap_area(ring: Column, window: Column) -> Column:
     return area(ring, window)
 
 
+def simplified(points: Column, tolerance: float) -> Column:
+    """A line with the points left out that lie within ``tolerance`` of it without them; its ends stay."""
+
+    @F.pandas_udf(POINTS)
+    def thin(lines: pd.Series) -> pd.Series:
+        out = []
+        for line in lines:
+            if line is None or len(line) < 3:
+                out.append(line if line is None else [{"x": p["x"], "y": p["y"]} for p in line])
+                continue
+            at = np.array([(p["x"], p["y"]) for p in line], float)
+            keep, stack = {0, len(at) - 1}, [(0, len(at) - 1)]
+            while stack:
+                a, b = stack.pop()
+                if b - a < 2:
+                    continue
+                d, own = at[b] - at[a], at[a + 1 : b] - at[a]
+                t = np.clip(own @ d / (d @ d), 0, 1) if d @ d else np.zeros(len(own))
+                far = np.hypot(*(own - t[:, None] * d).T)
+                i = int(far.argmax())
+                if far[i] > tolerance:
+                    keep.add(a + 1 + i)
+                    stack += [(a, a + 1 + i), (a + 1 + i, b)]
+            out.append([{"x": float(at[i][0]), "y": float(at[i][1])} for i in sorted(keep)])
+        return pd.Series(out)
+
+    return thin(points)
+
+
 def overlap_fraction(a: DataFrame, b: DataFrame, a_id: str, cell: float) -> DataFrame:
     """a_id and fraction (at most 1) of each area of ``a`` that the convex areas of ``b`` cover; 0 where none do.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, spatial
 
 # Present value of 1 a year for 30 years at 5 percent.
 YEARS_5 = 15.3725
@@ -101,6 +101,26 @@ def route_costs(cells: DataFrame, keys: list[str], order: str, cell_metres: floa
     return runs.withColumn("construction", F.col("metres") * rate).withColumn("maintenance", F.col("metres") * (RAIL_UPKEEP * YEARS_5))
 
 
+def people_along(samples: DataFrame, areas: DataFrame, line: str, area: str, reach: float = 5_000.0) -> DataFrame:
+    """line, population and vulnerable (population times svi, 0.5 where unknown) of areas within reach of samples (x, y) of a line.
+
+    areas: area, x, y, population, svi; each counts once a line.
+    """
+    near = spatial.within_distance(samples.select(line, F.col("x").alias("ax"), F.col("y").alias("ay")), areas.select(area, "population", "svi", F.col("x").alias("bx"), F.col("y").alias("by")), reach)
+    once = near.select(line, area, "population", "svi").distinct()
+    return once.groupBy(line).agg(F.sum("population").alias("population"), F.sum(F.col("population") * F.coalesce("svi", F.lit(0.5))).alias("vulnerable"))
+
+
+def evaluate(assets: DataFrame, cells: DataFrame, people: DataFrame, asset: str) -> DataFrame:
+    """Assets with their costs, the flooded share of the cells they cross, people along them and the objective of all that.
+
+    cells: asset and flood (0 or 1) a cell; people: asset, population, vulnerable.
+    """
+    wet = cells.groupBy(asset).agg(F.avg("flood").alias("flooded"))
+    known = assets.drop("population").join(people, asset, "left").join(wet, asset, "left").na.fill(0.0, ["flooded", "vulnerable"]).na.fill(0, ["population"])
+    return asset_costs(known).withColumn("objective", route_objective(F.col("construction"), F.col("maintenance"), F.col("flooded"), F.col("vulnerable")))
+
+
 def commit(entities: DataFrame, stations: DataFrame, edges: DataFrame, serves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model with a scenario's stations and its SERVES edges both ways; what is there already stays as it is."""
     from .tables import insert_ignore

@@ -88,3 +88,42 @@ def test_committing_twice_changes_nothing(spark):
     once = whatif.commit(entities, stations, edges, serves)
     again = whatif.commit(once[0], stations, once[1], serves)
     assert [sorted(map(tuple, df.collect())) for df in once] == [sorted(map(tuple, df.collect())) for df in again] == [[(1,), (9,)], [(1, 2), (1, 9), (9, 1)]]
+
+
+def test_smoothing_against_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    cells = r.normal(size=(7, 5))
+    sigma, reach = 1.5, 6
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    w /= w.sum()
+    want = cells
+    for axis in (0, 1):
+        wide = np.pad(want, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        want = np.apply_along_axis(lambda v: np.convolve(v, w, mode="valid"), axis, wide)
+    df = spark.createDataFrame([(i, j, float(cells[i, j])) for i in range(7) for j in range(5)], "row long, col long, value double")
+    got = {(x["row"], x["col"]): x["value"] for x in raster.smoothed(df, sigma, 7, 5).collect()}
+    assert got == pytest.approx({(i, j): want[i, j] for i in range(7) for j in range(5)})
+
+
+def test_simplified_lines(spark):
+    from gridloom.operators import clip
+
+    line = [{"x": float(i), "y": 0.01 * (i % 2)} for i in range(10)] + [{"x": 9.0, "y": 5.0}]
+    df = spark.createDataFrame([(line,), (None,), (line[:1],)], "p array<struct<x: double, y: double>>")
+    got = [r[0] and [(p["x"], p["y"]) for p in r[0]] for r in df.select(clip.simplified(df["p"], 0.1)).collect()]
+    assert got == [[(0.0, 0.0), (9.0, 0.01), (9.0, 5.0)], None, [(0.0, 0.0)]]
+
+
+def test_evaluating_a_scenario(spark):
+    assets = spark.createDataFrame([(1, "rail", 1000.0, "tunnel", None, None, None, None, 0, 2.0), (2, "bridge", None, None, None, None, 30.0, True, 0, 2.0)], "asset long, type string, length double, terrain string, work string, lanes int, span double, posted boolean, population int, detour_km double")
+    samples = spark.createDataFrame([(1, 0.0, 0.0), (1, 1000.0, 0.0)], "asset long, x double, y double")
+    areas = spark.createDataFrame([(7, 500.0, 0.0, 100, 0.2), (8, 0.0, 5500.0, 10, 1.0), (9, 1500.0, 0.0, 50, None)], "area long, x double, y double, population int, svi double")
+    people = whatif.people_along(samples, areas, "asset", "area")
+    assert [tuple(r) for r in people.collect()] == [(1, 150, 45.0)]
+    cells = spark.createDataFrame([(1, 1), (1, 0)], "asset long, flood int")
+    got = {r["asset"]: r for r in whatif.evaluate(assets, cells, people, "asset").collect()}
+    assert got[1]["construction"] == 120e6 and got[1]["affected"] == 7
+    assert got[1]["objective"] == pytest.approx(120e6 + 1000 * 500 * 15.3725 + 0.5 * 0.5 * 120e6 - 45_000)
+    assert got[2]["construction"] == 7.5e6 and got[2]["capacity"] == 23.0
