@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +62,11 @@ def greedy(items: DataFrame, budget: float, by: str = "uplift_per_million") -> D
     return items.groupBy("scenario").applyInPandas(choose, PORTFOLIO)
 
 
-def best_choice(options: list[list[tuple[float, float, str]]], budget: float) -> tuple[float, list[int]]:
+def best_choice(options: list[list[tuple[float, float, str]]], budget: float, seconds: float = math.inf) -> tuple[float, list[int]]:
     """The most value of at most one (cost, value, name) per list within a budget, and which: branch and bound.
 
-    The bound fills the budget with the steps of each list's convex hull, steepest first, the last one in part.
+    The bound fills the budget with the steps of each list's convex hull, steepest first, the last one in part.  When the
+    time is up the best choice so far is given.
     """
     hulls = []
     for own in options:
@@ -75,11 +79,13 @@ def best_choice(options: list[list[tuple[float, float, str]]], budget: float) ->
             hull.append((cost, value))
         hulls.append([(b[0] - a[0], b[1] - a[1]) for a, b in zip(hull, hull[1:], strict=False)])
     order = sorted(range(len(options)), key=lambda i: -max((v / c if c else float("inf") for c, v in hulls[i]), default=0.0))
-    steps = [sorted(((v / c if c else float("inf"), c, v) for i in order[k:] for c, v in hulls[i]), reverse=True) for k in range(len(order) + 1)]
+    steps = sorted(((v / c if c else float("inf"), c, v, k) for k, i in enumerate(order) for c, v in hulls[i]), reverse=True)
 
     def bound(k: int, left: float) -> float:
         total = 0.0
-        for rate, cost, value in steps[k]:
+        for rate, cost, value, place in steps:
+            if place < k:
+                continue
             if cost > left:
                 return total + (rate * left if cost else 0.0)
             left, total = left - cost, total + value
@@ -87,7 +93,8 @@ def best_choice(options: list[list[tuple[float, float, str]]], budget: float) ->
 
     best, chosen = 0.0, [-1] * len(options)
     stack: list[tuple[int, float, float, list[int]]] = [(0, budget, 0.0, [])]
-    while stack:
+    until = time.monotonic() + seconds
+    while stack and time.monotonic() < until:
         k, left, value, path = stack.pop()
         if value > best + 1e-9:
             best, chosen = value, [-1] * len(options)
@@ -103,12 +110,12 @@ def best_choice(options: list[list[tuple[float, float, str]]], budget: float) ->
     return best, chosen
 
 
-def exact(items: DataFrame, budget: float, value: str = "uplift") -> DataFrame:
-    """Per scenario, the portfolio of the most value with at most one intervention an entity."""
+def exact(items: DataFrame, budget: float, value: str = "uplift", seconds: float = math.inf) -> DataFrame:
+    """Per scenario, the portfolio of the most value with at most one intervention an entity (or the best found in time)."""
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         groups = [g.sort_values("kind") for _, g in frame.groupby("entity", sort=True)]
-        _, picks = best_choice([list(zip(g["cost"], g[value], g["kind"], strict=True)) for g in groups], budget)
+        _, picks = best_choice([list(zip(g["cost"], g[value], g["kind"], strict=True)) for g in groups], budget, seconds)
         rows, spent, gained = [], 0.0, 0.0
         for g, j in zip(groups, picks, strict=True):
             if j >= 0:
@@ -120,6 +127,17 @@ def exact(items: DataFrame, budget: float, value: str = "uplift") -> DataFrame:
     return items.groupBy("scenario").applyInPandas(choose, PORTFOLIO)
 
 
+def portfolio(items: DataFrame, budget: float, seconds: float = 30.0) -> DataFrame:
+    """The exact choice by net benefit where any item has a benefit, else the greedy one by uplift.
+
+    items: as for ``greedy``, with benefit (equity counted in), economic and property.
+    """
+    if items.where(F.col("benefit") > 0).isEmpty():
+        return greedy(items, budget)
+    net = F.col("benefit") + F.coalesce("economic", F.lit(0.0)) - F.coalesce("property", F.lit(0.0)) - F.col("cost")
+    return exact(items.withColumn("net", net), budget, "net", seconds)
+
+
 def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row: differences in cost and uplift, and counts of items only in a, only in b and in both."""
     both = a.select(*keys, F.col("cost").alias("ca"), F.col("uplift").alias("ua"), F.lit(1).alias("a")).join(b.select(*keys, F.col("cost").alias("cb"), F.col("uplift").alias("ub"), F.lit(1).alias("b")), keys, "full")

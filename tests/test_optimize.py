@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import optimize, raster, validate, whatif
 
@@ -41,6 +42,13 @@ def test_exact_against_all_choices(spark, seed):
     assert sum(r["cost"] for r in got) <= budget and len({r["entity"] for r in got}) == len(got)
 
 
+def test_portfolio_takes_benefits_where_there_are_any(spark):
+    rows = items(spark, ROWS).withColumns({"benefit": F.col("entity") * 4e6, "economic": F.lit(0.0), "property": F.lit(None).cast("double")})
+    assert [(r["entity"], r["cost"]) for r in optimize.portfolio(rows, 10e6).orderBy("place").collect()] == [(1, 3.4e6), (2, 3.4e6), (4, 1e6)]
+    none = rows.withColumn("benefit", F.lit(0.0))
+    assert sorted(map(tuple, optimize.portfolio(none, 10e6).collect())) == sorted(map(tuple, optimize.greedy(none, 10e6).collect()))
+
+
 def test_uniform_factors_leave_ranks_alone(spark):
     assets = spark.createDataFrame([(i, 0.1 + i % 7 / 20, float(i * 13 % 29 + 1), i % 5 / 50) for i in range(40)], "entity long, hazard double, cascade double, betweenness double")
     ways = spark.createDataFrame([("all alike", 1.0, 2.0, 1.0), ("centrality", 1.0, 1.0, 100.0)], "perturbation string, hazard_factor double, cascade_factor double, betweenness_factor double")
