@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import holds, using
+
 #: Longest piece of unbroken text that is encoded at once.
 LEAF_CHARS = 8192
 #: Rows longer than this are cut into pieces that separate tasks encode.
@@ -273,8 +275,17 @@ _encoders: dict[tuple, Encoder] = {}
 _decoders: dict[str, object] = {}
 
 
+def _drop() -> None:
+    _encoders.clear()
+    _decoders.clear()
+
+
+holds("bpe", _drop)
+
+
 def encoder(path: str, leaf_chars: int = LEAF_CHARS) -> Encoder:
     """One for each Python worker, which lives through many tasks."""
+    using("bpe")
     if (path, leaf_chars) not in _encoders:
         _encoders[path, leaf_chars] = Encoder(path, leaf_chars)
     return _encoders[path, leaf_chars]
@@ -289,14 +300,25 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*columns, values], [*(n for n in batch.schema.names if n != name), name])
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
+def _without(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    kept = [n for n in batch.schema.names if n != name]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept], kept)
+
+
+def _with(df: DataFrame | T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    fields = df if isinstance(df, T.StructType) else df.schema
+    return T.StructType([*(f for f in fields if f.name != name), T.StructField(name, kind)])
+
+
+def _decoded(tokenizer, ids: list[bytes | None]) -> pa.Array:
+    return pa.array(tokenizer.decode_batch([np.frombuffer(x or b"", "<u4").tolist() for x in ids], skip_special_tokens=False), pa.string())
 
 
-def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", split_chars: int | None = SPLIT_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", split_chars: int | None = SPLIT_CHARS, leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of ``text`` as little-endian unsigned 32-bit integers (binary).
 
-    Without ``split_chars`` every row stays in its task, and partitions keep their order.
+    Without ``split_chars`` every row stays in its task, and partitions keep their order.  ``decoded`` names a column for
+    what decoding makes of the ids, as ``bpe_decode`` adds it, but in the same worker and without the text: it takes its place.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +327,20 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 texts = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-                yield _replaced(part, ids, binary_array([x.astype("<u4").tobytes() for x in e.encode_all(texts)]))
+                found = [x.astype("<u4").tobytes() for x in e.encode_all(texts)]
+                if decoded is not None:
+                    part = _replaced(_without(part, text), decoded, _decoded(e.tokenizer, found))
+                yield _replaced(part, ids, binary_array(found))
 
-    out = _with(df, ids, T.BinaryType())
+    out = _with(df if decoded is None else _with(df.drop(text), decoded, T.StringType()), ids, T.BinaryType())
     if split_chars is None:
         return df.mapInArrow(whole, out)
     long = F.length(text) > split_chars
     short = df.where(F.coalesce(~long, F.lit(True))).mapInArrow(whole, out)
-    return short.unionByName(_encode_long(df.where(long), tokenizer_path, text, ids, leaf_chars, split_chars).select(short.columns))
+    rest = _encode_long(df.where(long), tokenizer_path, text, ids, leaf_chars, split_chars)
+    if decoded is not None:
+        rest = bpe_decode(rest.drop(text), tokenizer_path, ids, decoded)
+    return short.unionByName(rest.select(short.columns))
 
 
 def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int, split_chars: int) -> DataFrame:
@@ -366,12 +394,12 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str =
     """Adds ``text``: what the tokenizer's own decoding makes of ``ids``, special tokens included."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("bpe")
         t = _decoders[tokenizer_path] = _decoders.get(tokenizer_path) or load(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                lists = [np.frombuffer(x or b"", "<u4").tolist() for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-                yield _replaced(part, text, pa.array(t.decode_batch(lists, skip_special_tokens=False), pa.string()))
+                yield _replaced(part, text, _decoded(t, part.column(part.schema.get_field_index(ids)).to_pylist()))
 
     return df.mapInArrow(decode, _with(df, text, T.StringType()))
 

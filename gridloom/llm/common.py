@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+_held: dict[str, Callable[[], None]] = {}
+_used: list[str] = []
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    """Says how to drop what an operator keeps in a Python worker between tasks."""
+    _held[name] = drop
+
+
+def using(name: str) -> None:
+    """Called where a task begins: a worker that comes from another operator's task drops what that one kept.
+
+    Workers live through all jobs of a session, so without this a chain of operators would add up their caches.
+    """
+    if _used == [name]:
+        return
+    for other, drop in _held.items():
+        if other != name:
+            drop()
+    _used[:] = [name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)

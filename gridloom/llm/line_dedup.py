@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import using, written
 
 MIN_CHARS = 20
 PARTS, FINE_PARTS = 2, 16
@@ -66,6 +66,7 @@ def find_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version, no, h1, h2 and keys (of lines long enough) of the distinct lines of each document."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lines")
         from xxhash import xxh3_128_intdigest
 
         for batch in batches:
@@ -91,6 +92,7 @@ def read_lines(docs: DataFrame) -> DataFrame:
     """The text of the lines at the places in the column ``wanted``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lines")
         for batch in batches:
             for i in range(batch.num_rows):
                 lines, wanted = batch.column(2)[i].as_py().split("\n"), batch.column(3)[i].as_py()
@@ -103,6 +105,7 @@ def read_lines(docs: DataFrame) -> DataFrame:
 
 def find_parts(lines: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lines")
         for batch in batches:
             texts = batch.column(2).to_pylist()
             where = pa.array(np.repeat(np.arange(len(texts)), 2 * FINE_PARTS))
@@ -120,6 +123,7 @@ def find_variants(lines: DataFrame) -> DataFrame:
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lines")
         from xxhash import xxh3_128_intdigest
 
         for batch in batches:
@@ -186,6 +190,7 @@ def strip_lines(docs: DataFrame) -> DataFrame:
     out = T.StructType([*(f for f in docs.schema if f.name not in ("gone", "version")), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("lines")
         for batch in batches:
             names = batch.schema.names
             texts, gone = (batch.column(names.index(c)).to_pylist() for c in ("text", "gone"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, using, written
 from .components import components
 from .substring import Stretch, _hashes, mixed
 
@@ -112,6 +112,7 @@ def signatures(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
     """c, bands (a key for each) and sketch (16 bits of each coordinate); rows without words are left out."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             keys, at = batch.column(1), 0
             while at < batch.num_rows:
@@ -153,6 +154,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     """Of pairs (a, b), those whose shingle sets have a Jaccard similarity of at least ``similarity``."""
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             for begin in range(0, batch.num_rows, 50):
                 part = batch.slice(begin, 50)
@@ -175,6 +177,7 @@ def low_hashes(texts: DataFrame, shingle: int) -> DataFrame:
     """c, n (distinct shingles) and low: the ``LOW`` least hashes of a text's shingles (32 bits each), all if fewer."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             for begin in range(0, batch.num_rows, 100):
                 part = batch.slice(begin, 100)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import using, written
 
 MAX_TRAINING_ROWS = 100_000
 ACCEPT = 0.3
@@ -62,6 +62,7 @@ def document_statistics(docs: DataFrame, text: str = "text", keys: tuple[str, ..
     kept = docs.select(*keys).schema
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             flat = np.array([statistics(t or b"") for t in texts], np.float32).reshape(-1)
@@ -152,6 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     out = T.StructType([*features.drop("features").schema, T.StructField("score", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for batch in batches:
             x = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(batch.num_rows, -1)
             score = model.score(x) if model is not None else np.full(batch.num_rows, 0.5)
@@ -168,6 +170,7 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     model = fit(document_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), "_t"), labels)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)

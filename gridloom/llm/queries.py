@@ -21,8 +21,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
-    coded = bpe.bpe_encode(docs, tokenizer_path()).drop("text")
-    return bpe.bpe_decode(coded, tokenizer_path()).select(
+    return bpe.bpe_encode(docs, tokenizer_path(), decoded="decoded").select(
         "doc_id", bpe.token_counts().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import holds, using, written
 
 WINDOW = 50
 ANCHOR_WORDS = 15
@@ -65,6 +65,15 @@ _hashes = Hashes()
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _drop() -> None:
+    _hashes.clear()
+    _hashes.values64 = np.zeros(0, np.uint64)
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+holds("hashes", _drop)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
@@ -133,6 +142,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def find_blocks(docs: DataFrame, window: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             ids, versions = (np.asarray(batch.column(i)) for i in (0, 1))
             for begin, lists in _chunks(batch, "text"):
@@ -150,6 +160,7 @@ def find_windows(docs: DataFrame, window: int) -> DataFrame:
     """A row per window of the blocks listed in the column ``parts``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             ids, versions, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             for begin, lists in _chunks(batch, "text"):
@@ -168,6 +179,7 @@ def strip(docs: DataFrame, window: int, joined: bool) -> DataFrame:
     """Takes out the windows listed in ``spans``; kept words are joined by spaces."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        using("hashes")
         for batch in batches:
             spans = batch.column(2)
             for begin, lists in _chunks(batch, "text"):
