@@ -48,9 +48,8 @@ def keep_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.bpe_encode(docs.select("doc_id", "source", text_or_empty("text").alias("text")), path).drop("text")
-    return bpe.bpe_decode(coded, path).select("doc_id", "source", bpe.token_counts().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.bpe_encode(docs.select("doc_id", "source", text_or_empty("text").alias("text")), tokenizer_path(), decoded="decoded")
+    return coded.select("doc_id", "source", bpe.token_counts().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", keep_lines), ("near_dup", keep_one_of_each), ("mixing", keep_mix), ("bpe", encode)]
