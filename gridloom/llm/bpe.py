@@ -346,7 +346,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
 def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int, split_chars: int) -> DataFrame:
     """Rows of long text: pieces of ``split_chars`` are encoded by separate tasks and joined in a tree."""
     wide = df.drop(ids).withColumn("_row", F.monotonically_increasing_id())
-    kept = wide.schema
+    kept = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema])  # pieces after the first hold NULLs
     pieces = T.StructType([*kept, *(T.StructField(n, k) for n, k in (("_from", T.LongType()), ("_piece", T.StringType())))])
     coded = T.StructType([*pieces, T.StructField("_ids", T.BinaryType()), T.StructField("_places", T.BinaryType())])
 

@@ -93,3 +93,25 @@ def test_store(spark, tmp_path):
         assert (row.doc_id or 0, row.start, bytes(row.ids)) == (d, start, x + b"\x02\0\0\0")
         assert row.n_tokens == len(row.ids) // 4
         start += row.n_tokens
+
+
+def test_decoding_in_the_same_worker(spark):
+    rows = [(1, "Hello, World! naïve"), (2, None), (3, ""), (4, "ab" * 700), (5, "x y " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "body").selectExpr("doc_id", "body as text", "7 as other")
+    apart = bpe_decode(bpe_encode(df, PATH, split_chars=500, leaf_chars=64), PATH, text="said").drop("text")
+    at_once = bpe_encode(df, PATH, split_chars=500, leaf_chars=64, decoded="said")
+    assert sorted(at_once.columns) == sorted(apart.columns)
+    assert sorted(map(str, at_once.select(apart.columns).collect())) == sorted(map(str, apart.collect()))
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    from gridloom.llm import bpe, common, substring
+
+    bpe.encoder(PATH)
+    assert bpe._encoders
+    common.using("hashes")
+    substring._hashes.of([b"a", b"b"])
+    assert not bpe._encoders and substring._hashes
+    common.using("bpe")
+    assert not substring._hashes and len(substring._hashes.values64) == 0
+    assert substring._hashes.of([b"b"])[0] == substring._hashes.of([b"c", b"b"])[1]
