@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import bpe_encode
+from .bpe import ROWS_AT_ONCE, encoder
 
 WIDTHS = (8, 8, 16)
 RANK_BITS = 512
@@ -113,13 +113,22 @@ def ordered(df: DataFrame, doc_id: str = "doc_id", *then: str) -> DataFrame:
     return df.repartitionByRange(n, doc_id).sortWithinPartitions(doc_id, *then)
 
 
-def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", end_id: int | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, tokenizer_path: str | None = None) -> None:
     """Writes the ids (little-endian 32-bit, binary) of each document, in the order of ``ordered()`` partitions.
 
-    ``end_id`` is appended to every document.
+    ``end_id`` is appended to every document.  With ``tokenizer_path`` the column ``ids`` holds texts, which are encoded
+    where they are packed.
     """
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
+    def coded(column: pa.Array) -> Iterator[bytes | None]:
+        if tokenizer_path is None:
+            yield from column.to_pylist()
+            return
+        e = encoder(tokenizer_path)
+        for at in range(0, len(column), ROWS_AT_ONCE):
+            yield from (x.astype("<u4").tobytes() for x in e.encode_all(column.slice(at, ROWS_AT_ONCE).cast(pa.binary()).to_pylist()))
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, docs, held, total = 0, [], [], 0
 
@@ -129,7 +138,7 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "i
             return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array(v, pa.int64() if isinstance(v[0], int) else pa.binary()) for v in values)], ["shard", "n_docs", "n_tokens", "doc_ids", "known", "ends", "payload"])
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, x in zip(batch.column(0).to_pylist(), coded(batch.column(1)), strict=True):
                 docs.append(d)
                 held.append((x or b"") + tail)
                 total += len(held[-1]) // 4
@@ -156,7 +165,7 @@ def write_texts(df: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
     The texts are ordered, not their ids: range partitioning runs what stands before it twice.
     """
     docs = ordered(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    write_tokens(bpe_encode(docs, tokenizer_path, split_chars=None).select("doc_id", "ids"), path, end_id=end_id)
+    write_tokens(docs, path, ids="text", end_id=end_id, tokenizer_path=tokenizer_path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
