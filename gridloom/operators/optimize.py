@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import time
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +45,73 @@ def catalog(assets: DataFrame) -> DataFrame:
 PORTFOLIO = "scenario string, place int, entity long, kind string, cost double, uplift double, total_cost double, total_uplift double"
 
 
+#: Groups that what is left of a scenario is dealt into before its last scan.
+PIECES = 16
+#: Rows that a task holds before it prunes them again.
+HELD = 50_000
+
+
+def _undominated(frame: pd.DataFrame, columns: list[str], order: list[str]) -> pd.DataFrame:
+    """Of one scenario's rows, those that neither an earlier row of the entity nor ``_most`` earlier entities undercut."""
+    frame = frame.sort_values(order, ascending=[c in ("entity", "kind", "cost") for c in order], kind="stable")
+    most, least, low, keep = frame["_most"].iloc[0], {}, [], []
+    for entity, cost in zip(frame["entity"], frame["cost"], strict=True):
+        own = least.get(entity, math.inf)
+        keep.append(cost < own and (len(low) < most or cost < low[-1]))
+        if keep[-1]:
+            if own in low:
+                low.remove(own)
+            least[entity] = cost
+            bisect.insort(low, cost)
+            del low[int(min(most, len(low))) :]
+    return frame.loc[keep, columns]
+
+
+def contenders(items: DataFrame, budget: float, value: str, order: list[str]) -> DataFrame:
+    """The rows of each scenario that can be in its portfolio, taken by ``order`` (cost, entity and kind ascending, others descending).
+
+    A portfolio holds at most m = budget / least cost entities.  A row is out if an earlier row of its entity costs no
+    more, or if rows that cost no more come earlier for m other entities.  In the greedy scan all of these would have
+    fitted where the row fits, so its entity or m others are taken already.  In a best portfolio (ordered by value) the
+    row can be replaced by an earlier one whose entity is not in it, at no loss.  Both hold for any part of the rows, so
+    tasks prune their own first and a scenario's last group is small.
+    """
+    columns = list(dict.fromkeys(["scenario", *order, "entity", "kind", "cost", "uplift", value]))
+    fit = items.where((F.col(value) > 0) & (F.col("cost") <= budget)).select(*columns)
+    ratio = F.when(F.col("_least") > 0, F.floor(budget / F.col("_least") * (1 + 1e-9))).otherwise(F.lit(None))
+    most = fit.groupBy(F.col("scenario").alias("_scenario")).agg(F.min("cost").alias("_least"))
+    most = most.select("_scenario", F.coalesce(ratio.cast("double"), F.lit(math.inf)).alias("_most"))
+    every = fit.join(F.broadcast(most), F.col("scenario").eqNullSafe(F.col("_scenario"))).select(*columns, "_most")
+    both = [*columns, "_most"]
+
+    def prune(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_undominated(own, both, order) for _, own in frame.groupby("scenario", dropna=False)])
+
+    def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, again = [], 0, HELD
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n > again:
+                held = [prune(pd.concat(held))]
+                n = len(held[0])
+                again = max(HELD, 2 * n)
+        if held:
+            yield prune(pd.concat(held))
+
+    pruned = every.mapInPandas(tasks, every.schema)
+    return pruned.groupBy("scenario", F.pmod(F.xxhash64("entity"), F.lit(PIECES))).applyInPandas(prune, every.schema).select(*columns)
+
+
 def greedy(items: DataFrame, budget: float, by: str = "uplift_per_million") -> DataFrame:
     """Per scenario, the best value first, one per entity, skipping what no longer fits.
 
-    A scenario's choice is one sequential scan, so scenarios are what runs in parallel.
+    A scenario's choice is one sequential scan; only its ``contenders`` come to it.
     """
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["uplift"] > 0].sort_values([by, "uplift", "entity", "kind"], ascending=[False, False, True, True])
+        frame = frame.sort_values([by, "uplift", "entity", "kind"], ascending=[False, False, True, True])
         spent, gained, taken, rows = 0.0, 0.0, set(), []
         for row in frame.itertuples():
             if row.entity in taken or spent + row.cost > budget:
@@ -59,54 +121,61 @@ def greedy(items: DataFrame, budget: float, by: str = "uplift_per_million") -> D
             rows.append((row.scenario, len(rows) + 1, row.entity, row.kind, row.cost, row.uplift, spent, gained))
         return pd.DataFrame(rows, columns=["scenario", "place", "entity", "kind", "cost", "uplift", "total_cost", "total_uplift"])
 
-    return items.groupBy("scenario").applyInPandas(choose, PORTFOLIO)
+    return contenders(items, budget, "uplift", [by, "uplift", "entity", "kind"]).groupBy("scenario").applyInPandas(choose, PORTFOLIO)
+
+
+def _hull(options: list[tuple[float, float, str]]) -> list[tuple[float, float, float, int]]:
+    """The convex hull of one list from (0, 0) on as steps: rate, cost, value and the number of the option reached."""
+    hull = [(0.0, 0.0, -1)]
+    for cost, value, j in sorted(((c, v, j) for j, (c, v, _) in enumerate(options) if v > 0), key=lambda p: (p[0], -p[1])):
+        if value <= hull[-1][1]:
+            continue
+        while len(hull) > 1 and (value - hull[-1][1]) * (hull[-1][0] - hull[-2][0]) >= (hull[-1][1] - hull[-2][1]) * (cost - hull[-1][0]):
+            hull.pop()
+        hull.append((cost, value, j))
+    return [(math.inf if b[0] <= a[0] else (b[1] - a[1]) / (b[0] - a[0]), b[0] - a[0], b[1] - a[1], b[2]) for a, b in zip(hull, hull[1:], strict=False)]
 
 
 def best_choice(options: list[list[tuple[float, float, str]]], budget: float, seconds: float = math.inf) -> tuple[float, list[int]]:
-    """The most value of at most one (cost, value, name) per list within a budget, and which: branch and bound.
+    """The most value of at most one (cost, value, name) per list within a budget, and which: dynamic programming with a bound.
 
-    The bound fills the budget with the steps of each list's convex hull, steepest first, the last one in part.  When the
-    time is up the best choice so far is given.
+    List by list the choices so far that no other beats in cost and value are kept, unless their bound is below a choice
+    already known.  The bound fills the budget left with the steps of the other lists' convex hulls, steepest first, the
+    last one in part; without that part it is a choice.  When the time is up the best choice so far is given.
     """
-    hulls = []
-    for own in options:
-        hull = [(0.0, 0.0)]
-        for cost, value in sorted({(c, v) for c, v, _ in own if v > 0}, key=lambda p: (p[0], -p[1])):
-            if value <= hull[-1][1]:
-                continue
-            while len(hull) > 1 and (value - hull[-1][1]) * (hull[-1][0] - hull[-2][0]) >= (hull[-1][1] - hull[-2][1]) * (cost - hull[-1][0]):
-                hull.pop()
-            hull.append((cost, value))
-        hulls.append([(b[0] - a[0], b[1] - a[1]) for a, b in zip(hull, hull[1:], strict=False)])
-    order = sorted(range(len(options)), key=lambda i: -max((v / c if c else float("inf") for c, v in hulls[i]), default=0.0))
-    steps = sorted(((v / c if c else float("inf"), c, v, k) for k, i in enumerate(order) for c, v in hulls[i]), reverse=True)
-
-    def bound(k: int, left: float) -> float:
-        total = 0.0
-        for rate, cost, value, place in steps:
-            if place < k:
-                continue
-            if cost > left:
-                return total + (rate * left if cost else 0.0)
-            left, total = left - cost, total + value
-        return total
-
-    best, chosen = 0.0, [-1] * len(options)
-    stack: list[tuple[int, float, float, list[int]]] = [(0, budget, 0.0, [])]
+    hulls = [_hull(own) for own in options]
+    order = sorted(range(len(options)), key=lambda i: -max((step[0] for step in hulls[i]), default=0.0))
+    steps = sorted(((rate, place, cost, value, j) for place, i in enumerate(order) for rate, cost, value, j in hulls[i]), key=lambda x: (-x[0], x[1]))
+    cost, value, levels = np.zeros(1), np.zeros(1), []
     until = time.monotonic() + seconds
-    while stack and time.monotonic() < until:
-        k, left, value, path = stack.pop()
-        if value > best + 1e-9:
-            best, chosen = value, [-1] * len(options)
-            for depth, pick in enumerate(path):
-                chosen[order[depth]] = pick
-        if k == len(order) or value + bound(k, left) <= best + 1e-9:
-            continue
-        own = options[order[k]]
-        stack.append((k + 1, left, value, [*path, -1]))
-        for j in sorted(range(len(own)), key=lambda j: own[j][1]):
-            if own[j][1] > 0 and own[j][0] <= left:
-                stack.append((k + 1, left - own[j][0], value + own[j][1], [*path, j]))
+    for k in range(len(order) + 1):
+        rest = [x for x in steps if x[1] >= k]
+        upto = np.concatenate([[0.0], np.cumsum([x[2] for x in rest])])
+        gain = np.concatenate([[0.0], np.cumsum([x[3] for x in rest])])
+        rates = np.array([x[0] if x[2] > 0 else 0.0 for x in rest] + [0.0])
+        fits = np.searchsorted(upto, budget - cost, "right") - 1
+        low = value + gain[fits]
+        high = low + rates[fits] * (budget - cost - upto[fits])
+        if k == len(order) or time.monotonic() > until:
+            break
+        alive = np.flatnonzero(high >= low.max() - 1e-9 * max(1.0, abs(low.max())))
+        parts = [(cost[alive], value[alive], alive, np.full(len(alive), -1))]
+        for j, (c, v, _) in enumerate(options[order[k]]):
+            if v > 0:
+                ok = alive[cost[alive] + c <= budget]
+                parts.append((cost[ok] + c, value[ok] + v, ok, np.full(len(ok), j)))
+        cost, value, parent, pick = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.lexsort((-value, cost))
+        at = at[np.concatenate([[True], value[at][1:] > np.maximum.accumulate(value[at])[:-1]])]
+        cost, value = cost[at], value[at]
+        levels.append((parent[at], pick[at]))
+    state, chosen = int(low.argmax()), [-1] * len(options)
+    best = float(low[state])
+    for _, place, _, _, j in rest[: fits[state]]:
+        chosen[order[place]] = j
+    for k in range(len(levels) - 1, -1, -1):
+        chosen[order[k]] = int(levels[k][1][state])
+        state = int(levels[k][0][state])
     return best, chosen
 
 
@@ -124,7 +193,7 @@ def exact(items: DataFrame, budget: float, value: str = "uplift", seconds: float
                 rows.append((r["scenario"], len(rows) + 1, r["entity"], r["kind"], r["cost"], r["uplift"], spent, gained))
         return pd.DataFrame(rows, columns=["scenario", "place", "entity", "kind", "cost", "uplift", "total_cost", "total_uplift"])
 
-    return items.groupBy("scenario").applyInPandas(choose, PORTFOLIO)
+    return contenders(items, budget, value, [value, "cost", "entity", "kind"]).groupBy("scenario").applyInPandas(choose, PORTFOLIO)
 
 
 def portfolio(items: DataFrame, budget: float, seconds: float = 30.0) -> DataFrame:

@@ -1,10 +1,15 @@
 import itertools
+import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import optimize, raster, validate, whatif
+from gridloom.plans import queries
+
+from .oracle import DATA
 
 COLUMNS = "scenario string, entity long, kind string, cost double, uplift double, uplift_per_million double"
 
@@ -42,6 +47,48 @@ def test_exact_against_all_choices(spark, seed):
     assert sum(r["cost"] for r in got) <= budget and len({r["entity"] for r in got}) == len(got)
 
 
+def scanned(rows, budget):
+    """The greedy rule, row by row."""
+    spent, taken, out = 0.0, set(), []
+    for e, k, c, u in sorted((r for r in rows if r[3] > 0), key=lambda r: (-(r[3] / (r[2] / 1e6)), -r[3], r[0], r[1])):
+        if e not in taken and spent + c <= budget:
+            spent, taken = spent + c, taken | {e}
+            out.append((e, k))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruned_rows_change_no_portfolio(spark, seed):
+    rng = random.Random(seed)
+    cost = [lambda: rng.choice([3e6, 5e6, 11e6, 38e6]), lambda: rng.uniform(2e6, 30e6), lambda: rng.randint(1, 90) * 1e6][seed]
+    rows = [(e, k, cost(), float(rng.randint(-3, 30))) for e in range(400) for k in "abc"]
+    df, budget = items(spark, rows).repartition(5), 60e6
+    assert [(r["entity"], r["kind"]) for r in optimize.greedy(df, budget).orderBy("place").collect()] == scanned(rows, budget)
+    whole, _ = optimize.best_choice([[(c, u, k) for i, k, c, u in rows if i == e] for e in range(400)], budget)
+    got = optimize.exact(df, budget).collect()
+    assert sum(r["uplift"] for r in got) == pytest.approx(whole) and sum(r["cost"] for r in got) <= budget
+    assert optimize.contenders(df, budget, "uplift", ["uplift", "cost", "entity", "kind"]).count() < len(rows) / 2
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_registered_portfolios_see_every_part(spark):
+    every = queries._catalog(spark, DATA).collect()
+    for s in range(3):
+        rows = [(r["entity"], r["kind"], r["cost"], r["uplift"]) for r in every if r["entity"] % 3 == s]
+        got = queries.portfolio_greedy(spark, DATA).where(F.col("scenario") == f"s{s}").orderBy("place").collect()
+        assert [(r["entity"], r["kind"]) for r in got] == scanned(rows, 60e6)
+        most = {0: 0.0}  # by hundreds of dollars, rounded up: costs are the same few, so no sum is near the budget
+        for _, own in itertools.groupby(sorted(rows), key=lambda r: r[0]):
+            now = dict(most)
+            for _, _, c, u in own:
+                for spent, v in most.items():
+                    if u > 0 and (x := spent + math.ceil(c / 100)) <= 600_000:
+                        now[x] = max(now.get(x, 0.0), v + u)
+            most = now
+        got = queries.portfolio_exact(spark, DATA).where(F.col("scenario") == f"s{s}").agg({"uplift": "sum"}).first()[0]
+        assert got == pytest.approx(max(most.values()))
+
+
 def test_portfolio_takes_benefits_where_there_are_any(spark):
     rows = items(spark, ROWS).withColumns({"benefit": F.col("entity") * 4e6, "economic": F.lit(0.0), "property": F.lit(None).cast("double")})
     assert [(r["entity"], r["cost"]) for r in optimize.portfolio(rows, 10e6).orderBy("place").collect()] == [(1, 3.4e6), (2, 3.4e6), (4, 1e6)]
