@@ -36,8 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 #: Signatures this far below the similarity (four standard errors) are not verified.
 SLACK = 0.13
-#: The same (three standard errors) for pairs that no chosen member links.
-LATE_SLACK = 0.1
+#: Nothing looks again at pairs that no chosen member links, so these may miss the similarity by so many standard errors.
+LATE_ERRORS = 5
 BLOCK, ASKING = 256, 1024
 #: Least hashes kept of a text's shingles.
 LOW = 512
@@ -173,6 +173,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(true, "a binary, b binary").distinct()
 
 
+def least_agreeing(coordinates: int, similarity: float) -> int:
+    """Coordinates that sketches of a pair must agree on where no later step finds it."""
+    return math.floor(coordinates * similarity - LATE_ERRORS * math.sqrt(coordinates * similarity * (1 - similarity)))
+
+
 def low_hashes(texts: DataFrame, shingle: int) -> DataFrame:
     """c, n (distinct shingles) and low: the ``LOW`` least hashes of a text's shingles (32 bits each), all if fewer."""
 
@@ -198,7 +203,7 @@ def alike(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.nd
             out[i] = len(common) >= (similarity - 0.005) * (len(own) + len(other) - len(common))
         else:
             union = np.union1d(own, other)[:LOW]
-            out[i] = np.searchsorted(common, union[-1], "right") >= (similarity - 4 * math.sqrt(similarity * (1 - similarity) / LOW)) * len(union)
+            out[i] = np.searchsorted(common, union[-1], "right") >= (similarity - LATE_ERRORS * math.sqrt(similarity * (1 - similarity) / LOW)) * len(union)
     return out
 
 
@@ -216,11 +221,12 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
         asks, loose, c = np.asarray(group.column("asks")), np.asarray(group.column("loose")), np.array(group.column("c").to_pylist(), "S16")
         of, band = np.asarray(group.column("of").combine_chunks().dictionary_encode().indices), group.column("band")[0].as_py()
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        enough = least_agreeing(sketch.shape[1], similarity)
         a, b = [], []
         for i in left:
             once = right[(of[right] != of[i]) & (~loose[right] | (c[right] > c[i]))]  # of two that ask, one
             equal = sketch[once] == sketch[i]
-            near = equal.mean(axis=1) >= similarity - LATE_SLACK
+            near = equal.sum(axis=1) >= enough
             # only in the first bucket that both are in
             here = equal[near].reshape(int(near.sum()), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band
             found = once[near][here]

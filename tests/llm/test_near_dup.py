@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm.components import components
-from gridloom.llm.near_dup import LOW, alike, dart_minhash, near_duplicates
+from gridloom.llm.near_dup import LOW, alike, dart_minhash, least_agreeing, near_duplicates, shingles
 
 
 def shingle_set(text):
@@ -112,6 +112,18 @@ def test_links_that_no_chosen_member_shows(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [21981, 64181])
+def test_similar_pair_with_unlucky_sketches(spark, seed):
+    """Jaccard 0.8, and sketches that agree on 97 of 150 coordinates (of 100,000 such pairs the least)."""
+    common = [f"s{seed}w{i}" for i in range(84)]
+    texts = [" ".join(common + [f"{x}{seed}v{i}" for i in range(10)]) for x in "ab"]
+    document, element, _ = shingles([t.encode().split() for t in texts], 5)
+    sketch = dart_minhash(document, element, np.ones(len(element)), 150) & np.uint64(0xFFFF)
+    assert (sketch[0] == sketch[1]).sum() == 97 >= least_agreeing(150, 0.8) == 95
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == brute(list(enumerate(texts))) == {0: 0, 1: 0}
+
+
 def test_least_hashes_lose_no_similar_pair():
     r = np.random.default_rng(3)
     for n in (5, 100, 400, 3000):
