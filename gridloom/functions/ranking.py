@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 #: Ranges that distinct values are dealt into.
 RANGES = 200
 
@@ -30,6 +32,39 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
 
 
+def ordered_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same keys up to and including each, in an order without ties.
+
+    Rows are dealt into ranges of (keys, order), so neither a large key nor many equal values are one task; what is
+    summed without a range is a row per range.  The dealt table is stored: ranges are drawn once.
+    """
+    by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    dealt = stored(df.withColumn("_value", value).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # a row per range
+    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside"))
+    if keys:
+        starts = out.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(F.col(name) - F.col("_value")).alias("_start"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & out[k].eqNullSafe(starts[f"_{k}"])
+        out = out.join(starts, same).withColumn(name, F.col(name) - F.col("_start"))
+    return out.select(*df.columns, name)
+
+
+def place(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the row number within keys in an order without ties, as ``ordered_total`` counts it."""
+    return ordered_total(df, keys, order, F.lit(1).cast("long"), name)
+
+
+def average_rank(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """Adds the rank within keys by ``column`` ascending, ties at the mean of their places; rows without a value drop out."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    totals = ordered_total(counts, keys, [F.col(column)], F.col("_n"), "_upto")
+    return df.join(totals.select(*keys, column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name)), [*keys, column])
+
+
 def global_rank(df: DataFrame, column: str, name: str = "rank", percent: bool = False, average: bool = False) -> DataFrame:
     """Rank (1 for the least, ties alike) or percent_rank by ``column`` ascending, NULLs last and counted.
 

@@ -136,17 +136,18 @@ def _hull(options: list[tuple[float, float, str]]) -> list[tuple[float, float, f
     return [(math.inf if b[0] <= a[0] else (b[1] - a[1]) / (b[0] - a[0]), b[0] - a[0], b[1] - a[1], b[2]) for a, b in zip(hull, hull[1:], strict=False)]
 
 
-def best_choice(options: list[list[tuple[float, float, str]]], budget: float, seconds: float = math.inf) -> tuple[float, list[int]]:
+def best_choice(options: list[list[tuple[float, float, str]]], budget: float, seconds: float = math.inf) -> tuple[float, list[int], bool]:
     """The most value of at most one (cost, value, name) per list within a budget, and which: dynamic programming with a bound.
 
     List by list the choices so far that no other beats in cost and value are kept, unless their bound is below a choice
     already known.  The bound fills the budget left with the steps of the other lists' convex hulls, steepest first, the
-    last one in part; without that part it is a choice.  When the time is up the best choice so far is given.
+    last one in part; without that part it is a choice.  When the time is up the best choice so far is given; the last of
+    what is returned says whether the choice is proved to be the best.
     """
     hulls = [_hull(own) for own in options]
     order = sorted(range(len(options)), key=lambda i: -max((step[0] for step in hulls[i]), default=0.0))
     steps = sorted(((rate, place, cost, value, j) for place, i in enumerate(order) for rate, cost, value, j in hulls[i]), key=lambda x: (-x[0], x[1]))
-    cost, value, levels = np.zeros(1), np.zeros(1), []
+    cost, value, levels, proved = np.zeros(1), np.zeros(1), [], True
     until = time.monotonic() + seconds
     for k in range(len(order) + 1):
         rest = [x for x in steps if x[1] >= k]
@@ -157,6 +158,7 @@ def best_choice(options: list[list[tuple[float, float, str]]], budget: float, se
         low = value + gain[fits]
         high = low + rates[fits] * (budget - cost - upto[fits])
         if k == len(order) or time.monotonic() > until:
+            proved = k == len(order) or float(high.max()) <= float(low.max())
             break
         alive = np.flatnonzero(high >= low.max() - 1e-9 * max(1.0, abs(low.max())))
         parts = [(cost[alive], value[alive], alive, np.full(len(alive), -1))]
@@ -176,24 +178,27 @@ def best_choice(options: list[list[tuple[float, float, str]]], budget: float, se
     for k in range(len(levels) - 1, -1, -1):
         chosen[order[k]] = int(levels[k][1][state])
         state = int(levels[k][0][state])
-    return best, chosen
+    return best, chosen, proved
 
 
 def exact(items: DataFrame, budget: float, value: str = "uplift", seconds: float = math.inf) -> DataFrame:
-    """Per scenario, the portfolio of the most value with at most one intervention an entity (or the best found in time)."""
+    """Per scenario, the portfolio of the most value with at most one intervention an entity.
+
+    Beyond ``seconds`` the best found so far is given, with ``proved`` false.
+    """
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         groups = [g.sort_values("kind") for _, g in frame.groupby("entity", sort=True)]
-        _, picks = best_choice([list(zip(g["cost"], g[value], g["kind"], strict=True)) for g in groups], budget, seconds)
+        _, picks, proved = best_choice([list(zip(g["cost"], g[value], g["kind"], strict=True)) for g in groups], budget, seconds)
         rows, spent, gained = [], 0.0, 0.0
         for g, j in zip(groups, picks, strict=True):
             if j >= 0:
                 r = g.iloc[j]
                 spent, gained = spent + r["cost"], gained + r["uplift"]
-                rows.append((r["scenario"], len(rows) + 1, r["entity"], r["kind"], r["cost"], r["uplift"], spent, gained))
-        return pd.DataFrame(rows, columns=["scenario", "place", "entity", "kind", "cost", "uplift", "total_cost", "total_uplift"])
+                rows.append((r["scenario"], len(rows) + 1, r["entity"], r["kind"], r["cost"], r["uplift"], spent, gained, proved))
+        return pd.DataFrame(rows, columns=["scenario", "place", "entity", "kind", "cost", "uplift", "total_cost", "total_uplift", "proved"])
 
-    return contenders(items, budget, value, [value, "cost", "entity", "kind"]).groupBy("scenario").applyInPandas(choose, PORTFOLIO)
+    return contenders(items, budget, value, [value, "cost", "entity", "kind"]).groupBy("scenario").applyInPandas(choose, f"{PORTFOLIO}, proved boolean")
 
 
 def portfolio(items: DataFrame, budget: float, seconds: float = 30.0) -> DataFrame:
@@ -202,7 +207,7 @@ def portfolio(items: DataFrame, budget: float, seconds: float = 30.0) -> DataFra
     items: as for ``greedy``, with benefit (equity counted in), economic and property.
     """
     if items.where(F.col("benefit") > 0).isEmpty():
-        return greedy(items, budget)
+        return greedy(items, budget).withColumn("proved", F.lit(False))
     net = F.col("benefit") + F.coalesce("economic", F.lit(0.0)) - F.coalesce("property", F.lit(0.0)) - F.col("cost")
     return exact(items.withColumn("net", net), budget, "net", seconds)
 
@@ -210,8 +215,9 @@ def portfolio(items: DataFrame, budget: float, seconds: float = 30.0) -> DataFra
 def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row: differences in cost and uplift, and counts of items only in a, only in b and in both."""
     both = a.select(*keys, F.col("cost").alias("ca"), F.col("uplift").alias("ua"), F.lit(1).alias("a")).join(b.select(*keys, F.col("cost").alias("cb"), F.col("uplift").alias("ub"), F.lit(1).alias("b")), keys, "full")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    # decimals: the same sums in any order
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20,4)" if c[0] == "c" else "decimal(20,8)")), F.lit(0)).cast("decimal(38,8)")
     return both.agg(
-        F.round(total("cb") - total("ca"), 4).alias("delta_cost"), F.round(total("ub") - total("ua"), 4).alias("delta_uplift"),
+        (total("cb") - total("ca")).cast("double").alias("delta_cost"), F.round((total("ub") - total("ua")).cast("double"), 4).alias("delta_uplift"),
         F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"),
     )

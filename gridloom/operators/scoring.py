@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import global_rank, weighted_blend
+from ..functions.ranking import global_rank, place, weighted_blend
 
 # Base probability of failure by flood zone, and outside all zones.
 FLOOD_ZONES = {"VE": 0.85, "AE": 0.70, "A": 0.60, "AO": 0.40, "X": 0.05}
@@ -62,9 +62,9 @@ def hazard(assets: DataFrame) -> DataFrame:
 
 def composite(scored: DataFrame) -> DataFrame:
     """Adds composite = hazard * cascade * (1 + betweenness) and its rank in each scenario; gaps take background values."""
+    # products of short decimals: a last digit of 5 rounds up, whatever its binary rest
     value = F.coalesce("hazard", F.lit(NO_ZONE)) * F.col("cascade") * (1 + F.coalesce("betweenness", F.lit(0.0)))
-    order = Window.partitionBy("scenario").orderBy(F.col("composite").desc(), "entity")
-    return scored.withColumn("composite", F.round(value, 4)).withColumn("rank", F.row_number().over(order))
+    return place(scored.withColumn("composite", F.round(value + 1e-9, 4)), ["scenario"], [F.col("composite").desc(), F.col("entity")])
 
 
 def community(areas: DataFrame) -> DataFrame:
@@ -83,13 +83,18 @@ def vulnerability(areas: DataFrame) -> DataFrame:
     return global_rank(areas.withColumn("blend", F.round(0.7 * F.col("flood") + 0.3 * slope, 6)), "blend", "svi", percent=True)
 
 
-def exposure(served: DataFrame, people: DataFrame) -> DataFrame:
-    """root, population, benefit and economic part of what each root powers; an entity served twice counts twice."""
+def exposure(reached: DataFrame, powers: DataFrame, people: DataFrame) -> DataFrame:
+    """root, population, benefit and economic part of what each root powers; an entity served twice counts twice.
+
+    reached: root, node and depth, as ``graph.reach`` gives them.  People are summed by node before they meet the roots.
+    """
     per_person = 1.0
     for x in LOST_LOAD:
         per_person *= x
-    both = served.where("via = 'POWERS'").join(people, "entity")
-    out = both.groupBy("root").agg(F.sum("population").alias("population"), F.try_divide(F.sum(F.col("population") * F.col("income")), F.sum("population")).alias("income"))
+    nodes = powers.join(people, powers["dst"] == people["entity"]).groupBy(F.col("src").alias("node")).agg(F.sum("population").alias("population"), F.sum(F.col("population") * F.col("income")).alias("earned"))
+    times = reached.groupBy("root", "node").agg(F.count("*").alias("times"))
+    both = times.join(nodes, "node")
+    out = both.groupBy("root").agg(F.sum(F.col("population") * F.col("times")).alias("population"), F.try_divide(F.sum(F.col("earned") * F.col("times")), F.sum(F.col("population") * F.col("times"))).alias("income"))
     return out.select("root", "population", F.round(F.col("population") * per_person, 2).alias("benefit"), F.round(F.col("population") * per_person * 0.4, 2).alias("economic"), F.round(F.col("population") * F.coalesce("income", F.lit(0.0)) / 365, 2).alias("daily"))
 
 
@@ -106,11 +111,11 @@ def rank_movement(history: DataFrame, top: int = 10, step: int = 3, most: int =
 
     history: scenario, run, entity, rank.
     """
-    order = Window.partitionBy("scenario").orderBy(F.col("run").desc())
-    two = history.withColumn("_age", F.dense_rank().over(order)).where("_age <= 2")
-    now = two.where("_age = 1").select("scenario", "entity", "rank")
-    before = two.where("_age = 2").select("scenario", "entity", F.col("rank").alias("previous"))
+    runs = history.groupBy("scenario").agg(F.max("run").alias("run"))
+    older = history.join(runs.withColumnRenamed("run", "_newest"), "scenario").where(F.col("run") < F.col("_newest")).groupBy("scenario").agg(F.max("run").alias("run"))
+    now = history.join(runs, ["scenario", "run"]).select("scenario", "entity", "rank")
+    before = history.join(older, ["scenario", "run"]).select("scenario", "entity", F.col("rank").alias("previous"))
     moved = now.where(F.col("rank") <= top).join(before, ["scenario", "entity"], "left")
     moved = moved.where(F.col("previous").isNull() | (F.col("previous") > top) | (F.abs(F.col("rank") - F.col("previous")) >= step))
-    place = Window.partitionBy("scenario").orderBy("rank", "entity")
-    return moved.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most).drop("_place")
+    few = Window.partitionBy("scenario").orderBy("rank", "entity")  # at most ``top`` rows
+    return moved.withColumn("_place", F.row_number().over(few)).where(F.col("_place") <= most).drop("_place")

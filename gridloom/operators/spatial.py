@@ -62,23 +62,25 @@ def lines_in_boxes(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame
     return both.where(once).withColumn("length", (leave - enter) * whole).where("length > 0").drop("_cx", "_cy")
 
 
-def within_distance(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs of points (ax, ay) and (bx, by) at most ``radius`` apart, with ``dist``; cells are as wide as the radius."""
+def within_distance(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points (ax, ay) and (bx, by) with equal keys at most ``radius`` apart, with ``dist``; cells are as wide as the radius."""
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     left = a.withColumn("_cx", cell(F.col("ax"), radius)).withColumn("_cy", cell(F.col("ay"), radius))
     right = b.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumn("_cx", cell(F.col("bx"), radius) + F.col("_dx")).withColumn("_cy", cell(F.col("by"), radius) + F.col("_dy")).drop("_dx", "_dy")
-    return left.join(right, ["_cx", "_cy"]).withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("dist") <= radius).drop("_cx", "_cy")
+    return left.join(right, ["_cx", "_cy", *keys]).withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, most_rounds: int = 40) -> DataFrame:
-    """a_id, b_id and dist of the nearest b of each a, ties to the lesser b_id.
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, most_rounds: int = 40, keys: tuple[str, ...] = ()) -> DataFrame:
+    """a_id, b_id and dist of the nearest b (with the same keys) of each a, ties to the lesser b_id.
 
     Looks within ``radius`` and, unless bounded, doubles the reach for rows that found nothing; a row found within the
-    reach can have no nearer one beyond it.  Bounded: rows without one get NULLs.
+    reach can have no nearer one beyond it.  Bounded: rows without one get NULLs.  Rows whose keys no b has drop out.
     """
     left, found, reach = a, None, radius
+    if keys and not bounded:
+        left = a.join(b.select(*keys).distinct(), [*keys], "left_semi")
     for _ in range(1 if bounded else most_rounds):
-        pairs = within_distance(left, b, reach).groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_best"))
+        pairs = within_distance(left, b, reach, keys).groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_best"))
         got = pairs.select(a_id, F.col(f"_best.{b_id}").alias(b_id), F.col("_best.dist").alias("dist"))
         if bounded:
             return a.select(a_id).join(got, a_id, "left")
@@ -91,8 +93,6 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bou
     raise ValueError(f"no neighbour within {reach}")
 
 
-def nearest_by_group(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
-    """The nearest b of each a among those with the same keys."""
-    pairs = a.join(b, keys).withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    best = pairs.groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_best"))
-    return best.select(a_id, F.col(f"_best.{b_id}").alias(b_id), F.col("_best.dist").alias("dist"))
+def nearest_by_group(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str, radius: float = 1000.0) -> DataFrame:
+    """The nearest b of each a among those with the same keys; a key's points are looked through by cells."""
+    return nearest(a, b, a_id, b_id, radius, keys=tuple(keys))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.ranking import average_rank, global_rank, place
 
 
 def precision_recall(predicted: DataFrame, actual: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -16,14 +17,10 @@ def precision_recall(predicted: DataFrame, actual: DataFrame, keys: list[str], i
 
 
 def rank_stability(scores: DataFrame, key: str, base: str, changed: str, group: str, top: int = 10) -> DataFrame:
-    """By group: Spearman's rho of two scores, overlap of their top rows and whether the ranking is stable.
-
-    A group's ranks are window ranks: groups are what a perturbation makes of one ranking.
-    """
-    by = Window.partitionBy(group)
-    average = lambda c: F.rank().over(by.orderBy(F.col(c))) + (F.count("*").over(Window.partitionBy(group, c)) - 1) / 2.0
-    place = lambda c: F.row_number().over(by.orderBy(F.col(c).desc(), key))
-    ranked = scores.select(group, average(base).alias("ra"), average(changed).alias("rb"), place(base).alias("pa"), place(changed).alias("pb"))
+    """By group: Spearman's rho of two scores, overlap of their top rows and whether the ranking is stable."""
+    own = scores.select(group, key, base, changed)
+    ranked = average_rank(average_rank(own, [group], base, "ra"), [group], changed, "rb")
+    ranked = place(place(ranked, [group], [F.col(base).desc(), F.col(key)], "pa"), [group], [F.col(changed).desc(), F.col(key)], "pb")
     out = ranked.groupBy(group).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"), F.count_if((F.col("pa") <= top) & (F.col("pb") <= top)).alias("both"))
     rho, overlap = F.when(F.col("n") >= 3, F.round("rho", 4)), F.round(F.col("both") / F.least(F.col("n"), F.lit(top)), 4)
     return out.select(group, rho.alias("rho"), overlap.alias("overlap"), F.coalesce((rho >= 0.9) & (overlap >= 0.8), F.lit(False)).alias("stable"))
@@ -43,8 +40,6 @@ def sweep(assets: DataFrame, perturbations: DataFrame, top: int = 10) -> DataFra
 
 def rank_shifts(scores: DataFrame, key: str, base: str, changed: str, most: int = 15) -> DataFrame:
     """key, before, after and shift of the rows whose place changes most when one score replaces the other."""
-    from ..functions.ranking import global_rank
-
     both = global_rank(global_rank(scores.select(key, (-F.col(base)).alias("_a"), (-F.col(changed)).alias("_b")), "_a", "before"), "_b", "after")
     moved = both.withColumn("shift", F.col("before") - F.col("after")).where("shift <> 0")
     return moved.select(key, "before", "after", "shift").orderBy(F.abs("shift").desc(), "after", key).limit(most)

@@ -59,13 +59,13 @@ def water_downstream(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_SITES}, near as (select *, row_number() over (partition by s_suppkey order by dist, c_custkey) as rn from pairs where s_suppkey < 5)
+    f"""with {_SITES}, near as (select *, row_number() over (partition by s_suppkey order by dist, c_custkey) as rn from pairs)
 select 's' || s_suppkey as src, c_custkey::varchar as dst, 0.8::double as confidence from near where rn = 1 union all select c_custkey::varchar, 's' || s_suppkey, 0.8::double from near where rn = 1
 union all select 's' || s_suppkey, 'f' || c_custkey, 0.7::double from (select *, row_number() over (partition by s_suppkey order by dist, 'f' || c_custkey) as place from near where dist <= 5000) where place <= 5"""
 )
 def intermodal_links(spark: SparkSession, d: str) -> DataFrame:
     c, s = _sites(spark, d)
-    cities = s.where("s_suppkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("city"), F.col("bx").alias("ax"), F.col("by").alias("ay"))
+    cities = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("city"), F.col("bx").alias("ax"), F.col("by").alias("ay"))
     areas = c.select("c_custkey", F.col("ax").alias("bx"), F.col("ay").alias("by"))
     return build.intermodal(cities, areas, areas.withColumn("facility", F.concat(F.lit("f"), F.col("c_custkey").cast("string"))), "city", "c_custkey", "facility")
 

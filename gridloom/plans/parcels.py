@@ -95,15 +95,15 @@ def scenario_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive {FEEDS_SQL}, {POWERS_SQL}, {REACH_SQL.format(depth=3)}, served as (
+    f"""with recursive {FEEDS_SQL}, {POWERS_SQL}, {REACH_SQL.format(depth=20)}, served as (
   select root, node as entity, 'node' as kind, 'FEEDS' as via from reach where node <> root union select r.root, p.dst, p.kind, 'POWERS' from reach r join powers p on p.src = r.node
 )
-select root, kind, via, count(*) as entities, coalesce(sum(p_size * 10), 0)::bigint as population from served left join part on p_partkey = entity where root < 3 group by 1, 2, 3"""
+select root, kind, via, count(*) as entities, coalesce(sum(p_size * 10), 0)::bigint as population from served left join part on p_partkey = entity group by 1, 2, 3"""
 )
 def whatif_failure(spark: SparkSession, d: str) -> DataFrame:
-    failed = read(spark, d, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("root"))
+    failed = read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
     people = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), (F.col("p_size") * 10).alias("population"))
-    return whatif.failure(feeds(spark, d), powers(spark, d), failed, people, 3)
+    return whatif.failure(feeds(spark, d), powers(spark, d), failed, people, 20)
 
 
 @query(
