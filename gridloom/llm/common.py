@@ -6,10 +6,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
@@ -37,11 +38,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder: computed once, safe from lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+def written_with(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """The same as ``written``, and aggregates over the rows (by alias) that the writing job itself gathers."""
+    seen = Observation()
+    back = written(df.observe(seen, *measures), name)
+    return back, seen.get
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    back, seen = written_with(df, name, F.count(F.lit(1)).alias("n"))
+    return back, seen["n"]
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by ``written`` once everything made from it is itself written."""
+    path = _paths.pop(df, None)
+    if path:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written_with
+
+
+def _marked(links: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """Links stored, and what tells them from another round's; the writing job gathers it."""
+    return written_with(links, name, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,13 +32,10 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node), a row for each node that has a link.  Nodes may be of any type with an order."""
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges, seen = written(edges, "links"), None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-        if not mark[0]:
-            break
-        edges = written(_star(_star(edges, small=False), small=True), "stars")
+    edges, mark = _marked(edges, "links")
+    before = None
+    while mark["n"] and mark != before:
+        old, before = edges, mark
+        edges, mark = _marked(_star(_star(old, small=False), small=True), "stars")
+        discard(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -4,8 +4,8 @@ A line is compared without the ASCII white space around it.  Of equal lines the
 Lines of at least ``MIN_CHARS`` characters that one insertion, deletion or substitution turns into each other are near:
 a line goes if an earlier line is near.  Such lines share a variant, the line without one of its characters: two
 lines of equal length that differ at place i share the one without place i, and of two lines of lengths n and n + 1 the
-shorter is a variant of the longer.  All variants are emitted as hashed keys, with length and place as part of the key,
-so equal keys of 128 bits are the verified edit; the earliest line of each key wins.
+shorter is a variant of the longer.  All variants are emitted as hashed keys, with length and place as part of the key;
+equal keys are joined to the earliest line that has them, and the edit distance of such pairs is verified on the texts.
 
 Emitting every variant of every line would write a row per character.  A line can only share a variant if it also
 shares one half with a line of the same length or one more or less, so halves are counted first, then sixteenths among
@@ -13,7 +13,8 @@ the lines that remain, and only places inside shared sixteenths are emitted.  Bo
 
 Edge cases: null text stays null and has no lines; blank lines stay and never count; rows repeating a doc_id do not
 remove each other's lines but for near ones, and rows with a null doc_id are kept whole; an empty table gives an empty
-result; other columns pass through, and input columns named like outputs are replaced.
+result; a line or text of any length is compared whole, within the memory of its task; other columns pass through, and
+input columns named like the outputs n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import using, written
+from .common import counted, using, written
 
 MIN_CHARS = 20
+#: Columns of this module beside those of the input.
+VERSION, GONE = "_line_version", "_line_gone"
+ROWS_AT_ONCE = 500
+#: A line is common if it makes up this share of all lines or more, so there are at most 10,000 common lines.
+COMMON_SHARE = 1e-4
 PARTS, FINE_PARTS = 2, 16
 SPACE = b" \t\n\r\x0b\x0c"
 #: Candidate lines up to this many are sent to all tasks (under 100 bytes each); more are joined by a shuffle.
@@ -70,8 +75,8 @@ def find_lines(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_intdigest
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                rows = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(begin, ROWS_AT_ONCE)
                 where, no, h1, h2, keys = [], [], [], [], []
                 for i, text in enumerate(rows.column(2).cast(pa.binary()).to_pylist()):
                     for line, place in _first_lines(text).items():
@@ -83,9 +88,9 @@ def find_lines(docs: DataFrame) -> DataFrame:
                         decoded = line.decode()
                         keys.append(part_keys(decoded, PARTS) if len(decoded) >= MIN_CHARS else None)
                 taken = pa.array(where, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(taken), rows.column(1).take(taken), pa.array(no, pa.int32()), _longs(h1), _longs(h2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "version", "no", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(taken), rows.column(1).take(taken), pa.array(no, pa.int32()), _longs(h1), _longs(h2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", VERSION, "no", "h1", "h2", "keys"])
 
-    return docs.select("doc_id", "version", "text").mapInArrow(found, "doc_id long, version long, no int, h1 long, h2 long, keys array<long>")
+    return docs.select("doc_id", VERSION, "text").mapInArrow(found, f"doc_id long, {VERSION} long, no int, h1 long, h2 long, keys array<long>")
 
 
 def read_lines(docs: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def read_lines(docs: DataFrame) -> DataFrame:
                 texts = pa.array([lines[w["no"]].encode().strip(SPACE).decode() for w in wanted], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), pa.array([w["no"] for w in wanted], pa.int32()), _longs([w["h1"] for w in wanted]), _longs([w["h2"] for w in wanted]), texts], ["doc_id", "no", "h1", "h2", "line"])
 
-    return docs.select("doc_id", "version", "text", "wanted").drop("version").select("doc_id", F.lit(0).alias("_"), "text", "wanted").mapInArrow(read, "doc_id long, no int, h1 long, h2 long, line string")
+    return docs.select("doc_id", VERSION, "text", "wanted").drop(VERSION).select("doc_id", F.lit(0).alias("_"), "text", "wanted").mapInArrow(read, "doc_id long, no int, h1 long, h2 long, line string")
 
 
 def find_parts(lines: DataFrame) -> DataFrame:
@@ -157,43 +162,62 @@ def find_variants(lines: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """h1, h2 of lines that an earlier line is near to."""
+    """h1, h2 of lines that an earlier line is near to, by verified edit distance."""
     keyed = lines.where("keys is not null")
     halves = keyed.select(F.explode("keys").alias("key"), "h1")
     live = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
     held = halves.join(live, "key", "left_semi").select("h1").distinct()
     # what remains is a small share of the lines: the first of each kind, with its text
-    first = written(keyed.join(held, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no", "version")).alias("at")), "candidates")
-    wanted = first.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct("at.no", "h1", "h2")).alias("wanted"))
-    if first.count() <= BROADCAST_LINES:
+    first, n = counted(keyed.join(held, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no", VERSION)).alias("at")), "candidates")
+    wanted = first.groupBy("at.doc_id", f"at.{VERSION}").agg(F.collect_list(F.struct("at.no", "h1", "h2")).alias("wanted"))
+    if n <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    texts = written(read_lines(docs.select("doc_id", "version", "text").join(wanted, ["doc_id", "version"])).dropDuplicates(["h1", "h2"]), "candidate_lines")
+    texts = written(read_lines(docs.select("doc_id", VERSION, "text").join(wanted, ["doc_id", VERSION])).dropDuplicates(["h1", "h2"]), "candidate_lines")
 
     fine = find_parts(texts)
     shared = fine.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
     parts = fine.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("part").alias("parts"))
     # lines sharing a key with place are at most as many as there are characters, since they differ in one
-    variants = find_variants(texts.join(parts, ["h1", "h2"]))
-    key = Window.partitionBy("v1", "v2")
+    variants = written(find_variants(texts.join(parts, ["h1", "h2"])), "variants")
     at = F.struct("doc_id", "no", "h1", "h2")
-    judged = (
-        variants.withColumn("least", F.min(at).over(key))
-        .withColumn("least_whole", F.min(F.when(F.col("whole"), at)).over(key))
-        .withColumn("least_longer", F.min(F.when(~F.col("whole"), at)).over(key))
-        .withColumn("earlier", F.when(F.col("place") >= 0, F.col("least")).when(F.col("whole"), F.col("least_longer")).otherwise(F.col("least_whole")))
-    )
-    return judged.where(F.col("earlier") < at).select("h1", "h2").distinct()
+    earliest = variants.groupBy("v1", "v2").agg(F.min(at).alias("least"), F.min(F.when(F.col("whole"), at)).alias("least_whole"), F.min(F.when(~F.col("whole"), at)).alias("least_longer"), F.count("*").alias("n")).where("n > 1")
+    earlier = F.when(F.col("place") >= 0, F.col("least")).when(F.col("whole"), F.col("least_longer")).otherwise(F.col("least_whole"))
+    pairs = variants.join(earliest, ["v1", "v2"]).withColumn("earlier", earlier).where(F.col("earlier") < at)
+    pairs = pairs.select("h1", "h2", F.col("earlier.h1").alias("e1"), F.col("earlier.h2").alias("e2")).distinct()
+    both = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier")), ["e1", "e2"])
+    return verified(both).distinct()
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether at most one insertion, deletion or substitution turns one line into the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[same + (len(a) == len(b)) :] == b[same + 1 :]
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """h1, h2 of the lines that are one edit away from the one in the column ``earlier``."""
+
+    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [one_edit(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("h1", "h2", "line", "earlier").mapInArrow(true, "h1 long, h2 long")
 
 
 def strip_lines(docs: DataFrame) -> DataFrame:
     """Takes out the lines at the places in ``gone`` and their equals in the same text, and repeated lines."""
-    out = T.StructType([*(f for f in docs.schema if f.name not in ("gone", "version")), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = T.StructType([*(f for f in docs.schema if f.name not in (GONE, VERSION)), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("lines")
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             names = batch.schema.names
-            texts, gone = (batch.column(names.index(c)).to_pylist() for c in ("text", "gone"))
+            texts, gone = (batch.column(names.index(c)).to_pylist() for c in ("text", GONE))
             new, sizes, removed = [], [], []
             for text, places in zip(texts, gone, strict=True):
                 lines = text.split("\n") if text is not None else []
@@ -205,7 +229,7 @@ def strip_lines(docs: DataFrame) -> DataFrame:
                 new.append(None if text is None else "\n".join(stays))
                 sizes.append(len(lines))
                 removed.append(len(lines) - len(stays))
-            columns = {n: c for n, c in zip(names, batch.columns, strict=True) if n not in ("gone", "version")}
+            columns = {n: c for n, c in zip(names, batch.columns, strict=True) if n not in (GONE, VERSION)}
             columns |= {"text": pa.array(new, batch.schema.field("text").type), "n_lines": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in out], [f.name for f in out])
 
@@ -214,15 +238,20 @@ def strip_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with ``text`` cut down to the lines that stay, and n_lines and n_removed."""
-    every = docs.drop(*({"n_lines", "n_removed", "version", "gone"} - {doc_id, text})).withColumnsRenamed({doc_id: "doc_id", text: "text"})
-    whole = every.where("doc_id is not null").withColumn("version", F.xxhash64("text"))
-    lines = written(find_lines(whole), "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    every = docs.drop(*({"n_lines", "n_removed"} - {doc_id, text})).withColumnsRenamed({doc_id: "doc_id", text: "text"})
+    whole = every.where("doc_id is not null").withColumn(VERSION, F.xxhash64("text"))
+    lines, n = counted(find_lines(whole), "lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     near = near_lines(lines, whole).withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["h1", "h2"], "left").where("least < most or near")
-    gone = lines.select("doc_id", "version", "no", "h1", "h2").join(judged, ["h1", "h2"]).where("near or doc_id > least")
-    marks = gone.groupBy("doc_id", "version").agg(F.collect_set("no").alias("gone"))
-    out = strip_lines(whole.join(marks, ["doc_id", "version"], "left"))
+    judged = written(firsts.join(near, ["h1", "h2"], "left").where("least < most or near"), "judged")
+    # rows of common lines stay where they are: there are few such lines, so these go to all tasks
+    is_common = F.col("n") >= max(2.0, COMMON_SHARE * n)
+    common = F.broadcast(judged.where(is_common))
+    places = lines.select("doc_id", VERSION, "no", "h1", "h2")
+    rest = places.join(common.select("h1", "h2"), ["h1", "h2"], "left_anti").join(judged.where(~is_common), ["h1", "h2"])
+    gone = places.join(common, ["h1", "h2"]).union(rest).where("near or doc_id > least")
+    marks = gone.groupBy("doc_id", VERSION).agg(F.collect_set("no").alias(GONE))
+    out = strip_lines(whole.join(marks, ["doc_id", VERSION], "left"))
     untouched = every.where("doc_id is null").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
     return out.unionByName(untouched).withColumnsRenamed({"doc_id": doc_id, "text": text})
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Every source queues its documents in a shuffled order (by md5 of doc_id), as often as ``max_repeats`` times.  A queued
+Every source queues its documents in a shuffled order (by md5 of doc_id, or of the text's md5), as often as ``max_repeats`` times.  A queued
 document's virtual finish time is its source's cumulative size up to it, divided by the source's target.  The mix is
 all queued documents in order of finish time, cut off where their sizes reach the budget (the size of the input).
 
@@ -8,7 +8,8 @@ Cumulative sizes come from sums over ranges of the shuffle order plus a window i
 large, is one task.  The cut needs a histogram of finish times and the order of one of its ranges.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 are never
-taken; a source without words has target 0; repeated rows count one by one; an empty table gives an empty result.
+taken; a source without words has target 0; repeated rows count one by one; a text of any length is counted where it is;
+an empty table gives an empty result; only doc_id, text and source are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import text_or_empty, written
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Rows aimed at in a range of the shuffle order, and ranges of finish time for each unit of it.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 64, 65_536
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5_000, 64, 65_536
 #: A table of sources up to this many rows is broadcast (each under 200 bytes beside its name).
 BROADCAST_SOURCES = 10_000
 
@@ -67,14 +68,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     sized = written(
         docs.select(
             F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text_or_empty(text)).alias("size"),
+            F.when(F.col(doc_id).isNull(), F.md5(text_or_empty(text))).alias("unnamed"),
             *(F.col(c).alias(f"kept_{c}") for c in keep),
         ),
         "sized",
     )
     n = sized.count()
     ranges = max(1, math.ceil(n / RANGE_ROWS))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = sized.withColumn("key", key).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("unnamed")))  # rows without an id are shuffled by their text
+    sized = sized.withColumn("key", key).drop("unnamed").withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32))
 
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sources = written(source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_repeats), "sources")
@@ -121,7 +123,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
 
 SQL = r"""
 with sized as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as key,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))) as key,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
   from documents
 ), totals as (

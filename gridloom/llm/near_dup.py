@@ -1,6 +1,7 @@
 """Near-duplicate classes of documents with DartMinHash signatures.
 
-A document is the set of its runs of ``SHINGLE`` words.  Signatures: every element throws darts, a Poisson process over
+A document is a weighted set: its runs of ``SHINGLE`` words, weighing as often as they occur; two documents are near
+where the sum of the lesser weights is at least ``SIMILARITY`` of the sum of the greater.  Signatures: every element throws darts, a Poisson process over
 its weight and a rank axis whose points are hashes of (element, number of the throw), so documents sharing an element
 share its darts.  A dart lands on one of k coordinates; each coordinate keeps its earliest dart.  Only ranks below
 phi = (k ln k + 2k) / total weight are thrown, which fills all coordinates of most documents with k ln k + 2k darts,
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, using, written
+from .common import counted, discard, text_or_empty, using, written
 from .components import components
 from .substring import Stretch, _hashes, mixed
 
@@ -63,6 +64,23 @@ def shingles(lists: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarra
     return (found >> np.uint64(64 - DOC_BITS)).astype(np.int64), found & np.uint64((1 << (64 - DOC_BITS)) - 1), np.diff(np.append(first, len(keys)))
 
 
+def copies(element: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set as weighted: the n-th occurrence of an element is an element of its own.  Also how many each element has."""
+    if not len(count) or count.max() == 1:
+        return element, count
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    each = np.repeat(element, count)
+    return np.where(nth == 0, each, mixed(each + np.uint64(0x9FB21C651E98DF25) * nth.astype(np.uint64)) >> np.uint64(DOC_BITS)), count
+
+
+def weighted_sets(lists: list[list[bytes]], size: int) -> list[np.ndarray]:
+    """Of each document the sorted hashes of its shingles, repeated ones told apart by number."""
+    document, element, count = shingles(lists, size)
+    each, _ = copies(element, count)
+    sizes = np.bincount(document, count, minlength=len(lists)).astype(np.int64)
+    return [np.sort(x) for x in np.split(each, np.cumsum(sizes)[:-1])]
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -121,8 +139,8 @@ def signatures(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFra
                     lists.append((batch.column(2)[at].as_py() or "").encode().split())
                     n += len(lists[-1])
                     at += 1
-                document, element, _ = shingles(lists, shingle)
-                sig = dart_minhash(document, element, np.ones(len(element)), bands * rows)
+                document, element, count = shingles(lists, shingle)
+                sig = dart_minhash(document, element, count.astype(np.float64), bands * rows)
                 full = np.flatnonzero(np.bincount(document, minlength=len(sig)) if len(document) else np.zeros(0))
                 sig = sig[full]
                 parts = sig.reshape(len(sig), bands, rows)
@@ -151,7 +169,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+    """Of pairs (a, b), those whose weighted shingles have a Jaccard similarity of at least ``similarity``."""
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("hashes")
@@ -160,9 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 part = batch.slice(begin, 50)
                 n = part.num_rows
                 lists = [x.split() for i in (2, 3) for x in part.column(i).cast(pa.binary()).to_pylist()]
-                document, element, _ = shingles(lists, shingle)
-                own = np.split(element, np.cumsum(np.bincount(document, minlength=2 * n))[:-1])
-                good = []
+                own, good = weighted_sets(lists, shingle), []
                 for i in range(n):
                     common = len(np.intersect1d(own[i], own[n + i], assume_unique=True))
                     good.append(common >= similarity * (len(own[i]) + len(own[n + i]) - common) - 1e-9)
@@ -179,17 +195,16 @@ def least_agreeing(coordinates: int, similarity: float) -> int:
 
 
 def low_hashes(texts: DataFrame, shingle: int) -> DataFrame:
-    """c, n (distinct shingles) and low: the ``LOW`` least hashes of a text's shingles (32 bits each), all if fewer."""
+    """c, n (shingles) and low: the ``LOW`` least hashes of a text's weighted shingles (32 bits each), all if fewer."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("hashes")
         for batch in batches:
             for begin in range(0, batch.num_rows, 100):
                 part = batch.slice(begin, 100)
-                document, element, _ = shingles([x.split() for x in part.column(1).cast(pa.binary()).to_pylist()], shingle)
-                sizes = np.bincount(document, minlength=part.num_rows)
-                lows = [np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))[:LOW].tobytes() for x in np.split(element, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(lows, pa.binary())], ["c", "n", "low"])
+                own = weighted_sets([x.split() for x in part.column(1).cast(pa.binary()).to_pylist()], shingle)
+                lows = [np.unique((mixed(x) >> np.uint64(32)).astype("<u4"))[:LOW].tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(lows, pa.binary())], ["c", "n", "low"])
 
     return texts.select("c", "text").mapInArrow(least, "c binary, n long, low binary")
 
@@ -246,8 +261,9 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
     mine = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     asks = placed.where("loose").select("key", "band", "c", "of", every("blocks").alias("block"), mine("ask_blocks").alias("ask_block"), F.lit(True).alias("asks"), "loose")
     rest = placed.select("key", "band", "c", "of", mine("blocks").alias("block"), every("ask_blocks").alias("ask_block"), F.lit(False).alias("asks"), "loose")
-    texts = _one_each(placed.select(F.col("c").alias("a"), F.col("c").alias("b")), whole)
+    texts = _one_each(placed.select("c"), whole)
     held = written(low_hashes(texts, shingle).join(sketches.select("c", "sketch"), "c"), "low_hashes")
+    discard(texts)
     pairs = asks.union(rest).join(held, "c").groupBy("key", "block", "ask_block").applyInArrow(compare, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -273,13 +289,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     likely = written(promising(stars, sketches, similarity - SLACK), "likely")
     # one text of each kind: equal texts share c
     firsts = whole.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    links = written(verified(likely, _one_each(likely, whole), shingle, similarity), "verified")
+    links = _linked(likely, whole, shingle, similarity)
 
     classes = components(links)
-    more = written(unlinked(members.select("key", "band", "c"), centres, classes, sketches, whole, bands, shingle, similarity), "unlinked")
-    if more.count():
-        links = links.union(written(verified(more, _one_each(more, whole), shingle, similarity), "verified"))
-        classes = components(links)
+    more, late = counted(unlinked(members.select("key", "band", "c"), centres, classes, sketches, whole, bands, shingle, similarity), "unlinked")
+    if late:
+        classes = components(links.union(_linked(more, whole, shingle, similarity)))
+    for done in (distinct, members, centres, likely, more):
+        discard(done)
 
     named = whole.select("doc_id", "c").join(signed.select("c").distinct().withColumn("has_words", F.lit(True)), "c", "left").join(classes.select(F.col("node").alias("c"), "component"), "c", "left")
     named = named.withColumn("of", F.coalesce("component", "c"))
@@ -292,12 +309,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.union(none)
 
 
-def _one_each(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The texts that pairs need, each once."""
-    needed = written(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "needed")
-    if needed.count() <= BROADCAST_TEXTS:
-        needed = F.broadcast(needed)
-    return written(whole.join(needed, "c", "left_semi").dropDuplicates(["c"]).select("c", "text"), "texts")
+def _linked(pairs: DataFrame, whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs that are near indeed, stored."""
+    texts = _one_each(pairs.select(F.explode(F.array("a", "b")).alias("c")), whole)
+    links = written(verified(pairs, texts, shingle, similarity), "verified")
+    discard(texts)
+    return links
+
+
+def _one_each(keys: DataFrame, whole: DataFrame) -> DataFrame:
+    """The texts of the keys c, each once."""
+    needed, n = counted(keys.distinct(), "needed")
+    few = F.broadcast(needed) if n <= BROADCAST_TEXTS else needed
+    texts = written(whole.join(few, "c", "left_semi").dropDuplicates(["c"]).select("c", "text"), "texts")
+    discard(needed)
+    return texts
 
 
 SQL = r"""
@@ -308,11 +334,11 @@ with recursive texts as (
 ), known as (
   select doc_id, words, greatest(len(words) - 4, 1) as n from split where len(words) > 0
 ), shingles as (
-  select distinct doc_id, md5_number(array_to_string(words[place:place + 4], ' ')) as h from (select doc_id, words, unnest(range(1, n + 1)) as place from known)
+  select doc_id, md5_number(array_to_string(words[place:place + 4], ' ')) as h, count(*) as n from (select doc_id, words, unnest(range(1, n + 1)) as place from known) group by 1, 2
 ), sizes as (
-  select doc_id, count(*) as n from shingles group by doc_id
+  select doc_id, sum(n) as n from shingles group by doc_id
 ), common as (
-  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2
+  select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as n from shingles a join shingles b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2
 ), links as (
   select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c.n >= 0.8 * (x.n + y.n - c.n) - 1e-9
 ), ends as (select a, b from links union all select b, a from links),

@@ -1,13 +1,14 @@
 """A quality classifier: histogram gradient-boosted trees over statistics of a document's text.
 
 Statistics are computed where the documents are and kept in a small table.  Training takes labelled documents whose
-crc32(doc_id as text) mod 5 is not 0, at most ``MAX_TRAINING_ROWS`` of them (those with the least hash of doc_id), and
-their statistics alone to the driver.  Trees are complete and of one depth, flattened into arrays (feature, threshold,
+crc32(doc_id as text) mod 5 is not 0; of more than ``MAX_TRAINING_ROWS`` such labels, those whose hash of doc_id lies
+below that share.  Only their statistics come to the driver.  Trees are complete and of one depth, flattened into arrays (feature, threshold,
 leaf value), so scoring a batch is a few numpy gathers for each level of each tree.
 
 Edge cases: null and empty texts have statistics of zero length and get a score; labels without a document or with a
 null or contradictory quality teach nothing; without any usable label every score is 0.5; a null doc_id is never held
-out; repeated rows are scored alike; an empty table gives an empty result; input columns named like outputs are replaced.
+out; repeated rows are scored alike, whatever their number; a text of any length is one row of statistics, made in
+memory; an empty table gives an empty result; input columns named like outputs are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import using, written
+from .common import counted, using, written
 
 MAX_TRAINING_ROWS = 100_000
 ACCEPT = 0.3
@@ -98,9 +99,9 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 5, rate:
     feature, threshold, leaf = np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf, np.float32), np.zeros((trees, inner + 1))
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     base = float(np.log(share / (1 - share)))
+    numbers = np.arange(n)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")).astype(np.float32) for j in range(f)]
-    binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(f)], axis=1)  # value > edges[b] if and only if bin > b
-    cell = binned + np.arange(f) * bins
+    binned = np.stack([np.searchsorted(edges[j], x[:, j], "left").astype(np.int32) for j in range(f)])  # value > edges[b] if and only if bin > b
     raw = np.full(n, base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-raw))
@@ -108,8 +109,9 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 5, rate:
         node = np.zeros(n, np.int64)
         for level in range(depth):
             many = 2**level
-            at = ((node - (many - 1))[:, None] * (f * bins) + cell).reshape(-1)
-            sums = [np.bincount(at, np.repeat(v, f), many * f * bins).reshape(many, f, bins) for v in (g, h)]
+            begin = ((node - (many - 1)) * bins).astype(np.int32)
+            # a feature at a time: no array longer than the rows
+            sums = [np.stack([np.bincount(begin + own, v, many * bins).reshape(many, bins) for own in binned], axis=1) for v in (g, h)]
             (gl, hl), (ga, ha) = (np.cumsum(s, axis=2) for s in sums), (s.sum(axis=2, keepdims=True) for s in sums)
             gain = gl**2 / (hl + ridge) + (ga - gl) ** 2 / (ha - hl + ridge) - ga**2 / (ha + ridge)
             gain[(hl < least_weight) | (ha - hl < least_weight)] = 0
@@ -122,7 +124,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 5, rate:
             feature[t, ids] = j
             threshold[t, ids] = [edges[a][c] if ok else np.inf for a, c, ok in zip(j, b, good, strict=True)]
             mine = node - (many - 1)
-            node = 2 * node + 1 + (good[mine] & (binned[np.arange(n), j[mine]] > b[mine]))
+            node = 2 * node + 1 + (good[mine] & (binned[j[mine], numbers] > b[mine]))
         last = node - inner
         gs, hs = np.bincount(last, g, inner + 1), np.bincount(last, h, inner + 1)
         leaf[t] = -rate * gs / (hs + ridge)
@@ -136,13 +138,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fit(features: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Trees | None:
     """Trees learnt from the labelled documents that are not held out."""
-    sure = labels.where(F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("y"), F.max(quality).alias("z")).where("y = z")
-    rows = features.join(sure, "doc_id").where(~held_out("doc_id")).select("doc_id", "features", F.col("y").cast("int").alias("y"))
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_rows).toArrow()
+    known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("y"), F.max(quality).alias("z"))
+    sure, n = counted(known.where("y = z").where(~held_out("doc_id")).select("doc_id", F.col("y").cast("int").alias("y")), "labels")
+    if n > max_rows:
+        sure = sure.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_rows / n * 2**40))
+    few = features.join(F.broadcast(sure), "doc_id").select("doc_id", "features", "y").toArrow()  # about max_rows labels at most
     if not few.num_rows:
         return None
     x = np.asarray(few.column("features").combine_chunks().flatten()).reshape(few.num_rows, -1)
-    return train(x, np.asarray(few.column("y")).astype(np.float64))
+    y, ids = np.asarray(few.column("y")).astype(np.float64), np.asarray(few.column("doc_id"))
+    order = np.lexsort((*x.T, ids))[: 2 * max_rows]  # the same trees on every run, however many rows repeat a doc_id
+    return train(x[order], y[order])
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -53,10 +53,11 @@ def test_against_brute_force(spark, seed):
         return "".join(s) + r.choice(["", " ", "\r"])
 
     rows = [(i * 2 - 30, "\n".join(line() for _ in range(r.randint(0, 8)))) for i in range(60)] + [(500, None), (501, ""), (None, "x" * 30)]
-    df = spark.createDataFrame([(d, t, "v", 1) for d, t in rows], "doc_id long, text string, version string, n_lines int").repartition(3)
+    df = spark.createDataFrame([(d, t, "v", f"g{d}", 1) for d, t in rows], "doc_id long, text string, version string, gone string, n_lines int").repartition(3)
     got = dedup_lines(df).collect()
     assert {x.doc_id: x.text for x in got} == brute(rows)
     assert len(got) == len(rows)
+    assert all(x.version == "v" and x.gone == f"g{x.doc_id}" for x in got)
     for x in got:
         assert x.n_lines - x.n_removed == (len(x.text.split("\n")) if x.text else 0) or x.text == ""
 

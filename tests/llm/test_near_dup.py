@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from gridloom.llm.near_dup import LOW, alike, dart_minhash, least_agreeing, near
 
 def shingle_set(text):
     w = (text or "").encode().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute(rows):
@@ -23,7 +24,7 @@ def brute(rows):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            if s and t and len(s & t) >= 0.8 * len(s | t):
+            if s and t and (s & t).total() >= 0.8 * (s | t).total():
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: root(d) for d in parent}
@@ -36,7 +37,7 @@ def corpus(seed, groups=12):
         base = [f"w{r.randrange(400)}é" for _ in range(r.choice([3, 8, 60, 200]))]
         rows.append(list(base))
         for _ in range(r.choice([0, 1, 4, 12])):
-            copy = list(base)
+            copy = list(base) + base * r.choice([0, 0, 0, 1])
             for _ in range(r.choice([0, 1, 2, max(1, len(base) // 40)])):
                 copy[r.randrange(len(copy))] = f"e{r.randrange(10000)}"
             rows.append(copy)
@@ -124,6 +125,26 @@ def test_similar_pair_with_unlucky_sketches(spark, seed):
     assert {x.doc_id: x.class_id for x in got} == brute(list(enumerate(texts))) == {0: 0, 1: 0}
 
 
+def test_many_pairs_near_the_bound(spark):
+    """Pairs at a similarity of 0.8 to 0.83 are all found and pairs at 0.77 to 0.8 are not; some words repeat."""
+    r = random.Random(5)
+    rows, near = [], []
+    while len(near) < 600:
+        i, n = len(near), r.randint(40, 300)
+        words = [f"p{i}w{r.randrange(n)}" if r.random() < 0.8 else "the" for _ in range(n)]
+        copy = list(words)
+        cut = round(n * r.uniform(0.08, 0.14))
+        at = r.randrange(n - cut)
+        copy[at : at + cut] = [f"q{i}w{j}" for j in range(cut)]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(copy))
+        share = (a & b).total() / (a | b).total()
+        if 0.77 <= share < 0.83:
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+            near.append(share >= 0.8)
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(600)] == near and 150 < sum(near) < 500
+
+
 def test_least_hashes_lose_no_similar_pair():
     r = np.random.default_rng(3)
     for n in (5, 100, 400, 3000):
