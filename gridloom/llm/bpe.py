@@ -1,14 +1,18 @@
 """BPE encoding and decoding with a public tokenizer file.
 
-Method: tree concatenation.  Text without white space has no safe place to cut, so a long run is cut anyway, both
-halves are encoded on their own, and around the join a growing window is encoded until a token of the window is found,
-with the same place and id, in the left and in the right encoding.  Two tokens that BPE leaves side by side in one text
-stay side by side in any other, so left head + window + right tail is then exactly the encoding of the whole.
-``bpe_encode`` spreads the pieces of rows over ``split_chars`` over all tasks; runs inside other rows are joined in
-their task.  Between ASCII white space, words are independent: each task keeps the ids of words it has met.
-
-Edge cases: null text is encoded as the empty text (no ids); null or empty ids decode to ''; repeated rows stay; an
-empty table gives an empty table.  Output columns replace input columns of the same name; other columns pass through.
+Method: tree concatenation.  A text of more than ``LEAF_CHARS`` is cut without looking at what stands there, both halves
+are encoded on their own, and around the join a growing window is encoded until a token of the window is found, with the
+same place and id, in the left and in the right encoding.  Two tokens that BPE leaves side by side in one text stay side
+by side in any other, so left head + window + right tail is then exactly the encoding of the whole.  ``bpe_encode``
+spreads the pieces of rows over ``split_chars`` over all tasks; the halves of other rows are encoded in their task.
+Inside a half, words between ASCII white space are independent: each task keeps the ids of words it has met, and looks
+for the places of tokens only near the ends of the half, unless a window grows beyond.
+
+Rows over ``split_chars`` are looked for in a scan of their own, which costs less than writing all texts once.
+
+Edge cases: null text is encoded as the empty text (no ids); null or empty ids decode to ''; repeated rows stay; a very
+long text, with or without white space, is encoded in pieces; an empty table gives an empty table.  Output columns
+replace input columns of the same name; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import types as T
 
 from .common import holds, using
 
-#: Longest piece of unbroken text that is encoded at once.
+#: Longest stretch of text that is encoded at once.
 LEAF_CHARS = 8192
 #: Rows longer than this are cut into pieces that separate tasks encode.
-SPLIT_CHARS = 1 << 18
+SPLIT_CHARS = 1 << 15
+#: Columns of this module beside those of the input.
+ROW, FROM, PIECE, IDS, PLACES, INNER = "_bpe_row", "_bpe_from", "_bpe_piece", "_bpe_ids", "_bpe_places", "_bpe_inner"
 #: First reach of the window on each side of a join.
 WINDOW_CHARS = 64
 #: Words whose ids a Python worker remembers at most.
@@ -71,6 +77,9 @@ def simple_split(text: bytes) -> list[bytes] | None:
     return PIECES.findall(text.lower()) if b"'" not in text else None
 
 
+FIRST_SPACE, LAST_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]"), re.compile(r"[ \t\n\r\x0b\x0c](?=[^ \t\n\r\x0b\x0c]*\Z)")
+
+
 class Words(dict):
     """Numbers for words as they come; ``new`` holds those without ids yet."""
 
@@ -101,10 +110,13 @@ def safe_cut(text: str, at: int, added: list[str]) -> int:
 
 
 class Piece:
-    """Ids of a stretch of a text and the places in the text where their characters begin."""
+    """Ids of a stretch of a text and the places in the text where their characters begin.
+
+    inner: the part of the text whose tokens' places are not known (they are given as its begin), if any.
+    """
 
-    def __init__(self, ids: np.ndarray, places: np.ndarray) -> None:
-        self.ids, self.places = ids, places
+    def __init__(self, ids: np.ndarray, places: np.ndarray, inner: tuple[int, int] | None = None) -> None:
+        self.ids, self.places, self.inner = ids, places, inner
 
     def keys(self) -> list[tuple[int, int]]:
         return list(zip(self.places.tolist(), self.ids.tolist(), strict=True))
@@ -150,11 +162,27 @@ class Encoder:
         e = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
         return Piece(np.asarray(e.ids, np.uint32), np.fromiter((x[0] for x in e.offsets), np.int64, len(e.ids)) + begin)
 
+    def half(self, text: str, begin: int, end: int) -> Piece:
+        """As ``piece``, but words well inside take their ids from what is known."""
+        near = 2 * WINDOW_CHARS
+        inner = text[begin + near : end - near]
+        cuts = [m.start() for m in (FIRST_SPACE.search(inner), LAST_SPACE.search(inner)) if m]
+        if len(cuts) < 2 or cuts[0] >= cuts[1]:
+            return self.piece(text, begin, end)
+        h, t = (begin + near + x for x in cuts)
+        head, tail = self.piece(text, begin, h), self.piece(text, t, end)
+        ids = self.encode_all([text[h:t].encode()])[0]
+        return Piece(np.concatenate([head.ids, ids, tail.ids]), np.concatenate([head.places, np.full(len(ids), h), tail.places]), (h, t))
+
     def join(self, text: str, left: Piece, right: Piece, begin: int, at: int, end: int, reach: int = WINDOW_CHARS) -> Piece:
         """The encoding of text[begin:end] from those of text[begin:at] and text[at:end]."""
         while True:
             a = begin if at - reach <= begin else min(safe_cut(text, at - reach, self.added), at)
             b = end if at + reach >= end else min(safe_cut(text, at + reach, self.added), end)
+            if a > begin and left.inner and a < left.inner[1]:
+                left = self.piece(text, begin, at)
+            if b < end and right.inner and b > right.inner[0]:
+                right = self.piece(text, at, end)
             middle = self.piece(text, a, b)
             if a == begin and b == end:
                 return middle
@@ -175,7 +203,9 @@ class Encoder:
                 reach *= 2
                 continue
             head = left.ids[:i0] if a > begin else left.ids[:0], left.places[:i0] if a > begin else left.places[:0]
-            return Piece(*(np.concatenate(x) for x in zip(head, (middle.ids[j0:j1], middle.places[j0:j1]), (right.ids[i1:], right.places[i1:]), strict=True)))
+            unknown = [x.inner for x in (left if a > begin else None, right if b < end else None) if x is not None and x.inner]
+            inner = (unknown[0][0], unknown[-1][1]) if unknown else None
+            return Piece(*(np.concatenate(x) for x in zip(head, (middle.ids[j0:j1], middle.places[j0:j1]), (right.ids[i1:], right.places[i1:]), strict=True)), inner)
 
     def tree(self, text: str, pieces: list[Piece], cuts: list[int]) -> Piece:
         """Joins neighbours, level by level; pieces[i] encodes text[cuts[i]:cuts[i + 1]]."""
@@ -191,11 +221,19 @@ class Encoder:
             places.append(safe_cut(text, min(places[-1] + self.leaf_chars, len(text)), self.added))
         return places
 
-    def unbroken(self, text: str) -> np.ndarray:
-        if len(text) <= self.leaf_chars:
-            return self.encode(text)
+    def long(self, text: str) -> Piece:
+        """Halves, by the tree."""
         cuts = self.cuts(text)
-        return self.tree(text, [self.piece(text, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], cuts).ids
+        return self.tree(text, [self.half(text, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
+
+    def unbroken(self, text: str) -> np.ndarray:
+        return self.long(text).ids if len(text) > self.leaf_chars else self.encode(text)
+
+    def encode_texts(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text; long ones go by the tree, the words of others are looked up."""
+        found = [x.decode() if x is not None and len(x) > self.leaf_chars else None for x in texts]
+        out = self.encode_all([x if y is None or len(y) <= self.leaf_chars else b"" for x, y in zip(texts, found, strict=True)])
+        return [self.long(y).ids if y is not None and len(y) > self.leaf_chars else x for x, y in zip(out, found, strict=True)]
 
     def learn(self) -> None:
         """Finds the ids of new words, short ones many at a time.
@@ -327,7 +365,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 texts = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-                found = [x.astype("<u4").tobytes() for x in e.encode_all(texts)]
+                found = [x.astype("<u4").tobytes() for x in e.encode_texts(texts)]
                 if decoded is not None:
                     part = _replaced(_without(part, text), decoded, _decoded(e.tokenizer, found))
                 yield _replaced(part, ids, binary_array(found))
@@ -344,11 +382,14 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
 
 
 def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int, split_chars: int) -> DataFrame:
-    """Rows of long text: pieces of ``split_chars`` are encoded by separate tasks and joined in a tree."""
-    wide = df.drop(ids).withColumn("_row", F.monotonically_increasing_id())
-    kept = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema])  # pieces after the first hold NULLs
-    pieces = T.StructType([*kept, *(T.StructField(n, k) for n, k in (("_from", T.LongType()), ("_piece", T.StringType())))])
-    coded = T.StructType([*pieces, T.StructField("_ids", T.BinaryType()), T.StructField("_places", T.BinaryType())])
+    """Rows of long text: pieces of ``split_chars`` are encoded by separate tasks and joined in a tree.
+
+    The texts move once to be encoded and once, beside their ids, to be joined.  A document's pieces are one group.
+    """
+    wide = df.drop(ids).withColumn(ROW, F.monotonically_increasing_id())
+    kept = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema if f.name != text])  # pieces after the first hold NULLs
+    pieces = T.StructType([*kept, T.StructField(FROM, T.LongType()), T.StructField(PIECE, T.StringType())])
+    coded = T.StructType([*pieces, *(T.StructField(n, T.BinaryType()) for n in (IDS, PLACES)), T.StructField(INNER, T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(path, split_chars, 0)
@@ -359,35 +400,36 @@ def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int,
                 cuts = e.cuts(whole)
                 n = len(cuts) - 1
                 columns = []
-                for name, c in zip(row.schema.names, row.columns, strict=True):
-                    first = pa.concat_arrays([c, pa.nulls(n - 1, c.type)]) if name != "_row" else c.take(pa.array([0] * n))
-                    columns.append(first)
-                columns += [pa.array(cuts[:-1], pa.int64()), pa.array([whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], row.schema.field(text).type)]
-                yield pa.RecordBatch.from_arrays(columns, [*row.schema.names, "_from", "_piece"])
+                for f in kept:
+                    c = row.column(row.schema.get_field_index(f.name))
+                    columns.append(c.take(pa.array([0] * n)) if f.name == ROW else pa.concat_arrays([c, pa.nulls(n - 1, c.type)]))
+                columns += [pa.array(cuts[:-1], pa.int64()), pa.array([whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), FROM, PIECE])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, leaf_chars)
         for batch in batches:
-            found = []
-            for piece, begin in zip(batch.column(batch.schema.get_field_index("_piece")).to_pylist(), batch.column(batch.schema.get_field_index("_from")).to_pylist(), strict=True):
-                cuts = e.cuts(piece)
-                p = e.tree(piece, [e.piece(piece, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
+            found, inner = [], []
+            for piece, begin in zip(batch.column(batch.schema.get_field_index(PIECE)).to_pylist(), batch.column(batch.schema.get_field_index(FROM)).to_pylist(), strict=True):
+                p = e.long(piece)
                 found.append((p.ids.astype("<u4").tobytes(), (p.places + begin).astype("<i8").tobytes()))
-            columns = [*batch.columns, binary_array([x[0] for x in found]), binary_array([x[1] for x in found])]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_ids", "_places"])
+                inner.append(None if p.inner is None else [x + begin for x in p.inner])
+            columns = [*batch.columns, binary_array([x[0] for x in found]), binary_array([x[1] for x in found]), pa.array(inner, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, IDS, PLACES, INNER])
 
     def concatenated(group: pa.Table) -> pa.Table:
         e = encoder(path, leaf_chars)
-        group = group.sort_by("_from")
-        whole = group.column(text)[0].as_py()
-        cuts = [*group.column("_from").to_pylist(), len(whole)]
-        pieces = [Piece(np.frombuffer(a, "<u4"), np.frombuffer(b, "<i8")) for a, b in zip(group.column("_ids").to_pylist(), group.column("_places").to_pylist(), strict=True)]
-        row = group.slice(0, 1).select([f.name for f in kept if f.name != "_row"])
-        return row.append_column(ids, binary_array([e.tree(whole, pieces, cuts).ids.astype("<u4").tobytes()]))
-
-    spread = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    encoded = wide.mapInArrow(cut, pieces).repartition(int(spread), "_row", "_from").mapInArrow(code, coded)
-    return encoded.groupBy("_row").applyInArrow(concatenated, _with(df, ids, T.BinaryType()))
+        group = group.sort_by(FROM)
+        whole = "".join(group.column(PIECE).to_pylist())
+        cuts = [*group.column(FROM).to_pylist(), len(whole)]
+        parts = zip(*(group.column(c).to_pylist() for c in (IDS, PLACES, INNER)), strict=True)
+        pieces = [Piece(np.frombuffer(a, "<u4"), np.frombuffer(b, "<i8"), None if c is None else tuple(c)) for a, b, c in parts]
+        columns = {f.name: group.column(f.name).slice(0, 1) for f in kept} | {text: pa.array([whole]), ids: binary_array([e.tree(whole, pieces, cuts).ids.astype("<u4").tobytes()])}
+        return pa.table({f.name: columns[f.name] for f in out})
+
+    out = _with(df, ids, T.BinaryType())
+    encoded = wide.mapInArrow(cut, pieces).hint("rebalance", ROW, FROM).mapInArrow(code, coded)  # as many tasks as the pieces' size asks for
+    return encoded.groupBy(ROW).applyInArrow(concatenated, out)
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -45,6 +45,26 @@ def test_long_unbroken_run():
     assert Encoder(PATH, leaf_chars=1000).unbroken(text).tolist() == direct(text)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_halves_of_long_texts(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(ODD) for _ in range(r.choice([1, 2, 5, 40]))) if r.random() < 0.3 else r.choice(["tokenization", "the", "Über", "x."])
+    texts = [r.choice([" ", "\n", "\t "]).join(word() for _ in range(r.choice([30, 300, 900]))) for _ in range(12)] + ["e" * 3000 + " " + "ab" * 900]
+    e = Encoder(PATH, leaf_chars=r.choice([300, 500, 701]), cached_words=50)
+    made = []
+    e.long = lambda text, long=e.long: made.append(text) or long(text)
+    assert [x.tolist() for x in e.encode_texts([t.encode() for t in texts])] == [direct(t) for t in texts]
+    assert len(made) > 5
+
+
+def test_halves_in_separate_tasks(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["the", "naïve", "İstanbul", "x" * 50, "don't", "漢字"]) for _ in range(r.choice([5, 400, 2000]))) for _ in range(20)]
+    rows = [(i, "a" if i % 2 else None, t) for i, t in enumerate(texts)]
+    got = bpe_encode(spark.createDataFrame(rows, "doc_id long, _row string, text string"), PATH, split_chars=1500, leaf_chars=600).collect()
+    assert {x.doc_id: (x._row, x.text, np.frombuffer(x.ids, "<u4").tolist()) for x in got} == {i: (k, t, direct(t)) for i, k, t in rows}
+
+
 def test_forgetting_words():
     e = Encoder(PATH, cached_words=2)
     texts = [b"one two three", b"four five", b"one six"]
