@@ -53,7 +53,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256").drop("n_factors")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,25 @@
 """Exact removal of repeated passages by relative Lempel-Ziv parsing.
 
-The reference of a document is every document with a smaller doc_id, indexed in blocks.  A document is cut into
-overlapping blocks at places that its own words choose (the smallest hash of ``ANCHOR_WORDS`` words in every window of
-``window`` words), so equal passages are cut alike wherever they stand.  Each block, the windows that share an anchor,
-is a candidate factor: a block that occurs in the reference is one factor, at least ``window`` words long, and all of it
-is a duplicate span.  Where a factor ends inside a block, the block's windows are checked one by one against those of
-the other blocks with that anchor, so the union of spans is exactly the words under repeated windows.
+The reference of a document is every document with a smaller doc_id.  It is indexed in blocks: documents are cut at
+places that their own words choose (the smallest hash of ``ANCHOR_WORDS`` words in every window of ``window`` words), so
+equal passages are cut alike wherever they stand.  A block holds the windows that share such an anchor; the index has the
+earliest place of each block, and of each window of those blocks that occur with different surroundings.
+
+A document's blocks are joined to the index.  A block that is there matches as a whole; where the match ends inside a
+block, which is where a factor begins or ends, the block's windows are looked up one by one.  The document is then parsed
+greedily: from its first match on, a factor grows over block after block and window after window as long as the same
+place of the reference goes on, and the next factor begins where it does not.  Every factor has at least ``window`` words
+and is a duplicate span; since every window that occurs in the reference is in a match, the union of the spans is exactly
+the words under repeated windows.
 
 Shuffles move one row of hashes per block (about a twentieth of the words) and the texts once.  Anchors and blocks that
 very many documents share are counted before they move and joined back by plain joins, which Spark splits where skewed;
 nothing pairs the members of a group.  Only window hashes within one anchor need be distinct (64 bits each).
 
 Edge cases: null text has no words; documents shorter than the window lose nothing; rows repeating a doc_id are not in
-each other's reference; rows with a null doc_id are kept whole and are nobody's reference; an empty table gives an
-empty result; only doc_id and text are read, so other columns cannot clash.
+each other's reference; rows with a null doc_id are kept whole and are nobody's reference; very long texts are worked on
+one at a time, each in memory; an empty table gives an empty result; only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holds, using, written
+from .common import discard, holds, using, written
 
 WINDOW = 50
 ANCHOR_WORDS = 15
@@ -175,22 +181,37 @@ def find_windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "version", "text", "parts").mapInArrow(found, "doc_id long, version long, anchor long, hash long, first int")
 
 
+def factors(first: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse of one document: first window and number of windows of each factor, from left to right.
+
+    Matches are runs of n windows that stand in the reference ``ref`` from window ref_first on; none overlap, but rows may
+    be repeated.
+    """
+    _, once = np.unique(first, return_index=True)  # in order
+    first, n, ref, ref_first = (np.asarray(x)[once].astype(np.int64) for x in (first, n, ref, ref_first))
+    goes_on = (first[1:] == first[:-1] + n[:-1]) & (ref[1:] == ref[:-1]) & (ref_first[1:] == ref_first[:-1] + n[:-1])
+    begin = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    return first[begin], np.add.reduceat(n, begin)
+
+
 def strip(docs: DataFrame, window: int, joined: bool) -> DataFrame:
-    """Takes out the windows listed in ``spans``; kept words are joined by spaces."""
+    """Parses each document by its ``matches`` and takes the factors out; kept words are joined by spaces."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("hashes")
         for batch in batches:
-            spans = batch.column(2)
+            matches = batch.column(2)
             for begin, lists in _chunks(batch, "text"):
-                removed, texts = [], []
+                removed, texts, found = [], [], []
                 for i, words in enumerate(lists, begin):
-                    part = spans[i].values if spans[i].is_valid else None
+                    part = matches[i].values if matches[i].is_valid else None
                     if part is None or not len(part):
                         removed.append(0)
+                        found.append(0)
                         texts.append(b" ".join(words))
                         continue
-                    first, n = (np.asarray(part.field(x)).astype(np.int64) for x in range(2))
+                    first, n = factors(*(np.asarray(part.field(x)) for x in range(4)))
+                    found.append(len(first))
                     edges = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edges, first, 1)
                     np.add.at(edges, first + n + window - 1, -1)
@@ -199,13 +220,13 @@ def strip(docs: DataFrame, window: int, joined: bool) -> DataFrame:
                     texts.append(b" ".join([words[j] for j in np.flatnonzero(stays).tolist()]))
                 sizes = pa.array([len(x) for x in lists], pa.int64())
                 out = pa.array(texts, pa.binary()).cast(pa.string()) if joined else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(lists)), sizes, pa.array(removed, pa.int64()), out], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(lists)), sizes, pa.array(removed, pa.int64()), out, pa.array(found, pa.int64())], ["doc_id", "n_words", "n_removed", "kept", "n_factors"])
 
-    return docs.select("doc_id", "text", "spans").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text", "matches").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string, n_factors long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the text that is left, or its SHA-256) of each document."""
+    """doc_id, n_words, n_removed, kept (the text that is left, or its SHA-256) and n_factors of each document."""
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     whole = every.where("doc_id is not null").withColumn("version", F.xxhash64("text"))
     found = written(find_blocks(whole, window), "blocks")
@@ -213,19 +234,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     kinds = found.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     anchors = kinds.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("z"), F.count("*").alias("kinds")).where("a < z")
     shared = kinds.join(anchors.select("anchor", (F.col("kinds") > 1).alias("varied")), "anchor").where("varied or least < most")
-    marked = written(found.join(shared.select("anchor", "block", "least", "varied"), ["anchor", "block"]).where("doc_id > least or varied").withColumn("factor", F.col("doc_id") > F.col("least")), "factors")
-    factors = marked.where("factor").select("doc_id", "version", "first", "n")
-
-    # where factors end within blocks: the first document of each kind of block stands for all that have it
-    parts = marked.where("not factor").groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("parts"))
-    windows = find_windows(whole.join(parts, ["doc_id", "version"]), window)
-    earliest = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"))
-    checked = windows.join(earliest, ["anchor", "hash"]).where("doc_id > least").select("doc_id", "version", "first", F.lit(1).alias("n"))
-
-    spans = factors.union(checked).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    out = strip(whole.join(spans, ["doc_id", "version"], "left"), window, not digest)
-    null_spans = F.lit(None).cast("array<struct<first:int,n:int>>").alias("spans")
-    return out.union(strip(every.where("doc_id is null").select("doc_id", "text", null_spans), window, not digest))
+    marked = written(found.join(shared.select("anchor", "block", "least", "varied", (F.col("least") < F.col("most")).alias("shared")), ["anchor", "block"]), "marked")
+    discard(found)
+    index = marked.where("shared and doc_id = least").groupBy("anchor", "block").agg(F.min("first").alias("ref_first"))
+    matched = marked.where("doc_id > least").join(index, ["anchor", "block"]).select("doc_id", "version", "first", "n", F.col("least").alias("ref"), "ref_first")
+
+    # where matches end within blocks: the first document of each kind of block stands for all that have it
+    parts = marked.where("varied and doc_id = least").groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("parts"))
+    windows = written(find_windows(whole.join(parts, ["doc_id", "version"]), window), "windows")
+    earliest = windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "first")).alias("ref"), F.max("doc_id").alias("most")).where("ref.doc_id < most")
+    looked_up = windows.join(earliest, ["anchor", "hash"]).where(F.col("doc_id") > F.col("ref.doc_id")).select("doc_id", "version", "first", F.lit(1).alias("n"), F.col("ref.doc_id").alias("ref"), F.col("ref.first").alias("ref_first"))
+
+    matches = matched.union(looked_up).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n", "ref", "ref_first")).alias("matches"))
+    out = strip(whole.join(matches, ["doc_id", "version"], "left"), window, not digest)
+    no_matches = F.lit(None).cast("array<struct<first:int,n:int,ref:long,ref_first:int>>").alias("matches")
+    return out.union(strip(every.where("doc_id is null").select("doc_id", "text", no_matches), window, not digest))
 
 
 SQL = r"""

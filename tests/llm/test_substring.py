@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from gridloom.llm.substring import remove_repeats
+from gridloom.llm.substring import factors, remove_repeats
 
 
 def brute(rows, window):
@@ -49,3 +49,15 @@ def test_text_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(60))
     got = {x.doc_id: x.kept for x in remove_repeats(spark.createDataFrame([(1, text), (2, "a " + text + "  b")], "doc_id long, text string")).collect()}
     assert got == {1: text, 2: "a b"}
+
+
+def test_greedy_parse():
+    first, n = factors([10, 0, 12, 13, 14, 40, 40], [2, 4, 1, 1, 3, 1, 1], [7, 7, 7, 7, 9, 7, 7], [100, 50, 102, 104, 0, 3, 3])
+    assert list(zip(first.tolist(), n.tolist(), strict=True)) == [(0, 4), (10, 3), (13, 1), (14, 3), (40, 1)]
+
+
+def test_a_factor_grows_past_blocks(spark):
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[100:1900], "y"])), (3, " ".join(words[300:500] + words[900:1100])), (4, " ".join(words[:49]))]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (r.n_removed, r.n_factors) for d, r in got.items()} == {1: (0, 0), 2: (1800, 1), 3: (400, 2), 4: (0, 0)}
