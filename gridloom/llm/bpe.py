@@ -215,10 +215,10 @@ class Encoder:
             cuts = cuts[::2] if len(cuts) % 2 else [*cuts[::2], cuts[-1]]
         return pieces[0]
 
-    def cuts(self, text: str) -> list[int]:
+    def cuts(self, text: str, chars: int | None = None) -> list[int]:
         places = [0]
         while places[-1] < len(text):
-            places.append(safe_cut(text, min(places[-1] + self.leaf_chars, len(text)), self.added))
+            places.append(safe_cut(text, min(places[-1] + (chars or self.leaf_chars), len(text)), self.added))
         return places
 
     def long(self, text: str) -> Piece:
@@ -375,13 +375,11 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
         return df.mapInArrow(whole, out)
     long = F.length(text) > split_chars
     short = df.where(F.coalesce(~long, F.lit(True))).mapInArrow(whole, out)
-    rest = _encode_long(df.where(long), tokenizer_path, text, ids, leaf_chars, split_chars)
-    if decoded is not None:
-        rest = bpe_decode(rest.drop(text), tokenizer_path, ids, decoded)
+    rest = _encode_long(df.where(long), tokenizer_path, text, ids, leaf_chars, split_chars, decoded, out)
     return short.unionByName(rest.select(short.columns))
 
 
-def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int, split_chars: int) -> DataFrame:
+def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int, split_chars: int, decoded: str | None, out: T.StructType) -> DataFrame:
     """Rows of long text: pieces of ``split_chars`` are encoded by separate tasks and joined in a tree.
 
     The texts move once to be encoded and once, beside their ids, to be joined.  A document's pieces are one group.
@@ -392,12 +390,12 @@ def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int,
     coded = T.StructType([*pieces, *(T.StructField(n, T.BinaryType()) for n in (IDS, PLACES)), T.StructField(INNER, T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(path, split_chars, 0)
+        e = encoder(path, leaf_chars)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 whole = row.column(row.schema.get_field_index(text))[0].as_py()
-                cuts = e.cuts(whole)
+                cuts = e.cuts(whole, split_chars)
                 n = len(cuts) - 1
                 columns = []
                 for f in kept:
@@ -424,10 +422,13 @@ def _encode_long(df: DataFrame, path: str, text: str, ids: str, leaf_chars: int,
         cuts = [*group.column(FROM).to_pylist(), len(whole)]
         parts = zip(*(group.column(c).to_pylist() for c in (IDS, PLACES, INNER)), strict=True)
         pieces = [Piece(np.frombuffer(a, "<u4"), np.frombuffer(b, "<i8"), None if c is None else tuple(c)) for a, b, c in parts]
-        columns = {f.name: group.column(f.name).slice(0, 1) for f in kept} | {text: pa.array([whole]), ids: binary_array([e.tree(whole, pieces, cuts).ids.astype("<u4").tobytes()])}
+        found = [e.tree(whole, pieces, cuts).ids.astype("<u4").tobytes()]
+        columns = {f.name: group.column(f.name).slice(0, 1) for f in kept} | {text: pa.array([whole])}
+        if decoded is not None:  # here: another function after this one would take another worker, with a tokenizer of its own
+            columns[decoded] = _decoded(e.tokenizer, found)
+        columns[ids] = binary_array(found)
         return pa.table({f.name: columns[f.name] for f in out})
 
-    out = _with(df, ids, T.BinaryType())
     encoded = wide.mapInArrow(cut, pieces).hint("rebalance", ROW, FROM).mapInArrow(code, coded)  # as many tasks as the pieces' size asks for
     return encoded.groupBy(ROW).applyInArrow(concatenated, out)
 
