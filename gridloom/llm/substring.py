@@ -236,13 +236,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     shared = kinds.join(anchors.select("anchor", (F.col("kinds") > 1).alias("varied")), "anchor").where("varied or least < most")
     marked = written(found.join(shared.select("anchor", "block", "least", "varied", (F.col("least") < F.col("most")).alias("shared")), ["anchor", "block"]), "marked")
     discard(found)
-    index = marked.where("shared and doc_id = least").groupBy("anchor", "block").agg(F.min("first").alias("ref_first"))
+    # written, so that the join with what very many documents share is one that Spark can split
+    index = written(marked.where("shared and doc_id = least").groupBy("anchor", "block").agg(F.min("first").alias("ref_first")), "index")
     matched = marked.where("doc_id > least").join(index, ["anchor", "block"]).select("doc_id", "version", "first", "n", F.col("least").alias("ref"), "ref_first")
 
     # where matches end within blocks: the first document of each kind of block stands for all that have it
     parts = marked.where("varied and doc_id = least").groupBy("doc_id", "version").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("parts"))
     windows = written(find_windows(whole.join(parts, ["doc_id", "version"]), window), "windows")
     earliest = windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "first")).alias("ref"), F.max("doc_id").alias("most")).where("ref.doc_id < most")
+    earliest = written(earliest.drop("most"), "earliest")
     looked_up = windows.join(earliest, ["anchor", "hash"]).where(F.col("doc_id") > F.col("ref.doc_id")).select("doc_id", "version", "first", F.lit(1).alias("n"), F.col("ref.doc_id").alias("ref"), F.col("ref.first").alias("ref_first"))
 
     matches = matched.union(looked_up).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n", "ref", "ref_first")).alias("matches"))
