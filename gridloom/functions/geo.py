@@ -38,6 +38,20 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossings) % 2 == 1
 
 
+def ring_repaired(ring: Column) -> Column:
+    """The ring without points that are not finite or repeat the one before, closed; NULL where no area is left."""
+    good = F.filter(ring, lambda p: finite(p["x"], p["y"]))
+    apart = F.filter(good, lambda p, i: (i == 0) | (p != F.get(good, F.greatest(i - 1, F.lit(0)))))
+    ends_apart = F.get(apart, F.lit(0)) != F.get(apart, F.size(apart) - 1)
+    closed = F.when(ends_apart, F.concat(apart, F.slice(apart, F.lit(1), F.lit(1)))).otherwise(apart)
+    return F.when((F.size(closed) >= 4) & (ring_area(closed) > 0), closed)
+
+
+def ring_valid(ring: Column) -> Column:
+    """Whether a ring is closed, has at least four points, all finite and none repeating the one before, and an area."""
+    return F.coalesce(ring_repaired(ring).eqNullSafe(ring) & ring.isNotNull(), F.lit(False))
+
+
 def line_length(points: Column) -> Column:
     return F.aggregate(_edges(points), F.lit(0.0), lambda s, e: s + distance(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
 

@@ -24,6 +24,16 @@ MINUTE_VALUE, EVENTS, TIME_NORM = 10.0, 2, 120.0
 PERSON_VALUE, FLOOD_RISK = 1_000.0, 0.5
 
 
+# Asset types that a scenario may hold, their geometry, and the model that works out their costs.
+PALETTE = [("rail", "line", "rail"), ("road", "line", "road"), ("bridge", "line", "bridge"), ("substation", "point", "transmission")]
+
+
+def resolved(assets: DataFrame, column: str = "type") -> DataFrame:
+    """Adds geometry and model of each asset's type; NULLs for types that no scenario may hold."""
+    known = assets.sparkSession.createDataFrame(PALETTE, f"{column} string, geometry string, model string")
+    return assets.join(F.broadcast(known), column, "left")
+
+
 def overlay(base: DataFrame, added: DataFrame | None, removed: DataFrame | None, key: list[str]) -> DataFrame:
     """The base without what a scenario removed and with what it added or changed; the base itself stays as it is."""
     out = base
