@@ -27,6 +27,7 @@ from .common import counted, using, written
 
 MAX_TRAINING_ROWS = 100_000
 ACCEPT = 0.3
+ROWS_AT_ONCE = 500
 FEATURES = (
     "log_bytes", "log_words", "bytes_per_word", "upper", "digits", "stops", "symbols", "other_bytes", "spaces", "words_per_line", "blank_lines",
     "repeated_lines", "distinct_words", "most_common_word", "repeated_neighbours", "distinct_pairs", "compressed", "words_ending_in_symbols", "capital_words", "long_words",
@@ -64,7 +65,7 @@ def document_statistics(docs: DataFrame, text: str = "text", keys: tuple[str, ..
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("quality")
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             flat = np.array([statistics(t or b"") for t in texts], np.float32).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES)), pa.array(flat))
@@ -178,8 +179,8 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         using("quality")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
                 texts = rows.column(rows.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
                 x = np.array([statistics(t or b"") for t in texts], np.float32)
                 yield rows.filter(pa.array(model.score(x) >= ACCEPT if model is not None else np.ones(len(x), bool)))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.llm.bpe import Encoder, bpe_decode, bpe_encode
-from gridloom.llm.token_store import Packed, ordered, pack, read_tokens, write_tokens
+from gridloom.llm.token_store import Packed, ordered, pack, read_tokens, write_texts, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SMALL = Encoder(PATH, leaf_chars=7)
@@ -135,3 +135,21 @@ def test_a_worker_drops_what_another_operator_kept():
     common.using("bpe")
     assert not substring._hashes and len(substring._hashes.values64) == 0
     assert substring._hashes.of([b"b"])[0] == substring._hashes.of([b"c", b"b"])[1]
+
+
+def test_texts_written_as_the_registered_query_writes_them(spark, tmp_path):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["the", "Naïve", "x.", "漢字", "don't"]) for _ in range(r.choice([0, 3, 200]))) for _ in range(60)] + [None, "", "ab" * 9000]
+    rows = [(i * 37 % 63 - 20, t, "clash", 1) for i, t in enumerate(texts)] + [(5, "again", "clash", 1), (5, "again", "clash", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(4)
+    write_texts(df, path := str(tmp_path / "t"), PATH, end_id=2)
+    got = sorted(read_tokens(spark, path).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == sorted(x[0] for x in rows)
+    start, left = 0, {}
+    for d, t, _, _ in rows:
+        left.setdefault(d, []).append([*direct(t or ""), 2])
+    for x in got:
+        ids = np.frombuffer(x.ids, "<u4").tolist()
+        left[x.doc_id].remove(ids)
+        assert (x.start, x.n_tokens) == (start, len(ids))
+        start += len(ids)

@@ -62,3 +62,19 @@ def test_no_python_in_plan(spark):
     plan = df.sparkSession._jvm.PythonSQLUtils.explainString(fp.fingerprint(df, ["doc_id"], "text")._jdf.queryExecution(), "simple")
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_likeness_of_the_registered_query(spark):
+    """At the query's 32 samples: unbiased, and off by no more than its standard error says."""
+    r = random.Random(6)
+    # words of their own for every two documents, since draws belong to words
+    texts = [" ".join(f"w{i // 2}_{r.randrange(r.choice([5, 40]))}" for _ in range(r.randint(5, 60))) for i in range(300)]
+    got = sorted(fp.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda x: x.doc_id)
+    off = []
+    for i, row in enumerate(got):
+        own, after = texts[i], texts[(i + 1) % 300]
+        half = len(own) // 2
+        for other, said in ((after, row.near_next), (own[: len(own) - half] + after[:half], row.near_edited)):
+            a, b = Counter(own.split()), Counter(other.split())
+            off.append(said - (a & b).total() / (a | b).total())
+    assert abs(sum(off) / len(off)) < 0.03 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.1
