@@ -75,23 +75,32 @@ def history(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
 
 
 def _rewriting(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Versions are folders v=<batch>, so a batch that runs again replaces its own version and readers see whole tables."""
+    """Versions are folders v=<batch>, so a batch that runs again replaces its own version and readers see whole tables.
+
+    Versions before the last one that a batch may be made from again are deleted.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         old = read_version(batch.sparkSession, path, number - 1)
         (merge(old, batch) if old is not None else merge(batch.limit(0), batch)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        fs, versions = _versions(batch.sparkSession, path)
+        for old in sorted(v for v in versions if v < number)[:-1]:
+            fs.delete(batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
 
     return sink
 
 
-def read_version(spark, path: str, number: int | None = None) -> DataFrame | None:
-    """The table as of a batch, or the last."""
+def _versions(spark, path: str) -> tuple:
+    """The file system, and the numbers of the versions that are there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(hadoop):
-        return None
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v="))
-    versions = [v for v in versions if number is None or v <= number]
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    return fs, [int(n[2:]) for n in names if n.startswith("v=")]
+
+
+def read_version(spark, path: str, number: int | None = None) -> DataFrame | None:
+    """The table as of a batch, or the last."""
+    versions = sorted(v for v in _versions(spark, path)[1] if number is None or v <= number)
     return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
 
 

@@ -80,3 +80,21 @@ def test_lookups(spark):
     scores = spark.createDataFrame([(1, 10.0, 0.5), (2, 4.0, None)], "entity long, cascade double, betweenness double")
     units = spark.createDataFrame([(1, "B", False), (1, "A", False), (2, "C", True)], "entity long, plant string, running boolean")
     assert sorted(map(tuple, upkeep.current_state(scores, units).collect())) == [(1, 15.0, True, "A, B"), (2, 4.0, False, "C")]
+
+
+def test_cell_shares_against_counted_places(spark):
+    """Shares of a square and a triangle by the nearest of five sites, against 40,000 places counted one by one."""
+    import numpy as np
+
+    from gridloom.operators import clip
+
+    sites = [(1, 10.0, 10.0), (2, 90.0, 20.0), (3, 50.0, 80.0), (4, 52.0, 40.0), (5, 300.0, 300.0)]
+    p = lambda *at: [{"x": float(x), "y": float(y)} for x, y in at]
+    rings = [("square", p((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))), ("triangle", p((0, 0), (100, 0), (0, 100), (0, 0)))]
+    areas = spark.createDataFrame(rings, "area string, ring array<struct<x:double,y:double>>")
+    got = {(r.area, r.site): r.share for r in clip.cell_shares(areas, spark.createDataFrame(sites, "site long, bx double, by double"), "area", "site", 1000.0).collect()}
+    x, y = (v.reshape(-1) + 0.25 for v in np.meshgrid(np.arange(0, 100, 0.5), np.arange(0, 100, 0.5)))
+    owner = np.argmin([(x - u) ** 2 + (y - v) ** 2 for _, u, v in sites], axis=0) + 1
+    for area, inside in (("square", x >= 0), ("triangle", x + y < 100)):
+        for site in range(1, 6):
+            assert abs(got.get((area, site), 0.0) - (owner[inside] == site).mean()) < 0.01
