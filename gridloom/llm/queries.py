@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, mixing, near_dup, quality, substring, token_store, topk
+from . import bpe, chat, fingerprints, line_dedup, mixing, near_dup, prefix_trie, quality, substring, token_store, topk
 from .common import new_path, table, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("a", "b")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -95,4 +100,5 @@ SQL: dict[str, str] = {
     "op6_substring": substring.SQL,
     "op9_mixing": mixing.SQL,
     "op10_minhash": near_dup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
