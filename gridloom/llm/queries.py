@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, mixing, near_dup, prefix_trie, quality, substring, token_store, topk
+from . import bpe, chat, divergence, fingerprints, line_dedup, maximal_repeats, mixing, near_dup, prefix_trie, quality, substring, token_store, topk
 from .common import new_path, table, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
@@ -79,6 +79,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("a", "b")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -91,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_divergence": op12_divergence,
+    "op13_maximal_repeats": op13_maximal_repeats,
 }
 
 SQL: dict[str, str] = {
@@ -101,4 +111,6 @@ SQL: dict[str, str] = {
     "op9_mixing": mixing.SQL,
     "op10_minhash": near_dup.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_maximal_repeats": maximal_repeats.SQL,
 }
