@@ -281,7 +281,8 @@ def occurrences(texts: DataFrame, least: int = LEAST, merged: bool = False) -> D
     """
     found = written(find_blocks(texts, least), "blocks")
     anchors = found.groupBy("anchor").agg(F.sum("times").alias("places"), F.min("block").alias("a"), F.max("block").alias("z")).where("places > 1")
-    marked = written(found.join(anchors.select("anchor", (F.col("a") < F.col("z")).alias("varied")), "anchor"), "marked")
+    anchors = written(anchors.select("anchor", (F.col("a") < F.col("z")).alias("varied")), "anchors")  # so that the join is one that Spark can split
+    marked = written(found.join(anchors, "anchor"), "marked")
     discard(found)
     kinds = marked.where("varied").groupBy("anchor", "block").agg(F.sum("times").alias("places"), F.min(F.struct("k1", "k2", "first", "n", "before")).alias("one"))
     kinds = written(kinds.select("anchor", "block", "places", "one.*"), "kinds")
