@@ -41,7 +41,7 @@ SCALE = 1_000_000_000
 LEAST_DOCS = 10
 TOP_TERMS = 10
 MOST_LIGHT = 16
-TILE_TERMS, TILE_SOURCES = 2048, 64
+TILE_TERMS, TILE_SOURCES = 512, 64
 #: Different terms that a task holds before it gives their counts away.
 FLUSH_TERMS = 200_000
 #: Bytes of a text that are cut into terms at once.
