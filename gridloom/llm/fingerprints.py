@@ -8,8 +8,10 @@ with probability sum(min weights) / sum(max weights), the generalised Jaccard si
 The offers of a document are reduced where its words are, so a shuffle moves one row of ``SAMPLES`` numbers per text.
 
 Edge cases: a null text is the empty text; texts without words share one fingerprint that agrees with no other; equal
-texts have equal fingerprints; rows repeating a doc_id stay separate, ordered by text; a null doc_id sorts first; the
-document after the last is the first, so a single document is its own next; an empty table gives an empty result.
+texts have equal fingerprints; rows repeating a doc_id stay separate, ordered by a hash of the text; a null doc_id sorts
+first; the document after the last is the first, so a single document is its own next; a text of any length is split into
+words and counted in the row that it is in; only doc_id and text are read, so other columns cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,43 +75,60 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """row, doc_id, text, next_row, next_text: each document beside the next in ascending doc_id order.
 
-    Documents are dealt into groups of neighbouring ids, so that no task orders more than a group.
+    Documents are dealt into groups of neighbouring ids, so that no task orders more than a group.  Rows of an id that
+    many rows have, or of none, are dealt by a hash of their text.  A row is known by its group and its place there, so
+    whoever reads the documents anew, in whatever order, knows it by the same.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    n, low = base.agg(F.count("*"), F.min("doc_id")).first()
+    u = F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1 << 32))
+    base = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), u.alias("u"))
+    n, known, low = base.agg(F.count("*"), F.count("doc_id"), F.min("doc_id")).first()
     groups = max(1, math.ceil(n / GROUP_ROWS))
     shares = [i / min(groups, BOUNDS) for i in range(1, min(groups, BOUNDS))]
-    found = base.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares and low is not None else []
-    bounds = sorted(set(found or []))
-    part, cell = F.lit(0), F.lit(0)
+    found = (base.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares and low is not None else None) or []
+    bounds, cells = sorted(set(found)), math.ceil(groups / BOUNDS)
+    part, cell, slot = F.lit(0), F.lit(0), F.lit(0).cast("long")
+    spread = lambda many: F.floor(F.col("u") * F.lit(many) / F.lit(float(1 << 32)))
     if bounds:
         array = F.array(*(F.lit(b) for b in bounds))
         # the number of lesser bounds, without a lambda: plans that hold one are not seen to be equal and would not share an exchange
         part = F.coalesce(F.array_position(F.sort_array(F.array_append(array, F.col("doc_id"))), F.col("doc_id")) - 1, F.lit(0)).cast("int")
-        cells = math.ceil(groups / BOUNDS)
         if cells > 1:  # equal cells between the bounds
             before, after = F.get(array, part - 1), F.get(array, part)
             cell = F.coalesce(F.least(F.floor((F.col("doc_id") - before) * cells / (after - before)), F.lit(cells)), F.lit(0))
-    base = base.withColumn("part", part).withColumn("cell", cell.cast("long"))
-
-    # a row per group: its first id, and the group before it, which gets a copy of its first document
-    groups = base.groupBy("part", "cell").agg(F.min(F.struct("doc_id")).alias("first"))
-    parts = groups.groupBy("part").agg(F.max("cell").alias("last_cell"))
+        # an id that is several bounds is the last of its part; as many slots as bounds, times cells
+        hot = {b: found.count(b) * cells for b in bounds if found.count(b) > 1}
+        if hot:
+            many = F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("doc_id"))
+            slot = F.coalesce(F.floor(F.col("u") * many / F.lit(float(1 << 32))) + 1, slot)
+    if n > known:  # before all others
+        many = max(1, math.ceil((n - known) / GROUP_ROWS))
+        slot = F.when(F.col("doc_id").isNull(), spread(many) - many).otherwise(slot)
+    base = base.withColumn("part", part).withColumn("cell", cell.cast("long")).withColumn("slot", slot.cast("long"))
+
+    # a row per group: its first row, and the group before it, which gets a copy of that row
+    key = ["part", "cell", "slot"]
+    groups = base.groupBy(*key).agg(F.min(F.struct("doc_id", "u")).alias("first"))
+    parts = groups.groupBy("part").agg(F.max(F.struct("cell", "slot")).alias("last"))
     over = Window.orderBy("part")
-    end = parts.agg(F.max(F.struct("part", "last_cell"))).first()[0] or (0, 0)
-    parts = parts.select("part", F.lag("part").over(over).alias("part_before"), F.lag("last_cell").over(over).alias("last_cell"))
-    groups = groups.withColumn("cell_before", F.lag("cell").over(Window.partitionBy("part").orderBy("cell"))).join(parts, "part")
+    end = parts.agg(F.max(F.struct("part", "last"))).first()[0] or (0, (0, 0))
+    parts = parts.select("part", F.lag("part").over(over).alias("part_before"), F.lag("last").over(over).alias("last"))
+    groups = groups.withColumn("before", F.lag(F.struct("cell", "slot")).over(Window.partitionBy("part").orderBy("cell", "slot"))).join(parts, "part")
     heads = groups.select(
-        F.col("part").alias("own_part"), F.col("cell").alias("own_cell"), F.col("first.doc_id").alias("first_id"),
-        F.when(F.col("cell_before").isNotNull(), F.col("part")).otherwise(F.coalesce("part_before", F.lit(end[0]))).alias("to_part"),
-        F.coalesce("cell_before", "last_cell", F.lit(end[1])).alias("to_cell"),
+        *(F.col(k).alias(f"own_{k}") for k in key), F.col("first.doc_id").alias("first_id"), F.col("first.u").alias("first_u"),
+        F.when(F.col("before").isNotNull(), F.col("part")).otherwise(F.coalesce("part_before", F.lit(end[0]))).alias("to_part"),
+        *(F.coalesce(f"before.{k}", f"last.{k}", F.lit(end[1][i])).alias(f"to_{k}") for i, k in enumerate(key[1:])),
     )
     heads = written(heads, "heads")  # of a size that Spark knows
-    firsts = base.join(heads, (F.col("part") == F.col("own_part")) & (F.col("cell") == F.col("own_cell")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    copies = firsts.select("row", "doc_id", "text", F.col("to_part").alias("part"), F.col("to_cell").alias("cell"), F.lit(True).alias("copy"))
-    own = Window.partitionBy("part", "cell").orderBy("copy", "doc_id", "text", "row")
-    laid = base.withColumn("copy", F.lit(False)).union(copies).withColumn("next_row", F.lead("row").over(own)).withColumn("next_text", F.lead("text").over(own))
-    return laid.where("not copy").select("row", "doc_id", "text", "next_row", "next_text")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("u") == F.col("first_u"))
+    for k in key:
+        same = same & (F.col(k) == F.col(f"own_{k}"))
+    copies = base.join(heads, same).select("doc_id", "text", "u", *(F.col(f"to_{k}").alias(k) for k in key), F.struct(*(F.col(f"own_{k}").alias(k) for k in key), F.lit(1).alias("place")).alias("copy"))
+    own = Window.partitionBy(*key).orderBy(F.col("copy").isNotNull(), "doc_id", "u", "text")
+    none = F.lit(None).cast("struct<part:int,cell:bigint,slot:bigint,place:int>")
+    laid = base.select("doc_id", "text", "u", *key, none.alias("copy")).union(copies).withColumn("place", F.row_number().over(own))
+    follows = F.coalesce(F.lead("copy").over(own), F.struct(*key, (F.col("place") + 1).alias("place")))
+    laid = laid.withColumn("next_row", follows).withColumn("next_text", F.lead("text").over(own))
+    return laid.where("copy is null").select(F.struct(*key, "place").alias("row"), "doc_id", "text", "next_row", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:

@@ -3,7 +3,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import fingerprints as fp
 
@@ -59,9 +58,30 @@ def test_repeated_ids_and_single_and_empty(spark):
 
 def test_no_python_in_plan(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(fp.fingerprint(df, ["doc_id"], "text")._jdf.queryExecution(), "simple")
-    assert "Python" not in plan and "Arrow" not in plan
-    assert F is not None
+    for made in (fp.fingerprint(df, ["doc_id"], "text"), fp.neighbours(df, "doc_id", "text"), fp.edited_fingerprints(df)):
+        plan = df.sparkSession._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
+        assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+@pytest.mark.parametrize("bounds", [1000, 20])
+def test_hot_ids_are_dealt_out(spark, monkeypatch, bounds):
+    """Half of the rows have no id and a tenth share one; the chain is a single cycle through all rows, in order of ids."""
+    monkeypatch.setattr(fp, "GROUP_ROWS", 8)
+    monkeypatch.setattr(fp, "BOUNDS", bounds)
+    r = random.Random(3)
+    rows = [(None if k % 2 else 77 if k % 10 == 0 else k, f"t{r.randrange(900)}") for k in range(1500)]
+    laid = fp.neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
+    sizes = [x["count"] for x in laid.groupBy("row.part", "row.cell", "row.slot").count().collect()]
+    assert max(sizes) <= 40
+    at = {tuple(x.row): x for x in laid.collect()}
+    assert len(at) == 1500 and sorted((x.doc_id or -1, x.text) for x in at.values()) == sorted((d or -1, t) for d, t in rows)
+    seen, now = [], min(at)
+    for _ in range(1500):
+        seen.append(at[now])
+        now = tuple(at[now].next_row)
+    assert now == min(at) and len({tuple(x.row) for x in seen}) == 1500
+    assert [x.doc_id or -1 for x in seen] == sorted(d or -1 for d, _ in rows)
+    assert all(x.next_text == y.text for x, y in zip(seen, seen[1:] + seen[:1], strict=True))
 
 
 def test_likeness_of_the_registered_query(spark):
