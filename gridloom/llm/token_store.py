@@ -108,9 +108,13 @@ STORE = "shard long, n_docs long, n_tokens long, doc_ids binary, known binary, e
 
 
 def ordered(df: DataFrame, doc_id: str = "doc_id", *then: str) -> DataFrame:
-    """Documents dealt over range partitions of doc_id and sorted within each; the driver samples doc_ids alone."""
+    """Documents dealt over range partitions of doc_id and sorted within each; rows of one id by a hash of the columns ``then``.
+
+    So rows without an id, or of an id that many have, are several partitions; the driver samples ids and hashes alone.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, doc_id).sortWithinPartitions(doc_id, *then)
+    ties = [F.xxhash64(*then)] if then else []
+    return df.repartitionByRange(n, doc_id, *ties).sortWithinPartitions(doc_id, *ties, *then)
 
 
 def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, tokenizer_path: str | None = None) -> None:
