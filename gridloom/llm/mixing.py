@@ -4,8 +4,8 @@ Every source queues its documents in a shuffled order (by md5 of doc_id, or of t
 document's virtual finish time is its source's cumulative size up to it, divided by the source's target.  The mix is
 all queued documents in order of finish time, cut off where their sizes reach the budget (the size of the input).
 
-Cumulative sizes come from sums over ranges of the shuffle order plus a window inside each range, so no source, however
-large, is one task.  The cut needs a histogram of finish times and the order of one of its ranges.
+Cumulative sizes come from sums over ranges of the shuffle order plus a window inside each range, so no source and no
+doc_id, however many rows it has, is one task.  The cut needs a histogram of finish times and the order of one of its ranges.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 are never
 taken; a source without words has target 0; repeated rows count one by one; a text of any length is counted where it is;
@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Rows aimed at in a range of the shuffle order, and ranges of finish time for each unit of it.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5_000, 64, 65_536
+#: Partitions that ranges of the shuffle order are dealt into at most.
+MOST_PARTS = 10_000
 #: A table of sources up to this many rows is broadcast (each under 200 bytes beside its name).
 BROADCAST_SOURCES = 10_000
 
@@ -74,17 +76,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
         "sized",
     )
     n = sized.count()
-    ranges = max(1, math.ceil(n / RANGE_ROWS))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("unnamed")))  # rows without an id are shuffled by their text
-    sized = sized.withColumn("key", key).drop("unnamed").withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32))
+    sized = sized.withColumn("key", key).drop("unnamed")
 
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sources = written(source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_repeats), "sources")
+    sources = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "sources")
     few = sources.count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
     numbered = sized.join(small(sources), same(sized, sources), "inner").drop(sources["source"])
+    # ranges of the whole order, so rows that share a key are several ranges too
+    parts = max(1, min(math.ceil(n / RANGE_ROWS), MOST_PARTS))
+    numbered = written(numbered.repartitionByRange(parts, "source_no", "key", "doc_id", "size", "row").withColumn("range", F.spark_partition_id()), "numbered")
     before = Window.partitionBy("source_no").orderBy("range")
     offsets = numbered.groupBy("source_no", "range").agg(F.sum("size").alias("range_size")).select("source_no", "range", (F.sum("range_size").over(before) - F.col("range_size")).alias("offset"))
     inside = Window.partitionBy("source_no", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
