@@ -138,17 +138,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(features: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Trees | None:
-    """Trees learnt from the labelled documents that are not held out."""
+    """Trees learnt from the labelled documents that are not held out: of about ``max_rows`` labels at most, one row each.
+
+    Of rows repeating a labelled doc_id the one with the least features is learnt from, so however many there are, no
+    more rows than labels come to the driver.
+    """
     known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("y"), F.max(quality).alias("z"))
     sure, n = counted(known.where("y = z").where(~held_out("doc_id")).select("doc_id", F.col("y").cast("int").alias("y")), "labels")
     if n > max_rows:
         sure = sure.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_rows / n * 2**40))
-    few = features.join(F.broadcast(sure), "doc_id").select("doc_id", "features", "y").toArrow()  # about max_rows labels at most
+    few = features.join(F.broadcast(sure), "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features")).select("doc_id", "features", "y").toArrow()
     if not few.num_rows:
         return None
     x = np.asarray(few.column("features").combine_chunks().flatten()).reshape(few.num_rows, -1)
     y, ids = np.asarray(few.column("y")).astype(np.float64), np.asarray(few.column("doc_id"))
-    order = np.lexsort((*x.T, ids))[: 2 * max_rows]  # the same trees on every run, however many rows repeat a doc_id
+    order = np.argsort(ids, kind="stable")  # the same trees on every run
     return train(x[order], y[order])
 
 
