@@ -242,9 +242,9 @@ def unlinked(members: DataFrame, centres: DataFrame, classes: DataFrame, sketche
             once = right[(of[right] != of[i]) & (~loose[right] | (c[right] > c[i]))]  # of two that ask, one
             equal = sketch[once] == sketch[i]
             near = equal.sum(axis=1) >= enough
-            # only in the first bucket that both are in
-            here = equal[near].reshape(int(near.sum()), bands, sketch.shape[1] // bands).all(axis=2).argmax(axis=1) == band
-            found = once[near][here]
+            # only in the first two buckets that both are in by their sketches: the first may be one by chance
+            shared = equal[near].reshape(int(near.sum()), bands, sketch.shape[1] // bands).all(axis=2)
+            found = once[near][shared[:, band] & (shared[:, : band + 1].sum(axis=1) <= 2)]
             found = found[alike(low[i], [low[j] for j in found], similarity)]
             a += [int(i)] * len(found)
             b += found.tolist()
