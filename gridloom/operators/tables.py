@@ -9,19 +9,28 @@ from pyspark.sql.window import Window
 from ..functions.ranking import latest
 
 
-def snapshot_deltas(old: DataFrame, new: DataFrame, key: str, owner: str = "owner", value: str = "value", sold: str = "sold") -> DataFrame:
-    """key, change_type, old_value and new_value: new rows, owner and value changes, later sales, by one full join."""
+#: Changes of value below this are rounding.
+LEAST_CHANGE = 1.0
+
+
+def snapshot_deltas(old: DataFrame, new: DataFrame, key: str, owner: str = "owner", value: str = "value", sold: str = "sold", least_change: float = LEAST_CHANGE) -> DataFrame:
+    """key, change_type, old_value and new_value: new rows, owner and value changes, later sales, by one left join.
+
+    Whether a row was there before is told by a mark, not by its fields: an owner, a value or a sale may be unknown.  An
+    owner that is known now and differs, also from an unknown one, is a change; a value must be known in both.
+    """
     a, b = (df.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(value).alias("value"), F.col(sold).alias("sold")) for df in (old, new))
-    both = a.alias("a").join(b.alias("b"), "key", "full")
+    both = b.alias("b").join(a.withColumn("there", F.lit(True)).alias("a"), "key", "left")
     text = lambda c: F.col(c).cast("string")
+    money = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
     change = lambda kind, when, x, y: F.when(when, F.struct(F.lit(kind).alias("change_type"), x.alias("old_value"), y.alias("new_value")))
-    stays, none = F.col("a.owner").isNotNull() & F.col("b.owner").isNotNull(), F.lit(None).cast("string")
+    there, none = F.col("a.there").isNotNull(), F.lit(None).cast("string")
     changes = F.array_compact(
         F.array(
-            change("new_parcel", F.col("a.owner").isNull() & F.col("b.owner").isNotNull(), none, text("b.owner")),
-            change("owner_change", stays & (F.col("a.owner") != F.col("b.owner")), text("a.owner"), text("b.owner")),
-            change("value_change", stays & ~F.col("a.value").eqNullSafe(F.col("b.value")), F.round("a.value", 2).cast("decimal(18,2)").cast("string"), F.round("b.value", 2).cast("decimal(18,2)").cast("string")),
-            change("sale", stays & (F.col("b.sold") > F.coalesce(F.col("a.sold"), F.to_timestamp_ntz(F.lit("1900-01-01 00:00:00")))), text("a.sold"), text("b.sold")),
+            change("new_parcel", ~there, none, text("key")),
+            change("owner_change", there & F.col("b.owner").isNotNull() & ~F.col("a.owner").eqNullSafe(F.col("b.owner")), text("a.owner"), text("b.owner")),
+            change("value_change", there & (F.abs(F.col("b.value") - F.col("a.value")) >= least_change), money("a.value"), money("b.value")),
+            change("sale", there & F.col("b.sold").isNotNull() & (F.col("a.sold").isNull() | (F.col("b.sold") > F.col("a.sold"))), text("a.sold"), text("b.sold")),
         )
     )
     return both.select("key", F.explode(changes).alias("c")).select("key", "c.change_type", "c.old_value", "c.new_value")

@@ -54,13 +54,16 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parcels at two months: some are new in the second, some changed owner, value or sale."""
+    """Parcels at two months: some are new in the second, some changed owner, value or sale, and some fields are unknown."""
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    old = o.where(k % 10 != 0).select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("sold"))
+    old = o.where(k % 10 != 0).select(
+        "o_orderkey", F.when(k % 13 != 0, F.col("o_custkey")).alias("owner"), F.when(k % 19 != 0, F.col("o_totalprice")).alias("value"), F.when(k % 29 != 0, F.col("o_orderdate")).alias("sold")
+    )
+    value = F.when(k % 5 == 0, F.col("o_totalprice") * 2).when(k % 3 == 0, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice"))
     new = o.select(
-        "o_orderkey", F.when(k % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("owner"), F.when(k % 5 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")).alias("value"),
-        F.when(k % 11 == 0, F.col("o_orderdate") + F.expr("interval 30 days")).otherwise(F.col("o_orderdate")).alias("sold"),
+        "o_orderkey", F.when(k % 17 != 0, F.when(k % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).alias("owner"), F.when(k % 23 != 0, value).alias("value"),
+        F.when(k % 31 != 0, F.when(k % 11 == 0, F.col("o_orderdate") + F.expr("interval 30 days")).otherwise(F.col("o_orderdate"))).alias("sold"),
     )
     return old, new
 

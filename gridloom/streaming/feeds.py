@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ def append_once(events: DataFrame, keys: list[str], ts: str, late: str) -> DataF
     return events.where(F.col(ts).isNotNull()).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def _plain(fields: Iterable) -> tuple:
+    """A row's fields as they can be compared and stored: NULL is None, whatever pandas makes of it."""
+    return tuple(None if pd.api.types.is_scalar(x) and pd.isna(x) else x.item() if isinstance(x, np.generic) else x for x in fields)
+
+
 class ChangeOnly(StatefulProcessor):
     """Passes a key's row on when its fields differ from those of the last row passed on."""
 
@@ -45,8 +51,8 @@ class ChangeOnly(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        last, kept = (tuple(self.last.get()) if self.last.exists() else None), []
-        for i, now in enumerate(frame[self.fields].itertuples(index=False, name=None)):
+        last, kept = (_plain(self.last.get()) if self.last.exists() else None), []
+        for i, now in enumerate(map(_plain, frame[self.fields].itertuples(index=False, name=None))):
             if now != last:
                 kept.append(i)
                 last = now

@@ -98,3 +98,15 @@ def test_cell_shares_against_counted_places(spark):
     for area, inside in (("square", x >= 0), ("triangle", x + y < 100)):
         for site in range(1, 6):
             assert abs(got.get((area, site), 0.0) - (owner[inside] == site).mean()) < 0.01
+
+
+def test_unknown_owners_and_small_changes_are_told_from_new_rows(spark):
+    schema = "k long, owner string, value double, sold timestamp"
+    old = [(1, None, 10.0, None), (2, "A", 10.0, OLD), (3, None, 1.0, None), (4, "A", None, OLD), (5, "A", 1.0, NEW), (9, "gone", 1.0, None)]
+    new = [(1, None, 99.0, None), (2, None, 10.9, None), (3, "B", 1.0, OLD), (4, "A", 7.0, OLD), (5, "A", 2.0, OLD), (6, None, None, None)]
+    made = tables.snapshot_deltas(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k")
+    assert sorted(tuple(r) for r in made.select("key", "change_type", "old_value", "new_value").collect()) == [
+        (1, "value_change", "10.00", "99.00"), (3, "owner_change", None, "B"), (3, "sale", None, "2019-01-01 00:00:00"), (5, "value_change", "1.00", "2.00"), (6, "new_parcel", None, "6")
+    ]
+    strict = tables.snapshot_deltas(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k", least_change=0.5)
+    assert strict.where("change_type = 'value_change'").count() == 3

@@ -59,6 +59,17 @@ def test_change_only_keeps_state_between_batches(spark, tmp_path):
     assert got == [("a", 1, 5), ("a", 3, 6), ("b", 1, 5), ("b", 2, 4)]
 
 
+def test_change_only_takes_null_for_a_value(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, schema = f"{tmp_path}/in", "region string, at timestamp, without int, share double, note string"
+    batches = [[("k", T(1), None, None, None), ("m", T(1), 5, None, "x")], [("k", T(2), None, None, None), ("m", T(2), 5, None, "x")], [("k", T(3), None, 0.5, None), ("m", T(3), None, None, "x"), ("m", T(4), None, None, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        drain(feeds.change_only(feeds.read_feed(spark, src, schema), "region", "at", ["without", "share", "note"]), f"{tmp_path}/q")
+    got = sorted((r["region"], r["at"].hour) for r in spark.read.parquet(f"{tmp_path}/q/out").collect())
+    assert got == [("k", 1), ("k", 3), ("m", 1), ("m", 3), ("m", 4)]
+
+
 def test_alerts_and_freshness(spark):
     rows = [("k", dt.datetime(2026, 1, 1, 0)), ("k", dt.datetime(2026, 1, 1, 20)), ("k", dt.datetime(2026, 1, 2, 19)), ("k", dt.datetime(2026, 1, 4))]
     got = feeds.alert_dedup(spark.createDataFrame(rows, "key string, at timestamp"), ["key"], "at").orderBy("at").collect()
