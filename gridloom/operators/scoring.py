@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranking import global_rank, place, weighted_blend
+from . import bits, spatial
 
 # Base probability of failure by flood zone, and outside all zones.
 FLOOD_ZONES = {"VE": 0.85, "AE": 0.70, "A": 0.60, "AO": 0.40, "X": 0.05}
@@ -23,6 +24,8 @@ RECOVERY = {"relocation": 0.9, "elevation": 0.8, "hardening": 0.7, "redundant_fe
 NO_RECOVERY = 0.3
 # Load in kW a person, value of lost load in USD a kWh, outage hours a year, present value of 30 years.
 LOST_LOAD = (0.822, 5.0, 33.6, 17.29)
+# Metres within which homes are displaced, and the share of their value.
+RELOCATION = (500.0, 0.05)
 # Weights of site criteria.
 SITE_WEIGHTS = {
     "power_access": 0.18, "grid_reliability": 0.15, "flood_safety": 0.20, "water_access": 0.12, "road_access": 0.15, "port_access": 0.15,
@@ -83,21 +86,44 @@ def vulnerability(areas: DataFrame) -> DataFrame:
     return global_rank(areas.withColumn("blend", F.round(0.7 * F.col("flood") + 0.3 * slope, 6)), "blend", "svi", percent=True)
 
 
-def exposure(reached: DataFrame, powers: DataFrame, people: DataFrame) -> DataFrame:
-    """root, population, benefit and economic part of what each root powers; an entity served twice counts twice.
+def exposure(reached: bits.Levels, powers: DataFrame, people: DataFrame) -> DataFrame:
+    """root, population, benefit and economic part of what each root powers; an entity served at two depths counts twice.
 
-    reached: root, node and depth, as ``graph.reach`` gives them.  People are summed by node before they meet the roots.
+    reached: with every depth of a walk; people: entity, population, income.
     """
     per_person = 1.0
     for x in LOST_LOAD:
         per_person *= x
-    nodes = powers.join(people, powers["dst"] == people["entity"]).groupBy(F.col("src").alias("node")).agg(F.sum("population").alias("population"), F.sum(F.col("population") * F.col("income")).alias("earned"))
-    times = reached.groupBy("root", "node").agg(F.count("*").alias("times"))
-    both = times.join(nodes, "node")
-    out = both.groupBy("root").agg(F.sum(F.col("population") * F.col("times")).alias("population"), F.try_divide(F.sum(F.col("earned") * F.col("times")), F.sum(F.col("population") * F.col("times"))).alias("income"))
+    amounts = people.select("entity", F.col("population").cast("long").alias("population"), (F.col("population") * F.col("income")).alias("earned"))
+    out = bits.sums_over_walks(reached, powers, amounts, ["population", "earned"]).withColumn("income", F.try_divide("earned", "population"))
     return out.select("root", "population", F.round(F.col("population") * per_person, 2).alias("benefit"), F.round(F.col("population") * per_person * 0.4, 2).alias("economic"), F.round(F.col("population") * F.coalesce("income", F.lit(0.0)) / 365, 2).alias("daily"))
 
 
+def relocation(reached: bits.Levels, powers: DataFrame, people: DataFrame, roots: DataFrame, homes: DataFrame) -> DataFrame:
+    """root, housing (units within RELOCATION metres of it) and property_impact, for every root.
+
+    people: entity, population, home_value; roots: root, ax, ay; homes: housing, bx, by.  The value of a home is that of
+    the people whom the root powers, weighted by how many they are; without any the impact is 0.
+    """
+    metres, rate = RELOCATION
+    amounts = people.select("entity", F.col("population").cast("long").alias("population"), (F.col("population") * F.col("home_value")).alias("worth"))
+    worth = bits.sums_over_walks(reached, powers, amounts, ["population", "worth"]).select("root", F.try_divide("worth", "population").alias("home_value"))
+    near = spatial.within_distance(roots, homes, metres).groupBy("root").agg(F.sum("housing").alias("housing"))
+    out = roots.select("root").join(near, "root", "left").join(worth, "root", "left").na.fill(0, ["housing"]).na.fill(0.0, ["home_value"])
+    return out.select("root", "housing", F.round(F.col("housing") * F.col("home_value") * rate, 2).alias("property_impact"))
+
+
+def reached_vulnerability(reached: bits.Levels, powers: DataFrame, people: DataFrame) -> DataFrame:
+    """root and svi: the mean of what each root powers by population, 0.5 where unknown or nobody is.
+
+    people: entity, population, svi.
+    """
+    counted = F.coalesce("population", F.lit(0)).cast("long")
+    amounts = people.select("entity", counted.alias("population"), (counted * F.coalesce("svi", F.lit(0.5))).alias("weighted"))
+    sums = bits.sums_over_walks(reached, powers, amounts, ["population", "weighted"])
+    return reached.roots.select("root").join(sums, "root", "left").select("root", F.coalesce(F.try_divide("weighted", "population"), F.lit(0.5)).alias("svi"))
+
+
 def site_scores(sites: DataFrame, near: dict[str, str], weights: dict[str, float] | None = None) -> DataFrame:
     """Adds a score s_<name> per distance column (the nearer the better, by percent rank) and their blend."""
     for name, column in near.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, spatial
+from . import bits, spatial
 
 # Present value of 1 a year for 30 years at 5 percent.
 YEARS_5 = 15.3725
@@ -46,8 +46,7 @@ def overlay(base: DataFrame, added: DataFrame | None, removed: DataFrame | None,
 
 def failure(edges: DataFrame, powers: DataFrame, failed: DataFrame, people: DataFrame, max_depth: int = 20) -> DataFrame:
     """root, kind, entities and population that each failed root takes down; an entity served twice counts once."""
-    served = graph.downstream(edges, powers, failed, max_depth, first=True).select("root", "entity", "kind", "via").distinct()
-    return served.join(people, "entity", "left").groupBy("root", "kind", "via").agg(F.count("*").alias("entities"), F.coalesce(F.sum("population"), F.lit(0)).alias("population"))
+    return bits.served(bits.levels(edges, failed, max_depth), powers, people)
 
 
 def asset_costs(assets: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, ranking, text
-from ..operators import graph, optimize, raster, scoring, spatial, tables, validate
+from ..operators import bits, graph, optimize, raster, scoring, spatial, tables, validate, wayfinding
 from ..streaming import feeds as streams
 from .analogs import AREAS_SQL, CRITICALITY_SQL, FEEDS_SQL, POWERS_SQL, REACH_SQL, areas, criticality, feeds, points, points_sql, powers, read, snapshots
 from .registry import query
@@ -20,12 +20,16 @@ def _roots(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
 
 
+def _levels(spark: SparkSession, d: str, first: bool = True) -> bits.Levels:
+    return bits.levels(feeds(spark, d), _roots(spark, d), DEPTH, first)
+
+
 def _served(spark: SparkSession, d: str) -> DataFrame:
-    return graph.downstream(feeds(spark, d), powers(spark, d), _roots(spark, d), DEPTH, first=True)
+    return bits.served(_levels(spark, d), powers(spark, d))
 
 
 def _impact(spark: SparkSession, d: str, floor: float = 0.0) -> DataFrame:
-    return graph.cascade_impact(graph.first_reach(feeds(spark, d), _roots(spark, d), DEPTH), powers(spark, d), criticality(spark), floor)
+    return bits.impact(_levels(spark, d), powers(spark, d), criticality(spark), floor)
 
 
 _GRAPH = f"with recursive {FEEDS_SQL}, {POWERS_SQL}, {REACH_SQL.format(depth=DEPTH)}"
@@ -69,7 +73,7 @@ def downstream_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_SERVED} select root, kind, count(distinct entity) as entities from served group by root, kind")
 def affected_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _served(spark, d).groupBy("root", "kind").agg(F.countDistinct("entity").alias("entities"))
+    return _served(spark, d).select("root", "kind", "entities")
 
 
 @query(
@@ -86,10 +90,9 @@ select root, people, hospitals, plants, centers, case when len(p) = 0 then 'No d
   else 'Failure affects ' || array_to_string(p[1:len(p) - 1], ', ') || ' and ' || p[len(p)] end as headline from parts"""
 )
 def downstream_summary(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("entity")))
-    counts = _served(spark, d).groupBy("root").agg(
-        of("ECONOMY").alias("hospitals"), of("STANDARD").alias("plants"), of("PROMO").alias("centers"), (F.countDistinct(F.when(F.col("via") == "POWERS", F.col("entity"))) * 100).alias("people")
-    )
+    of = lambda when: F.sum(F.when(when, F.col("entities")).otherwise(0))
+    kind = F.col("kind")
+    counts = _served(spark, d).groupBy("root").agg(of(kind == "ECONOMY").alias("hospitals"), of(kind == "STANDARD").alias("plants"), of(kind == "PROMO").alias("centers"), (of(F.col("via") == "POWERS") * 100).alias("people"))
     return counts.select("root", "people", "hospitals", "plants", "centers", text.outage_headline(F.col("people"), F.col("hospitals"), F.col("plants"), F.col("centers")).alias("headline"))
 
 
@@ -386,7 +389,40 @@ select root, population::bigint as population, round(population * (0.822::double
 )
 def voll_exposure(spark: SparkSession, d: str) -> DataFrame:
     people = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), (F.col("p_size") * 10).alias("population"), F.col("p_retailprice").alias("income"))
-    return scoring.exposure(graph.reach(feeds(spark, d), _roots(spark, d), DEPTH), powers(spark, d), people)
+    return scoring.exposure(_levels(spark, d, first=False), powers(spark, d), people)
+
+
+_SITES_OF_HOMES = f"{points_sql('part', 'p_partkey', 'p')}, {points_sql('supplier', 's_suppkey', 's')}"
+_HOMES = "people as (select p_partkey as entity, p_size * 10 as population, case when p_size % 7 > 0 then p_retailprice * 100 end as home_value, case when p_size % 6 > 0 then (p_partkey * 37 % 100) / 100.0::double end as svi from part)"
+
+
+def _homes(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return read(spark, d, "part").select(
+        k.alias("entity"), (size * 10).alias("population"), F.when(size % 7 > 0, F.col("p_retailprice") * 100).alias("home_value"), F.when(size % 6 > 0, (k * 37 % 100) / 100.0).alias("svi")
+    )
+
+
+@query(
+    f"""{_SERVED}, {_HOMES},
+per_root as (select root, sum(population * coalesce(svi, 0.5::double)) / nullif(sum(population), 0) as svi from served join people using (entity) where via = 'POWERS' group by root)
+select s_suppkey as root, round(coalesce(svi, 0.5::double), 6) as svi from supplier left join per_root on root = s_suppkey"""
+)
+def reached_svi(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.reached_vulnerability(_levels(spark, d, first=False), powers(spark, d), _homes(spark, d)).select("root", F.round("svi", 6).alias("svi"))
+
+
+@query(
+    f"""{_SERVED}, {_HOMES}, {_SITES_OF_HOMES},
+per_root as (select root, sum(population * home_value) / nullif(sum(population), 0) as home_value from served join people using (entity) where via = 'POWERS' group by root),
+near as (select s_suppkey as root, sum(p_size) as housing from s join p on sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) <= 500 group by 1)
+select s_suppkey as root, coalesce(housing, 0)::bigint as housing, round(coalesce(housing, 0) * coalesce(home_value, 0) * 0.05::double, 2) as property_impact
+from supplier left join per_root on per_root.root = s_suppkey left join near on near.root = s_suppkey"""
+)
+def relocation_impact(spark: SparkSession, d: str) -> DataFrame:
+    roots = points(read(spark, d, "supplier"), "s_suppkey", "a").select(F.col("s_suppkey").alias("root"), "ax", "ay")
+    homes = points(read(spark, d, "part"), "p_partkey", "b").select(F.col("p_size").alias("housing"), "bx", "by")
+    return scoring.relocation(_levels(spark, d, first=False), powers(spark, d), _homes(spark, d), roots, homes)
 
 
 @query("select p_partkey, round(percent_rank() over (order by case when p_size % 9 > 0 then p_retailprice end nulls last), 8) as pr from part")
@@ -461,14 +497,16 @@ def distinct_on(spark: SparkSession, d: str) -> DataFrame:
     return ranking.latest(read(spark, d, "orders"), ["o_custkey"], F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc()).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-_SNAPSHOTS = """old as (select o_orderkey as key, o_custkey as owner, o_totalprice as value, o_orderdate as sold from orders where o_orderkey % 10 <> 0),
-new as (select o_orderkey as key, case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as owner, case when o_orderkey % 5 = 0 then o_totalprice * 2 else o_totalprice end as value,
-  case when o_orderkey % 11 = 0 then o_orderdate + interval 30 days else o_orderdate end as sold from orders),
+_SNAPSHOTS = """old as (select o_orderkey as key, case when o_orderkey % 13 <> 0 then o_custkey end as owner, case when o_orderkey % 19 <> 0 then o_totalprice end as value,
+  case when o_orderkey % 29 <> 0 then o_orderdate end as sold from orders where o_orderkey % 10 <> 0),
+new as (select o_orderkey as key, case when o_orderkey % 17 = 0 then null when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as owner,
+  case when o_orderkey % 23 = 0 then null when o_orderkey % 5 = 0 then o_totalprice * 2 when o_orderkey % 3 = 0 then o_totalprice + 0.5 else o_totalprice end as value,
+  case when o_orderkey % 31 = 0 then null when o_orderkey % 11 = 0 then o_orderdate + interval 30 days else o_orderdate end as sold from orders),
 deltas as (
-  select n.key, 'new_parcel' as change_type, null::varchar as old_value, n.owner::varchar as new_value from new n left join old o using (key) where o.key is null
-  union all select key, 'owner_change', o.owner::varchar, n.owner::varchar from new n join old o using (key) where n.owner is distinct from o.owner
-  union all select key, 'value_change', o.value::decimal(18, 2)::varchar, n.value::decimal(18, 2)::varchar from new n join old o using (key) where n.value is distinct from o.value
-  union all select key, 'sale', strftime(o.sold, '%Y-%m-%d %H:%M:%S'), strftime(n.sold, '%Y-%m-%d %H:%M:%S') from new n join old o using (key) where n.sold > o.sold
+  select n.key, 'new_parcel' as change_type, null::varchar as old_value, n.key::varchar as new_value from new n left join old o using (key) where o.key is null
+  union all select key, 'owner_change', o.owner::varchar, n.owner::varchar from new n join old o using (key) where n.owner is distinct from o.owner and n.owner is not null
+  union all select key, 'value_change', o.value::decimal(18, 2)::varchar, n.value::decimal(18, 2)::varchar from new n join old o using (key) where abs(n.value - o.value) >= 1
+  union all select key, 'sale', strftime(o.sold, '%Y-%m-%d %H:%M:%S'), strftime(n.sold, '%Y-%m-%d %H:%M:%S') from new n join old o using (key) where n.sold > o.sold or (o.sold is null and n.sold is not null)
 )"""
 
 
@@ -739,7 +777,7 @@ def least_cost_path(spark: SparkSession, d: str) -> DataFrame:
     last = surface.agg(F.max("row").cast("int").alias("last"))
     one, two = F.struct(F.lit(1).cast("long").alias("trip"), F.lit(0).alias("c1"), F.lit(20).alias("c2"), F.lit(3).alias("alternatives")), F.struct(F.lit(2).cast("long").alias("trip"), F.lit(45).alias("c1"), F.lit(2).alias("c2"), F.lit(1).alias("alternatives"))
     trips = last.select(F.explode(F.array(one, two)).alias("t"), "last").select("t.trip", F.lit(0).alias("r1"), "t.c1", F.greatest(F.col("last") - 1, F.lit(0)).alias("r2"), "t.c2", "t.alternatives")
-    return raster.least_cost_paths(surface, trips)
+    return wayfinding.least_cost_paths(surface, trips)
 
 
 @query(
