@@ -1,4 +1,4 @@
 """Registered queries of the engine's operators."""
 
-from . import building, catalogues, networks, parcels, queries  # noqa: F401
+from . import building, catalogues, networks, parcels, queries, shapes  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import optimize, raster, validate, whatif
+from gridloom.operators import optimize, raster, validate, whatif, wayfinding
 from gridloom.plans import queries
 
 from .oracle import DATA
@@ -116,7 +116,7 @@ def grid(spark, n, special):
 
 def route(spark, surface, ends, alternatives=1):
     trips = spark.createDataFrame([(1, *ends, alternatives)], "trip long, r1 int, c1 int, r2 int, c2 int, alternatives int")
-    return raster.least_cost_paths(surface, trips).orderBy("alternative", "place").collect()
+    return wayfinding.least_cost_paths(surface, trips).orderBy("alternative", "place").collect()
 
 
 def test_least_cost_paths(spark):
