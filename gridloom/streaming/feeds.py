@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from ..operators.tables import insert_ignore, upsert
-
 
 def read_feed(spark, path: str, schema: str, **options: str) -> DataFrame:
     """A stream of Parquet files as they arrive in a folder."""
@@ -70,57 +69,61 @@ def change_only(events: DataFrame, key: str, order: str, fields: list[str]) -> D
     return events.groupBy(key).transformWithStateInPandas(ChangeOnly(fields, order, state), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
-def latest_state(path: str, keys: list[str], *order: Column) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row of each key in a Parquet table, written anew beside the old."""
-    return _rewriting(path, lambda old, new: upsert(old, new, keys, *order))
-
-
-def history(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends rows whose key is not in the table yet."""
-    return _rewriting(path, lambda old, new: insert_ignore(old, new, keys))
+def freshness(feeds: DataFrame, now: Column, slack: float = 1.5) -> DataFrame:
+    """Adds stale: never fetched, or older than ``slack`` times the feed's interval in minutes."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp("fetched_at")) / 60.0
+    return feeds.withColumn("stale", F.col("fetched_at").isNull() | (age > slack * F.col("interval_minutes")))
 
 
-def _rewriting(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Versions are folders v=<batch>, so a batch that runs again replaces its own version and readers see whole tables.
+def stale_alerts(feeds: DataFrame, now: Column, slack: float = 1.5) -> DataFrame:
+    """The stale feeds that there is an alert for: one that was never fetched is not set up yet."""
+    return freshness(feeds, now, slack).where(F.col("stale") & F.col("fetched_at").isNotNull())
 
-    Versions before the last one that a batch may be made from again are deleted.
-    """
 
-    def sink(batch: DataFrame, number: int) -> None:
-        old = read_version(batch.sparkSession, path, number - 1)
-        (merge(old, batch) if old is not None else merge(batch.limit(0), batch)).write.mode("overwrite").parquet(f"{path}/v={number}")
-        fs, versions = _versions(batch.sparkSession, path)
-        for old in sorted(v for v in versions if v < number)[:-1]:
-            fs.delete(batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
+def alert_dedup(alerts: DataFrame, keys: list[str], ts: str, hours: int = 24) -> DataFrame:
+    """Adds sent: no alert of the key was logged within ``hours`` before; every alert is logged, so the quiet slides."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    before = F.lag(ts).over(w)
+    return alerts.withColumn("sent", before.isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > hours * 3_600_000_000))
 
-    return sink
 
+class Quiet(StatefulProcessor):
+    """Adds ``sent`` to alerts of a key; what is kept of a key is its last alert, until the quiet period after it is over."""
 
-def _versions(spark, path: str) -> tuple:
-    """The file system, and the numbers of the versions that are there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-    return fs, [int(n[2:]) for n in names if n.startswith("v=")]
+    def __init__(self, ts: str, hours: int) -> None:
+        self.ts, self.millis = ts, hours * 3_600_000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "micros bigint")
 
-def read_version(spark, path: str, number: int | None = None) -> DataFrame | None:
-    """The table as of a batch, or the last."""
-    versions = sorted(v for v in _versions(spark, path)[1] if number is None or v <= number)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        frame = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+        last, sent = (self.last.get()[0] if self.last.exists() else None), []
+        for now in frame[self.ts].astype("datetime64[us]").astype("int64").tolist():
+            sent.append(last is None or now - last > self.millis * 1000)
+            last = now if last is None else max(last, now)
+        self.last.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last // 1000 + self.millis + 1)
+        yield frame.assign(sent=sent)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def freshness(feeds: DataFrame, now: Column, slack: float = 1.5) -> DataFrame:
-    """Adds stale: never fetched, or older than ``slack`` times the feed's interval in minutes."""
-    age = (F.unix_timestamp(now) - F.unix_timestamp("fetched_at")) / 60.0
-    return feeds.withColumn("stale", F.col("fetched_at").isNull() | (age > slack * F.col("interval_minutes")))
 
+def quiet_alerts(alerts: DataFrame, keys: list[str], ts: str, hours: int = 24, late: str = "0 seconds") -> DataFrame:
+    """``alert_dedup`` of a stream whose alerts come in order of ``ts``, or at most ``late``.
 
-def alert_dedup(alerts: DataFrame, keys: list[str], ts: str, hours: int = 24) -> DataFrame:
-    """Adds sent: no alert of the key was logged within ``hours`` before; every alert is logged, so the quiet slides."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    before = F.lag(ts).over(w)
-    return alerts.withColumn("sent", before.isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp")) > hours * 3_600_000_000))
+    A key's state goes when the watermark has passed the end of its quiet period, so state grows with the keys that have
+    lately alerted, not with all there ever were.
+    """
+    out = T.StructType([*alerts.schema, T.StructField("sent", T.BooleanType())])
+    return alerts.withWatermark(ts, late).groupBy(*keys).transformWithStateInPandas(Quiet(ts, hours), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def change_stream(branches: dict[str, DataFrame], most: int = 12) -> DataFrame:
