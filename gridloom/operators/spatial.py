@@ -70,16 +70,19 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str,
     return left.join(right, ["_cx", "_cy", *keys]).withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, most_rounds: int = 40, keys: tuple[str, ...] = ()) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """a_id, b_id and dist of the nearest b (with the same keys) of each a, ties to the lesser b_id.
 
     Looks within ``radius`` and, unless bounded, doubles the reach for rows that found nothing; a row found within the
-    reach can have no nearer one beyond it.  Bounded: rows without one get NULLs.  Rows whose keys no b has drop out.
+    reach can have no nearer one beyond it.  Bounded: rows without one get NULLs.  Rows whose keys no b has drop out, and
+    so do those without a place.
     """
-    left, found, reach = a, None, radius
+    known = lambda x, y: (F.col(x) - F.col(x) == 0) & (F.col(y) - F.col(y) == 0)
+    b = b.where(known("bx", "by"))
+    left, found, reach = a.where(known("ax", "ay")), None, radius
     if keys and not bounded:
-        left = a.join(b.select(*keys).distinct(), [*keys], "left_semi")
-    for _ in range(1 if bounded else most_rounds):
+        left = left.join(b.select(*keys).distinct(), [*keys], "left_semi")
+    while True:
         pairs = within_distance(left, b, reach, keys).groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_best"))
         got = pairs.select(a_id, F.col(f"_best.{b_id}").alias(b_id), F.col("_best.dist").alias("dist"))
         if bounded:
@@ -90,7 +93,6 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bou
         if left.isEmpty() or b.isEmpty():
             return found
         reach *= 2
-    raise ValueError(f"no neighbour within {reach}")
 
 
 def nearest_by_group(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str, radius: float = 1000.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, ranking, text
-from ..operators import bits, graph, optimize, raster, scoring, spatial, tables, validate, wayfinding
+from ..operators import bits, blocks, graph, optimize, raster, scoring, spatial, tables, validate, wayfinding
 from ..streaming import feeds as streams
 from .analogs import AREAS_SQL, CRITICALITY_SQL, FEEDS_SQL, POWERS_SQL, REACH_SQL, areas, criticality, feeds, points, points_sql, powers, read, snapshots
 from .registry import query
@@ -168,7 +168,7 @@ without as (select a as cut, min(b) as v from ends group by a union select w.cut
 select node from sizes join (select cut, count(*) as seen from without group by 1) on cut = node where seen < n - 1"""
 )
 def articulation(spark: SparkSession, d: str) -> DataFrame:
-    return graph.articulation_points(_tree(spark, d))
+    return blocks.articulation_points(_tree(spark, d))
 
 
 @query(
@@ -284,7 +284,10 @@ select p_partkey, s_suppkey, case when same then 'named' else 'nearest' end as m
 )
 def route_fallback_match(spark: SparkSession, d: str) -> DataFrame:
     p = points(read(spark, d, "part"), "p_partkey", "a").select("p_partkey", (F.col("p_size") % 25).alias("named"), "ax", "ay")
-    pairs = spatial.within_distance(p, _b(spark, d), 3000.0).withColumn("same", F.col("named") == F.col("s_nationkey")).where("same or dist <= 300")
+    sites = _b(spark, d)
+    named = spatial.within_distance(p, sites.withColumn("named", F.col("s_nationkey")), 3000.0, keys=("named",)).select("p_partkey", "s_suppkey", "dist", F.lit(True).alias("same"))
+    close = spatial.within_distance(p, sites, 300.0).where(~F.col("named").eqNullSafe(F.col("s_nationkey"))).select("p_partkey", "s_suppkey", "dist", F.lit(False).alias("same"))
+    pairs = named.union(close)
     best = ranking.latest(pairs, ["p_partkey"], F.col("same").desc(), F.col("dist"), F.col("s_suppkey"))
     return best.select("p_partkey", "s_suppkey", F.when(F.col("same"), "named").otherwise("nearest").alias("matched_by"))
 
