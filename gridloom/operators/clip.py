@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_area
+from ..storage import stored
 from . import spatial
 
 POINTS = "array<struct<x: double, y: double>>"
@@ -105,31 +108,77 @@ def overlap_fraction(a: DataFrame, b: DataFrame, a_id: str, cell: float) -> Data
     return a.select(a_id).join(covered, a_id, "left").select(a_id, F.least(F.coalesce("f", F.lit(0.0)), F.lit(1.0)).alias("fraction"))
 
 
-def cell_shares(areas: DataFrame, sites: DataFrame, area: str, site: str, reach: float) -> DataFrame:
+#: Sites aimed at in a piece of an area.
+PIECE_SITES = 16
+
+
+def _pieces(areas: DataFrame, area: str, size: float) -> DataFrame:
+    """piece, area, ring and whole (the area's size): convex areas cut along a grid."""
+    along = {"x": F.transform("ring", lambda q: q["x"]), "y": F.transform("ring", lambda q: q["y"])}
+    cells = lambda v: F.explode(F.sequence(spatial.cell(F.array_min(v), size), spatial.cell(F.array_max(v), size)))
+    dealt = areas.select(area, "ring", ring_area(F.col("ring")).alias("whole"), cells(along["x"]).alias("cx")).select(area, "ring", "whole", "cx", cells(along["y"]).alias("cy"))
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def cut(rings: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        out = []
+        for points, x, y in zip(rings, cx, cy, strict=True):
+            ring = _open(points)
+            for u, v, most in ((-1.0, 0.0, -x * size), (1.0, 0.0, (x + 1) * size), (0.0, -1.0, -y * size), (0.0, 1.0, (y + 1) * size)):
+                ring = half_plane(ring, u, v, most) if len(ring) else ring
+            out.append([{"x": float(p[0]), "y": float(p[1])} for p in ring])
+        return pd.Series(out)
+
+    cut_up = dealt.select(area, "whole", cut("ring", "cx", "cy").alias("ring")).where((F.size("ring") > 2) & (F.col("whole") > 0))
+    return stored(cut_up.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+
+
+def cell_shares(areas: DataFrame, sites: DataFrame, area: str, site: str) -> DataFrame:
     """area, site and share of the convex area that is nearer to the site than to any other site.
 
-    sites: points (bx, by).  Only sites within ``reach`` of the middle of an area's box can own a part of it, so
-    ``reach`` must be at least the distance of the nearest site plus the width of the area.
+    sites: points (bx, by).  Areas are cut into pieces of about PIECE_SITES sites.  No site can own a part of a piece that
+    lies further from its middle than the nearest site and twice the piece's reach, so each piece asks for those alone,
+    however far they are; pieces of like reach ask together.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    middle = areas.withColumn("ax", (F.array_min(xs) + F.array_max(xs)) / 2).withColumn("ay", (F.array_min(ys) + F.array_max(ys)) / 2)
-    near = spatial.within_distance(middle.select(area, "ax", "ay"), sites.select(site, "bx", "by"), reach)
-    held = near.groupBy(area).agg(F.collect_list(F.struct(F.col(site).alias("site"), "bx", "by")).alias("sites")).join(areas.select(area, "ring"), area)
+    sites = stored(sites.select(site, "bx", "by").where("bx is not null and by is not null"), "sites")
+    wide, high = sites.agg(F.max("bx") - F.min("bx"), F.max("by") - F.min("by")).first()
+    n = sites.count()
+    box = (F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys))
+    extent = max((wide or 0.0) * (high or 0.0), areas.agg(F.sum(box)).first()[0] or 0.0, 1e-9)
+    size = math.sqrt(extent * PIECE_SITES / max(1, n))
+    pieces = _pieces(areas.select(area, "ring"), area, size)
+    middle = pieces.withColumn("ax", (F.array_min(xs) + F.array_max(xs)) / 2).withColumn("ay", (F.array_min(ys) + F.array_max(ys)) / 2)
+    far = F.array_max(F.transform("ring", lambda p: F.hypot(p["x"] - F.col("ax"), p["y"] - F.col("ay"))))
+    middle = middle.select("piece", "ax", "ay", far.alias("far"))
+    first = spatial.nearest(middle.select("piece", "ax", "ay"), sites, "piece", site, size).select("piece", F.col("dist").alias("first"))
+    asks = middle.join(first, "piece").withColumn("reach", (F.col("first") + 2 * F.col("far")) * (1 + 1e-9))
+    asks = stored(asks.withColumn("step", F.greatest(F.ceil(F.log2(F.col("reach") / size)), F.lit(0)).cast("int")), "asks")
+    near = None
+    for (step,) in asks.select("step").distinct().collect():  # powers of two: a few
+        one = spatial.within_distance(asks.where(F.col("step") == step).select("piece", "ax", "ay", "reach"), sites, size * 2.0**step).where("dist <= reach").select("piece", site, "bx", "by")
+        near = one if near is None else near.union(one)
+    if near is None:
+        none = F.lit(None).cast(sites.schema[site].dataType).alias(site)
+        return areas.select(area, none, F.lit(0.0).alias("share")).limit(0)
+    held = near.groupBy("piece").agg(F.collect_list(F.struct(F.col(site).alias("site"), "bx", "by")).alias("sites")).join(pieces, "piece")
 
     @F.pandas_udf("array<double>")
-    def shares(rings: pd.Series, lists: pd.Series) -> pd.Series:
+    def owned(rings: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
         for points, own in zip(rings, lists, strict=True):
-            ring, at = _open(points), np.array([(s["bx"], s["by"]) for s in own])
-            whole, got = shoelace(ring), []
+            ring, at, got = _open(points), np.array([(s["bx"], s["by"]) for s in own]), []
             for i, (x, y) in enumerate(at):
-                part = ring
-                for j, (u, v) in enumerate(at):
-                    if i != j and len(part):
+                part, apart = ring, np.hypot(at[:, 0] - x, at[:, 1] - y)
+                for j in np.argsort(apart, kind="stable").tolist():
+                    if not len(part) or apart[j] / 2 > np.hypot(part[:, 0] - x, part[:, 1] - y).max():
+                        break  # no site so far away cuts what is left
+                    if j != i:
+                        u, v = at[j]
                         part = half_plane(part, u - x, v - y, (u * u + v * v - x * x - y * y) / 2)
-                got.append(shoelace(part) / whole if whole else 0.0)
+                got.append(shoelace(part))
             out.append(got)
         return pd.Series(out)
 
-    each = held.withColumn("shares", shares("ring", "sites")).select(area, F.explode(F.arrays_zip("sites", "shares")).alias("z"))
-    return each.select(area, F.col("z.sites.site").alias(site), F.col("z.shares").alias("share")).where("share > 0")
+    each = held.withColumn("owned", owned("ring", "sites")).select(area, "whole", F.explode(F.arrays_zip("sites", "owned")).alias("z"))
+    each = each.where("z.owned > 0").groupBy(area, F.col("z.sites.site").alias(site)).agg((F.sum("z.owned") / F.max("whole")).alias("share"))
+    return each.select(area, site, "share")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.ranking import average_rank, global_rank, place
+from ..functions.ranking import global_rank, ordered_total
+from ..storage import stored
 
 
 def precision_recall(predicted: DataFrame, actual: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -18,10 +20,20 @@ def precision_recall(predicted: DataFrame, actual: DataFrame, keys: list[str], i
 
 def rank_stability(scores: DataFrame, key: str, base: str, changed: str, group: str, top: int = 10) -> DataFrame:
     """By group: Spearman's rho of two scores, overlap of their top rows and whether the ranking is stable."""
-    own = scores.select(group, key, base, changed)
-    ranked = average_rank(average_rank(own, [group], base, "ra"), [group], changed, "rb")
-    ranked = place(place(ranked, [group], [F.col(base).desc(), F.col(key)], "pa"), [group], [F.col(changed).desc(), F.col(key)], "pb")
-    out = ranked.groupBy(group).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"), F.count_if((F.col("pa") <= top) & (F.col("pb") <= top)).alias("both"))
+    own = scores.select(group, key, base, changed).where(F.col(base).isNotNull() & F.col(changed).isNotNull())
+    # both scores are ranked at once, by their different values
+    stacked = own.select(group, F.inline(F.array(*(F.struct(F.lit(i).alias("_of"), F.col(c).cast("double").alias("_score")) for i, c in enumerate((base, changed))))))
+    counts = stacked.groupBy(group, "_of", "_score").agg(F.count("*").alias("_n"))
+    totals = ordered_total(counts, [group, "_of"], [F.col("_score")], F.col("_n"), "_upto")
+    ranks = stored(totals.select(group, "_of", "_score", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank")), "ranks")
+    ranked = own
+    for i, (c, name) in enumerate(((base, "ra"), (changed, "rb"))):
+        one = ranks.where(F.col("_of") == i).select(F.col(group), F.col("_score").alias(f"_v{i}"), F.col("_rank").alias(name))
+        ranked = ranked.withColumn(f"_v{i}", F.col(c).cast("double")).join(one, [group, f"_v{i}"])
+    out = ranked.groupBy(group).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    first = lambda c: own.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.col(c).desc(), F.col(key)))).where(F.col("_place") <= top).select(group, key)
+    both = first(base).join(first(changed), [group, key]).groupBy(group).agg(F.count("*").alias("both"))  # ``top`` rows a group
+    out = out.join(both, group, "left").na.fill(0, ["both"])
     rho, overlap = F.when(F.col("n") >= 3, F.round("rho", 4)), F.round(F.col("both") / F.least(F.col("n"), F.lit(top)), 4)
     return out.select(group, rho.alias("rho"), overlap.alias("overlap"), F.coalesce((rho >= 0.9) & (overlap >= 0.8), F.lit(False)).alias("stable"))
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import parcels, scoring, tables, upkeep
+from gridloom.operators import clip, parcels, scoring, tables, upkeep
 
 SCHEMA = "parcel string, value double, contact string, town string, sold timestamp"
 OLD, NEW = dt.datetime(2019, 1, 1), dt.datetime(2026, 5, 1)
@@ -86,13 +86,11 @@ def test_cell_shares_against_counted_places(spark):
     """Shares of a square and a triangle by the nearest of five sites, against 40,000 places counted one by one."""
     import numpy as np
 
-    from gridloom.operators import clip
-
     sites = [(1, 10.0, 10.0), (2, 90.0, 20.0), (3, 50.0, 80.0), (4, 52.0, 40.0), (5, 300.0, 300.0)]
     p = lambda *at: [{"x": float(x), "y": float(y)} for x, y in at]
     rings = [("square", p((0, 0), (100, 0), (100, 100), (0, 100), (0, 0))), ("triangle", p((0, 0), (100, 0), (0, 100), (0, 0)))]
     areas = spark.createDataFrame(rings, "area string, ring array<struct<x:double,y:double>>")
-    got = {(r.area, r.site): r.share for r in clip.cell_shares(areas, spark.createDataFrame(sites, "site long, bx double, by double"), "area", "site", 1000.0).collect()}
+    got = {(r.area, r.site): r.share for r in clip.cell_shares(areas, spark.createDataFrame(sites, "site long, bx double, by double"), "area", "site").collect()}
     x, y = (v.reshape(-1) + 0.25 for v in np.meshgrid(np.arange(0, 100, 0.5), np.arange(0, 100, 0.5)))
     owner = np.argmin([(x - u) ** 2 + (y - v) ** 2 for _, u, v in sites], axis=0) + 1
     for area, inside in (("square", x >= 0), ("triangle", x + y < 100)):
@@ -110,3 +108,12 @@ def test_unknown_owners_and_small_changes_are_told_from_new_rows(spark):
     ]
     strict = tables.snapshot_deltas(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k", least_change=0.5)
     assert strict.where("change_type = 'value_change'").count() == 3
+
+
+def test_a_far_site_owns_all(spark):
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0))]
+    areas = spark.createDataFrame([(1, ring)], "area long, ring array<struct<x: double, y: double>>")
+    got = clip.cell_shares(areas, spark.createDataFrame([(7, 50_000.0, 0.0)], "site long, bx double, by double"), "area", "site").collect()
+    assert [(r.area, r.site) for r in got] == [(1, 7)] and got[0].share == pytest.approx(1)
+    two = clip.cell_shares(areas, spark.createDataFrame([(7, 50_000.0, 5.0), (8, -49_995.0, 5.0)], "site long, bx double, by double"), "area", "site").collect()
+    assert {r.site: round(r.share, 6) for r in two} == {7: 0.75, 8: 0.25}
