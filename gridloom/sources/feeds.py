@@ -71,17 +71,6 @@ def quakes(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def script_value(script: Column, name: str) -> Column:
-    """The JSON text of ``var name = [...]`` or ``{...}`` in a script: up to the line that ends the statement.
-
-    Bare keys and single quotes become double-quoted.
-    """
-    raw = F.regexp_extract(script, rf"(?s)\b{name}\s*=\s*([\[{{].*?[\]}}])\s*;", 1)
-    quoted = F.regexp_replace(raw, r"'([^']*)'", '"$1"')
-    keyed = F.regexp_replace(quoted, r'([{,]\s*)([A-Za-z_]\w*)\s*:', '$1"$2":')
-    return F.nullif(F.regexp_replace(keyed, r",\s*([\]}])", "$1"), F.lit(""))
-
-
 def capacity_history(json_text: DataFrame, column: str = "value") -> DataFrame:
     """period, label and capacity from parallel arrays by period."""
     arrays = "struct<labels: array<string>, capacity: array<double>>"

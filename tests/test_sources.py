@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.sources import feeds, files, sinks
+from gridloom.sources import feeds, files, scripts, sinks
 
 OUTAGE = {"name": "Northhill", "totalClients": 4000, "totalClientsWithoutService": 30, "totalClientsWithService": 3970, "totalClientsAffectedByPlannedOutage": 7, "totalClientsAffectedByLoadShed": 2, "percentageClientsWithoutService": 0.75}
 
@@ -29,7 +29,7 @@ def test_quakes(spark):
 
 def test_script_values(spark):
     script = "var other = 1;\nvar dataByFuel = [{fuel: 'LNG', value: 52,}, {fuel: 'Hydro', value: 15}];\n"
-    raw = spark.createDataFrame([(script,)], "s string").select(feeds.script_value(F.col("s"), "dataByFuel")).first()[0]
+    raw = spark.createDataFrame([(script,)], "s string").select(scripts.script_value(F.col("s"), "dataByFuel")).first()[0]
     assert json.loads(raw) == [{"fuel": "LNG", "value": 52}, {"fuel": "Hydro", "value": 15}]
 
 
@@ -133,3 +133,27 @@ def test_sinks(spark, tmp_path):
         west, south, east, north = sinks.tile_bounds(10, r["tile_x"], r["tile_y"])
         lon, lat = {"a": (-66.1, 18.4), "b": (-66.2, 18.5)}[r["name"]]
         assert west <= lon < east and south < lat <= north and 0 <= r["px"] < 4096 and 0 <= r["py"] < 4096
+
+
+SCRIPT = r"""
+// var ignored = [1];
+/* const also = {a: 1}; */
+const text = "data = [9]; it's";
+const data = [{ Desc: 'ends with ];', n: -1.50, 'k': [1, 2, {x: null,},], 3: .5, ok: true }, 'it\\'s "so"', "l\u00e9on", undefined, 0x1F,];
+let open_ = [1, (2)];
+window.chart = { "a": `b\nc`, deep: {deeper: [[], {}]} };
+const cut = [1, 2
+"""
+
+
+def test_literals_in_scripts(spark):
+    import json
+
+    got = {n: v and json.loads(v) for n, v in scripts.literals(SCRIPT.replace("\\\\", "\\"))}
+    assert got["data"] == [{"Desc": "ends with ];", "n": -1.5, "k": [1, 2, {"x": None}], "3": 0.5, "ok": True}, 'it\'s "so"', "l\u00e9on", None, 31]
+    assert got["chart"] == {"a": "b\nc", "deep": {"deeper": [[], {}]}}
+    assert got["open_"] is None and got["cut"] is None and set(got) == {"data", "open_", "chart", "cut"}
+    scripts.register(spark)
+    spark.createDataFrame([(1, "var a = {b: 'x];y'}; c = [1]"), (2, None), (3, "nothing")], "id int, script string").createOrReplaceTempView("scripts")
+    rows = spark.sql("select id, name, value from scripts, lateral script_literals(script)").collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", '{"b":"x];y"}'), (1, "c", "[1]")]
