@@ -73,7 +73,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row, doc_id, text, next_row, next_text: each document beside the next in ascending doc_id order.
+    """g and place (of a row), doc_id, text, next_g, next_place, next_text: each document beside the next in ascending doc_id order.
 
     Documents are dealt into groups of neighbouring ids, so that no task orders more than a group.  Rows of an id that
     many rows have, or of none, are dealt by a hash of their text.  A row is known by its group and its place there, so
@@ -86,49 +86,40 @@ def neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     shares = [i / min(groups, BOUNDS) for i in range(1, min(groups, BOUNDS))]
     found = (base.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares and low is not None else None) or []
     bounds, cells = sorted(set(found)), math.ceil(groups / BOUNDS)
-    part, cell, slot = F.lit(0), F.lit(0), F.lit(0).cast("long")
-    spread = lambda many: F.floor(F.col("u") * F.lit(many) / F.lit(float(1 << 32)))
+    missing = max(1, math.ceil((n - known) / GROUP_ROWS)) if n > known else 0
+    part, index = F.lit(0), F.lit(missing)  # of a group within its part
     if bounds:
         array = F.array(*(F.lit(b) for b in bounds))
         # the number of lesser bounds, without a lambda: plans that hold one are not seen to be equal and would not share an exchange
-        part = F.coalesce(F.array_position(F.sort_array(F.array_append(array, F.col("doc_id"))), F.col("doc_id")) - 1, F.lit(0)).cast("int")
+        part = F.coalesce(F.array_position(F.sort_array(F.array_append(array, F.col("doc_id"))), F.col("doc_id")) - 1, F.lit(0))
         if cells > 1:  # equal cells between the bounds
             before, after = F.get(array, part - 1), F.get(array, part)
-            cell = F.coalesce(F.least(F.floor((F.col("doc_id") - before) * cells / (after - before)), F.lit(cells)), F.lit(0))
-        # an id that is several bounds is the last of its part; as many slots as bounds, times cells
+            index = F.coalesce(F.least(F.floor((F.col("doc_id") - before) * cells / (after - before)), F.lit(cells)), F.lit(0)) + missing
+        # an id that is several bounds is the last of its part; it has as many groups as bounds, times cells
         hot = {b: found.count(b) * cells for b in bounds if found.count(b) > 1}
         if hot:
             many = F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("doc_id"))
-            slot = F.coalesce(F.floor(F.col("u") * many / F.lit(float(1 << 32))) + 1, slot)
-    if n > known:  # before all others
-        many = max(1, math.ceil((n - known) / GROUP_ROWS))
-        slot = F.when(F.col("doc_id").isNull(), spread(many) - many).otherwise(slot)
-    base = base.withColumn("part", part).withColumn("cell", cell.cast("long")).withColumn("slot", slot.cast("long"))
+            index = F.coalesce(F.floor(F.col("u") * many / F.lit(float(1 << 32))) + (missing + cells + 1), index)
+    if missing:  # before all others
+        index = F.when(F.col("doc_id").isNull(), F.floor(F.col("u") * F.lit(missing) / F.lit(float(1 << 32)))).otherwise(index)
+    base = base.withColumn("g", F.shiftleft(part.cast("long"), 40) + index.cast("long"))
 
     # a row per group: its first row, and the group before it, which gets a copy of that row
-    key = ["part", "cell", "slot"]
-    groups = base.groupBy(*key).agg(F.min(F.struct("doc_id", "u")).alias("first"))
-    parts = groups.groupBy("part").agg(F.max(F.struct("cell", "slot")).alias("last"))
-    over = Window.orderBy("part")
-    end = parts.agg(F.max(F.struct("part", "last"))).first()[0] or (0, (0, 0))
-    parts = parts.select("part", F.lag("part").over(over).alias("part_before"), F.lag("last").over(over).alias("last"))
-    groups = groups.withColumn("before", F.lag(F.struct("cell", "slot")).over(Window.partitionBy("part").orderBy("cell", "slot"))).join(parts, "part")
-    heads = groups.select(
-        *(F.col(k).alias(f"own_{k}") for k in key), F.col("first.doc_id").alias("first_id"), F.col("first.u").alias("first_u"),
-        F.when(F.col("before").isNotNull(), F.col("part")).otherwise(F.coalesce("part_before", F.lit(end[0]))).alias("to_part"),
-        *(F.coalesce(f"before.{k}", f"last.{k}", F.lit(end[1][i])).alias(f"to_{k}") for i, k in enumerate(key[1:])),
-    )
+    groups = base.groupBy("g").agg(F.min(F.struct("doc_id", "u")).alias("first")).withColumn("part", F.shiftright("g", 40))
+    parts = groups.groupBy("part").agg(F.max("g").alias("last"))
+    end = parts.agg(F.max("last")).first()[0] or 0
+    parts = parts.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
+    groups = groups.withColumn("before", F.lag("g").over(Window.partitionBy("part").orderBy("g"))).join(parts, "part")
+    heads = groups.select(F.col("g").alias("own"), F.col("first.doc_id").alias("first_id"), F.col("first.u").alias("first_u"), F.coalesce("before", "last", F.lit(end)).alias("to"))
     heads = written(heads, "heads")  # of a size that Spark knows
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("u") == F.col("first_u"))
-    for k in key:
-        same = same & (F.col(k) == F.col(f"own_{k}"))
-    copies = base.join(heads, same).select("doc_id", "text", "u", *(F.col(f"to_{k}").alias(k) for k in key), F.struct(*(F.col(f"own_{k}").alias(k) for k in key), F.lit(1).alias("place")).alias("copy"))
-    own = Window.partitionBy(*key).orderBy(F.col("copy").isNotNull(), "doc_id", "u", "text")
-    none = F.lit(None).cast("struct<part:int,cell:bigint,slot:bigint,place:int>")
-    laid = base.select("doc_id", "text", "u", *key, none.alias("copy")).union(copies).withColumn("place", F.row_number().over(own))
-    follows = F.coalesce(F.lead("copy").over(own), F.struct(*key, (F.col("place") + 1).alias("place")))
-    laid = laid.withColumn("next_row", follows).withColumn("next_text", F.lead("text").over(own))
-    return laid.where("copy is null").select(F.struct(*key, "place").alias("row"), "doc_id", "text", "next_row", "next_text")
+    firsts = base.join(heads, (F.col("g") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("u") == F.col("first_u")))
+    copies = firsts.select("doc_id", "text", "u", F.col("to").alias("g"), F.col("own").alias("copy"))
+    own = Window.partitionBy("g").orderBy(F.col("copy").isNotNull(), "doc_id", "u", "text")
+    laid = base.select("doc_id", "text", "u", "g", F.lit(None).cast("long").alias("copy")).union(copies)
+    ahead = F.lead("copy").over(own)
+    laid = laid.withColumns({"place": F.row_number().over(own), "next_text": F.lead("text").over(own), "next_g": F.coalesce(ahead, F.col("g")), "ahead": ahead})
+    laid = laid.withColumn("next_place", F.when(F.col("ahead").isNotNull(), F.lit(1)).otherwise(F.col("place") + 1))
+    return laid.where("copy is null").select("g", "place", "doc_id", "text", "next_g", "next_place", "next_text")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -139,11 +130,12 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     laid = laid.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))))
-    texts = laid.select("row", "doc_id", "next_row", "n_chars", "edited_sha256", both.alias("it")).select("row", "doc_id", "next_row", "n_chars", "edited_sha256", "it.kind", "it.body")
-    made = written(fingerprint(texts, ["row", "doc_id", "next_row", "n_chars", "edited_sha256", "kind"], "body", samples), "fingerprints")
-    plain, changed = made.where("kind = 0"), made.where("kind = 1").select("row", F.col("samples").alias("edited_samples"))
-    after = made.where("kind = 0").select(F.col("row").alias("next_row"), F.col("samples").alias("next_samples"))
-    out = plain.join(changed, "row").join(after, "next_row")
+    about = ["g", "place", "doc_id", "next_g", "next_place", "n_chars", "edited_sha256"]
+    texts = laid.select(*about, both.alias("it")).select(*about, "it.kind", "it.body")
+    made = written(fingerprint(texts, [*about, "kind"], "body", samples), "fingerprints")
+    plain, changed = made.where("kind = 0"), made.where("kind = 1").select("g", "place", F.col("samples").alias("edited_samples"))
+    after = made.where("kind = 0").select(F.col("g").alias("next_g"), F.col("place").alias("next_place"), F.col("samples").alias("next_samples"))
+    out = plain.join(changed, ["g", "place"]).join(after, ["next_g", "next_place"])
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("samples")).alias("fingerprint"), as_text(F.col("edited_samples")).alias("edited_fingerprint"),
         likeness(F.col("samples"), F.col("edited_samples"), samples).alias("near_edited"), likeness(F.col("samples"), F.col("next_samples"), samples).alias("near_next"),

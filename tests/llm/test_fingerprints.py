@@ -71,15 +71,15 @@ def test_hot_ids_are_dealt_out(spark, monkeypatch, bounds):
     r = random.Random(3)
     rows = [(None if k % 2 else 77 if k % 10 == 0 else k, f"t{r.randrange(900)}") for k in range(1500)]
     laid = fp.neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
-    sizes = [x["count"] for x in laid.groupBy("row.part", "row.cell", "row.slot").count().collect()]
+    sizes = [x["count"] for x in laid.groupBy("g").count().collect()]
     assert max(sizes) <= 40
-    at = {tuple(x.row): x for x in laid.collect()}
+    at = {(x.g, x.place): x for x in laid.collect()}
     assert len(at) == 1500 and sorted((x.doc_id or -1, x.text) for x in at.values()) == sorted((d or -1, t) for d, t in rows)
     seen, now = [], min(at)
     for _ in range(1500):
         seen.append(at[now])
-        now = tuple(at[now].next_row)
-    assert now == min(at) and len({tuple(x.row) for x in seen}) == 1500
+        now = (at[now].next_g, at[now].next_place)
+    assert now == min(at) and len({(x.g, x.place) for x in seen}) == 1500
     assert [x.doc_id or -1 for x in seen] == sorted(d or -1 for d, _ in rows)
     assert all(x.next_text == y.text for x, y in zip(seen, seen[1:] + seen[:1], strict=True))
 
