@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.sources import feeds, files, scripts, sinks
+from gridloom.sources import collections, feeds, files, scripts, sinks
 
 OUTAGE = {"name": "Northhill", "totalClients": 4000, "totalClientsWithoutService": 30, "totalClientsWithService": 3970, "totalClientsAffectedByPlannedOutage": 7, "totalClientsAffectedByLoadShed": 2, "percentageClientsWithoutService": 0.75}
 
@@ -157,3 +157,47 @@ def test_literals_in_scripts(spark):
     spark.createDataFrame([(1, "var a = {b: 'x];y'}; c = [1]"), (2, None), (3, "nothing")], "id int, script string").createOrReplaceTempView("scripts")
     rows = spark.sql("select id, name, value from scripts, lateral script_literals(script)").collect()
     assert sorted(map(tuple, rows)) == [(1, "a", '{"b":"x];y"}'), (1, "c", "[1]")]
+
+
+def collection(n):
+    """A collection in one line, with braces and quotes in strings, a reference system, bad features and one of 20,000 bytes."""
+    made = []
+    for i in range(n):
+        note = f'say \\"{{{i}}}\\" or }}{{ or \\\\' if i % 3 else "é" * (10_000 if i == 7 else 2)
+        place = f'{{"type":"Point","coordinates":[{i}.5,{i}]}}' if i % 5 else "null"
+        made.append(f'{{"geometry":{place}, "type":"Feature","properties":{{"id":{i},"note":"{note}","more":{{"deep":[{{}},{{"a":"}}"}}]}}}}}}')
+    return '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"x}"}},"features":[' + ",".join(made) + "]}"
+
+
+@pytest.mark.parametrize("split", [256, 1500, 1 << 20])
+def test_collections_in_splits(spark, tmp_path, split):
+    texts = {"a.json": collection(200), "b.json": collection(1), "c.json": "", "d.json": json.dumps(json.loads(collection(30)), indent=1) + "\n" + collection(3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        read = collections.features(spark, str(tmp_path), "id int, note string")
+        rows = read.select(F.element_at(F.split("file", "/"), -1), "properties.id", "properties.note", "geometry.coordinates", "good").collect()
+        counts = {r[0].rpartition("/")[2]: (r.features, r.bad) for r in collections.status(read).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = []
+    for name, n in (("a.json", 200), ("b.json", 1), ("d.json", 30), ("d.json", 3)):
+        for f in json.loads(collection(n))["features"]:
+            spot = f["geometry"] and f["geometry"]["coordinates"]
+            expected.append((name, f["properties"]["id"], f["properties"]["note"], spot, spot is not None))
+    found = [(*r[:3], r[3] and json.loads(r[3]), r[4]) for r in rows]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert counts == {"a.json": (200, 40), "b.json": (1, 1), "d.json": (33, 7)}
+
+
+def test_collections_cut_off(spark, tmp_path):
+    (tmp_path / "a.json").write_text(collection(10)[:-60])
+    assert collections.status(collections.features(spark, str(tmp_path), "id int")).select("features", "bad").collect() == [(10, 3)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.json").write_text('{"a":{}} {"a":"{"}\n{"b":1}')
+    assert sorted(r.text.strip() for r in collections.objects(spark, str(tmp_path / "b"), 1).collect()) == ['{"a":"{"}', '{"a":{}}', '{"b":1}']
