@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values: (type, construction USD, yearly upkeep USD, hazard, cascade and betweenness factors after the work).
@@ -221,3 +221,21 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         (total("cb") - total("ca")).cast("double").alias("delta_cost"), F.round((total("ub") - total("ua")).cast("double"), 4).alias("delta_uplift"),
         F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"),
     )
+
+
+def store_run(items: DataFrame, path: str, run: str, computed_at: str) -> None:
+    """Keeps a portfolio as run ``run``, computed at a time in ISO form; storing a run again replaces it."""
+    items.withColumn("computed_at", F.lit(computed_at).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run, computed_at, items, cost and uplift of each run kept; a run of no item has no row."""
+    kept = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(f"{path}/run=*")
+    return kept.groupBy(F.col("run").cast("string").alias("run"), "computed_at").agg(F.count("*").alias("items"), F.sum("cost").alias("cost"), F.sum("uplift").alias("uplift"))
+
+
+def last_run(spark: SparkSession, path: str) -> DataFrame:
+    """The items of the run computed last, of two at one time the later name."""
+    kept = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(f"{path}/run=*").withColumn("run", F.col("run").cast("string"))
+    newest = kept.groupBy("run", "computed_at").agg(F.lit(1)).agg(F.max(F.struct("computed_at", "run")).alias("m")).select("m.run")
+    return kept.join(F.broadcast(newest), "run", "left_semi")

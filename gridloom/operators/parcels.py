@@ -105,9 +105,3 @@ def monthly_deltas(spark: SparkSession, path: str, month: str, parcel: str, owne
         return None
     old, new = (spark.read.parquet(f"{path}/snapshot_month={m}") for m in (before[-1], month))
     return snapshot_deltas(old, new, parcel, owner, value, sold).withColumn("to_month", F.lit(month))
-
-
-def civic_card(areas: DataFrame, area: str, people: DataFrame, power: DataFrame, access: DataFrame, flood: DataFrame) -> DataFrame:
-    """A row per area: population and percentile of its vulnerability, who powers it, minutes to care, flood level."""
-    known = detail(areas, {"power": power, "access": access}, area).join(flood.select(area, "fraction"), area, "left").join(people, area, "left")
-    return known.withColumn("flood_level", flood_level(F.col("fraction")))

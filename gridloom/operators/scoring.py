@@ -26,6 +26,9 @@ NO_RECOVERY = 0.3
 LOST_LOAD = (0.822, 5.0, 33.6, 17.29)
 # Metres within which homes are displaced, and the share of their value.
 RELOCATION = (500.0, 0.05)
+# Weights of vulnerability where social shares are known, and shares where an area's own are not.
+SOCIAL_WEIGHTS = {"poverty": 0.30, "elderly": 0.15, "disabled": 0.10, "flood": 0.30, "slope": 0.15}
+USUAL_SHARES = {"elderly": 0.185, "disabled": 0.255}
 # Weights of site criteria.
 SITE_WEIGHTS = {
     "power_access": 0.18, "grid_reliability": 0.15, "flood_safety": 0.20, "water_access": 0.12, "road_access": 0.15, "port_access": 0.15,
@@ -80,10 +83,19 @@ def community(areas: DataFrame) -> DataFrame:
     return areas.withColumn("density", density).withColumn("resilience", F.round(0.5 * (1 - F.col("svi")) + 0.3 * F.col("density") + 0.2 * recovery, 4))
 
 
-def vulnerability(areas: DataFrame) -> DataFrame:
-    """Adds ``svi``: percent rank of 0.7 flood + 0.3 slope score, where no slope counts as 38 degrees."""
+def vulnerability(areas: DataFrame, social: bool = False) -> DataFrame:
+    """Adds ``svi``: percent rank of 0.7 flood + 0.3 slope score, where no slope counts as 38 degrees.
+
+    social: a blend with the columns poverty, elderly and disabled, whose unknown shares of old and disabled people take
+    the usual ones; an area of unknown poverty has no blend and comes last.
+    """
     slope = 1 - F.least(F.coalesce("slope", F.lit(38.0)) / 76.0, F.lit(1.0))
-    return global_rank(areas.withColumn("blend", F.round(0.7 * F.col("flood") + 0.3 * slope, 6)), "blend", "svi", percent=True)
+    blend = 0.7 * F.col("flood") + 0.3 * slope
+    if social:
+        w = SOCIAL_WEIGHTS
+        share = lambda name: F.coalesce(name, F.lit(USUAL_SHARES[name])) * w[name]
+        blend = F.col("poverty") * w["poverty"] + share("elderly") + share("disabled") + F.col("flood") * w["flood"] + slope * w["slope"]
+    return global_rank(areas.withColumn("blend", F.round(blend, 6)), "blend", "svi", percent=True)
 
 
 def exposure(reached: bits.Levels, powers: DataFrame, people: DataFrame) -> DataFrame:
