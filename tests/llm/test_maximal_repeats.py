@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import maximal_repeats
+from gridloom.llm import common, maximal_repeats
 
 SCHEMA = "doc_id long, text string, k1 string, begin int"
 
@@ -111,3 +113,54 @@ def test_empty(spark):
     assert maximal_repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "short"), (2, None)]
     assert made(spark, rows, 400) == brute(rows, 400)
+
+
+def test_hashing_takes_little_memory_at_once():
+    r = random.Random(8)
+    texts = pa.array(["".join(r.choices("abcdefgh ", k=2000)) for _ in range(1500)])
+    tracemalloc.start()
+    try:
+        for data, rows, _ in maximal_repeats._texts(texts, 400):
+            maximal_repeats.blocks(data, rows, 400)
+        assert tracemalloc.get_traced_memory()[1] < 30e6  # 83 MB with pieces of a megabyte
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_core_has_one_worker_for_windows(spark, monkeypatch):
+    workers, plain = {}, maximal_repeats.written
+
+    def written(df, name):
+        workers[name] = df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        return plain(df, name)
+
+    monkeypatch.setattr(maximal_repeats, "written", written)
+    monkeypatch.setattr(maximal_repeats, "MOST_KINDS", 3)
+    r = random.Random(9)
+    some = lambda k: "".join(r.choices("abcdé ", k=k))
+    shared = some(500)
+    rows = [(k, some(r.randint(0, 300)) + shared[r.randint(0, 50) :] + some(r.randint(0, 300))) for k in range(12)]
+    assert made(spark, rows, 400) == brute(rows, 400)
+    assert workers["windows"] == 1
+
+
+def test_worker_gives_memory_back_when_a_task_ends(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "_trim", lambda: seen.append("trimmed"))
+
+    def task(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    assert list(common.trimmed(task)(iter([1, 2]))) == [1, 2]
+    assert seen == [1, 2, "trimmed"]
+
+
+def test_repeats_across_the_pieces_of_long_texts(spark):
+    r, size = random.Random(10), maximal_repeats.CHUNK_BYTES
+    assert size <= 1 << 17  # else these texts are in one piece
+    some = lambda k: "".join(r.choices("abcdefgh", k=k))
+    long = some(2 * size + 5000)
+    rows = [(1, long), (2, some(100) + long[size - 700 : size + 700] + some(100)), (3, long[2 * size - 399 : 2 * size + 1]), (4, long[size - 200 : size + 199]), (5, long[:3] + "é" + long[3:600])]
+    assert made(spark, rows, 400) == brute(rows, 400)
