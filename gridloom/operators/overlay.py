@@ -12,6 +12,9 @@ its outline costs, and no cell inside it is listed.  The union's outline is the
 node they are joined so that the covered side stays on the left, and the cycles are the rings.
 
 Cells with over MOST_EDGES edges are split by SPLIT in both directions until none is left or a cell is a unit wide.
+
+Of two tables, edges are cut only where what is asked of them can change (``cuts``): areas of one table that are not asked
+about each other cross freely, so pieces do not grow with the square of how densely they lie.
 """
 
 from __future__ import annotations
@@ -55,8 +58,8 @@ def _dealt(of: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("column", columns).drop("_a", "_b")
 
 
-def _corners(of: DataFrame, cells: DataFrame, size: int, key: list[str]) -> DataFrame:
-    """key, row, column of the cells whose lower left corner lies in an area; only of the given cells (group, row, column)."""
+def _corners(of: DataFrame, wanted: list[DataFrame], size: int, key: list[str]) -> DataFrame:
+    """key, row, column of the cells whose lower left corner lies in an area; only of the wanted cells (some of the key, row, column)."""
     lines = of.withColumn("row", F.expr(f"explode(case when {_cell('least(y1, y2)', size)} < {_cell('greatest(y1, y2)', size)} then sequence({_cell('least(y1, y2)', size)} + 1, {_cell('greatest(y1, y2)', size)}) end)"))
     x = F.expr(f"round((x1 + (row * {size} - 0.5D - y1) * (x2 - x1) / cast(y2 - y1 as double)) * {FINE}D) / {FINE}D")
     order = Window.partitionBy(*key, "row").orderBy("x")
@@ -73,10 +76,19 @@ def _corners(of: DataFrame, cells: DataFrame, size: int, key: list[str]) -> Data
         return F.struct(F.shiftright(s["a"] + F.when(first, 1).otherwise(0), 1).alias("a"), F.shiftright(s["z"] - F.when(last, 1).otherwise(0), 1).alias("z"), nodes.alias("nodes"))
 
     spans = spans.select(*key, "row", F.inline(F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step)["nodes"]))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
-    group = [c for c in cells.columns if c not in ("row", "column")]
-    nodes = cells.select(*group, "row", "column", levels).withColumn("node", F.expr("shiftright(column, level)"))
-    return spans.join(nodes, [*group, "row", "level", "node"]).select(*key, "row", "column")
+    levels, out = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), None
+    for cells in wanted:
+        group = [c for c in cells.columns if c not in ("row", "column")]
+        nodes = cells.select(*group, "row", "column", levels).withColumn("node", F.expr("shiftright(column, level)"))
+        found = spans.join(nodes, [*group, "row", "level", "node"]).select(*key, "row", "column")
+        out = found if out is None else out.union(found)
+    return out if len(wanted) == 1 else out.distinct()
+
+
+def _of_interest(dealt: DataFrame) -> list[DataFrame]:
+    """Cells in which it counts whether an area of two sides holds the corner: those with edges of its own or of the other side."""
+    own = dealt.select("side", "area", "row", "column").distinct()
+    return [own, dealt.select((1 - F.col("side")).alias("side"), "row", "column").distinct()]
 
 
 class Cell:
@@ -86,10 +98,10 @@ class Cell:
     and the east.
     """
 
-    def __init__(self, xy: np.ndarray, area: np.ndarray, n_areas: int, corner: np.ndarray, row: int, column: int, size: int) -> None:
+    def __init__(self, xy: np.ndarray, area: np.ndarray, n_areas: int, corner: np.ndarray, row: int, column: int, size: int, cuts: np.ndarray | None = None) -> None:
         self.x0, self.y0 = column * size - 0.5, row * size - 0.5
-        self.x1, self.y1 = self.x0 + size, self.y0 + size
-        e, at = self._cut(xy)
+        self.x1, self.y1, self.cuts = self.x0 + size, self.y0 + size, cuts
+        e, at = self._cut(xy, None if cuts is None else cuts[np.ix_(area, area)])
         pieces, self.of = np.unique(e, axis=0, return_inverse=True) if len(e) else (np.zeros((0, 4)), np.zeros(0, int))
         self.of = self.of.reshape(-1)
         self.pieces = pieces
@@ -110,15 +122,17 @@ class Cell:
         under = (x1 <= middle[:, :1]) & (middle[:, :1] < x2) & ~on & lower & (y < middle[:, 1:])
         crossed = under.astype(np.int64) + (through & (bottom >= self.x0) & before)
         counts = np.zeros((len(pieces), n_areas), np.int64)
-        for a in range(n_areas):
-            counts[:, a] = crossed[:, area == a].sum(axis=1)
+        if len(area):
+            order = np.argsort(area, kind="stable")
+            known, starts = np.unique(area[order], return_index=True)
+            counts[:, known] = np.add.reduceat(crossed[:, order], starts, axis=1)
         self.below = (counts + corner) % 2 == 1
         self.above = self.below ^ self.owns
         #: Twice the area below a piece and above y = 0, as it is added where the area is below.
         self.weight = (pieces[:, 1] + pieces[:, 3]) / 2 * (pieces[:, 2] - pieces[:, 0])
 
-    def _cut(self, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces within the cell, and the edge of each."""
+    def _cut(self, xy: np.ndarray, cuts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces within the cell, and the edge of each; cuts: which edges cut which (all, if None)."""
         a, b = xy[:, :2], xy[:, 2:]
         d = b - a
         points, whose = [a, b], [np.arange(len(xy))] * 2
@@ -135,17 +149,29 @@ class Cell:
                 whose.append(hit)
         cross = lambda p, q: p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
         to_a, to_b = cross(d[:, None], a[None] - a[:, None]), cross(d[:, None], b[None] - a[:, None])  # of edge i: ends of edge j
-        i, j = np.nonzero(np.triu((np.sign(to_a) * np.sign(to_b) < 0) & (np.sign(to_a.T) * np.sign(to_b.T) < 0), 1))
+        apart = np.sign(to_a) * np.sign(to_b) < 0
+        met = apart & apart.T
+        i, j = np.nonzero(np.triu(met if cuts is None else met & cuts, 1))
         t = to_a.T[i, j] / (to_a.T[i, j] - to_b.T[i, j])
         p = np.rint((a[i] + d[i] * t[:, None]) * FINE) / FINE
         points += [p, p]
         whose += [i, j]
         low, high = np.minimum(a, b), np.maximum(a, b)
         for ends, side in ((a, to_a), (b, to_b)):
-            i, j = np.nonzero((side == 0) & (ends[None] >= low[:, None]).all(axis=2) & (ends[None] <= high[:, None]).all(axis=2))
+            i, j = np.nonzero(side == 0 if cuts is None else (side == 0) & cuts)
+            on = ((ends[j] >= low[i]) & (ends[j] <= high[i])).all(axis=1)
+            i, j = i[on], j[on]
             points.append(ends[j])
             whose.append(i)
         p, k = np.concatenate(points).astype(float), np.concatenate(whose)
+        if cuts is not None:  # edges along each other are cut at the same points, so that their pieces are the same
+            i, j = np.nonzero((to_a == 0) & (to_b == 0) & cuts & ~np.eye(len(xy), dtype=bool))
+            order, starts = np.argsort(k, kind="stable"), np.searchsorted(np.sort(k), np.arange(len(xy) + 1))
+            many = starts[i + 1] - starts[i]
+            of = np.repeat(np.arange(len(i)), many)
+            at = order[starts[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
+            on = ((p[at] >= low[j[of]]) & (p[at] <= high[j[of]])).all(axis=1)
+            p, k = np.concatenate([p, p[at[on]]]), np.concatenate([k, j[of[on]]])
         inside = (p[:, 0] >= self.x0) & (p[:, 0] <= self.x1) & (p[:, 1] >= self.y0) & (p[:, 1] <= self.y1)
         p, k = p[inside], k[inside]
         along = ((p - a[k]) * d[k]).sum(axis=1)
@@ -161,17 +187,22 @@ class Cell:
         """Area in common, of each of some areas and each of some others, as far as this cell adds to it."""
         return (self.below[:, left] * self.weight[:, None]).T @ self.below[:, right].astype(float) - (self.above[:, left] * self.weight[:, None]).T @ self.above[:, right].astype(float)
 
-    def touch(self) -> np.ndarray:
-        """(areas, areas): some piece or its ends belong to both."""
+    def touch(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """(left, right): some piece or its ends belong to both."""
         on = (self.above | self.below | self.owns).astype(float)
+        if self.cuts is not None:  # of areas that do not cut a piece nothing is known at its ends
+            on *= self.owns.astype(float) @ self.cuts > 0
         ends, at = np.unique(np.concatenate([self.pieces[:, :2], self.pieces[:, 2:]]), axis=0, return_inverse=True)
         nodes = np.zeros((len(ends), on.shape[1]))
         np.maximum.at(nodes, at.reshape(-1), np.concatenate([on, on]))
-        return nodes.T @ nodes > 0
+        return nodes[:, left].T @ nodes[:, right] > 0
 
 
-def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel, schema: str) -> DataFrame:
-    """What ``kernel`` makes of every cell: its rows are edges and, with x1 NULL, areas that hold the corner."""
+def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel, schema: str, wanted=None) -> DataFrame:
+    """What ``kernel`` makes of every cell: its rows are edges and, with x1 NULL, areas that hold the corner.
+
+    wanted: of the edges by cell, where corners are looked up; else in every cell.
+    """
     out, rest, parents = None, of, None
     while True:
         dealt = _dealt(of, size)
@@ -184,7 +215,7 @@ def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel,
         some = not full.isEmpty()
         cells = (counts.join(full, [*group, "row", "column"], "left_anti") if some else counts).drop("n")
         mine = dealt.join(cells, [*group, "row", "column"], "left_semi") if some else dealt
-        corners = _corners(of, cells, size, [*group, *(a for a in area if a not in group)])
+        corners = _corners(of, wanted(mine) if wanted else [cells], size, [*group, *(a for a in area if a not in group)])
         names = [*group, "row", "column", *(a for a in area if a not in group), "x1", "y1", "x2", "y2"]
         rows = mine.select(*names).unionByName(corners, allowMissingColumns=True).select(*names, F.lit(size).alias("size"))
         made = rows.groupBy(*group, "row", "column").applyInArrow(kernel, schema)
@@ -194,15 +225,15 @@ def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel,
         parents, size = full, size // SPLIT
 
 
-def _cell_of(table: pa.Table, names: np.ndarray) -> Cell:
-    """names: which area each row is of, as numbers from 0 on."""
+def _cell_of(table: pa.Table, names: np.ndarray, cuts: np.ndarray | None = None) -> Cell:
+    """names: which area each row is of, as numbers from 0 on; cuts: the edges of which areas cut which."""
     known = np.asarray(table.column("x1").is_valid())
     xy = np.stack([np.asarray(table.column(c).filter(pa.array(known))) for c in ("x1", "y1", "x2", "y2")], axis=1).astype(np.int64)
     n = int(names.max(initial=-1)) + 1
     corner = np.zeros(n, np.int64)
     np.add.at(corner, names[~known], 1)
     row, column, size = (table.column(c)[0].as_py() for c in ("row", "column", "size"))
-    return Cell(xy, names[known], n, corner, row, column, size)
+    return Cell(xy, names[known], n, corner, row, column, size, cuts)
 
 
 def _codes(table: pa.Table, *columns: str) -> tuple[np.ndarray, list[tuple]]:
@@ -222,15 +253,18 @@ def meeting(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.0
 
     def kernel(table: pa.Table) -> pa.Table:
         codes, names = _codes(table, "side", "area")
-        cell = _cell_of(table, codes)
         sides = np.array([n[0] for n in names])
         l, r = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        i, j = np.nonzero(cell.touch()[np.ix_(l, r)])
-        value = cell.common(l, r)[i, j] * area
+        if len(l) and len(r):
+            cell = _cell_of(table, codes, (sides[:, None] != sides) | np.eye(len(sides), dtype=bool))
+            i, j = np.nonzero(cell.touch(l, r))
+            value = cell.common(l, r)[i, j] * area
+        else:
+            i = j = value = np.zeros(0, np.int64)
         return pa.table([pa.array([names[k][1] for k in l[i]], pa.int64()), pa.array([names[k][1] for k in r[j]], pa.int64()), pa.array(value, pa.float64())], ["a", "b", "common"])
 
     both = stored(_two(left, right, a, b, unit), "edges")
-    found = _cells(both, size, [], ["side", "area"], kernel, "a long, b long, common double")
+    found = _cells(both, size, [], ["side", "area"], kernel, "a long, b long, common double", _of_interest)
     return found.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.greatest(F.sum("common"), F.lit(0.0)).alias("common"))
 
 

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from gridloom.operators import overlay
@@ -111,3 +112,28 @@ def test_empty(spark):
     assert overlay.meeting(none, some.withColumnRenamed("area", "other"), "area", "other", 1.0).count() == 0
     assert overlay.union(none, "area", "team", 1.0).count() == 0
     assert overlay.covered(some, none.withColumnRenamed("area", "other"), "area", "other", 1.0).collect()[0].covered == 0.0
+
+
+def test_areas_of_one_table_do_not_cut_each_other():
+    """A hundred boxes that all cross each other, and one box of the other table across them."""
+    many = [(i, i, i + 200, i) for i in range(100)] + [(i, i, i, i + 200) for i in range(100)]
+    xy, area = np.array([*many, (150, 250, 160, 250)]), np.array([*range(100), *range(100), 100])
+    side = np.array([0] * 100 + [1])
+    cell = overlay.Cell(xy, area, 101, np.zeros(101, int), 0, 0, 512, (side[:, None] != side) | np.eye(101, dtype=bool))
+    assert len(cell.pieces) == len(xy)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cut_only_across(seed):
+    """Shapes on a small grid, many with borders along each other: as when all edges are cut, and as swept."""
+    r, many = random.Random(seed), []
+    for _ in range(6):
+        x, y, w, h, kind = r.randint(0, 12), r.randint(0, 12), r.randint(1, 8), r.randint(1, 8), r.random()
+        many.append([box(x, y, x + w, y + h)] if kind < 0.6 else [box(x, y, x + 6, y + 6), box(x + 2, y + 2, x + 4, y + 4)] if kind < 0.8 else [[(x, y), (x + w, y), (x, y + h)]])
+    edges = [(*min(p, q), *max(p, q), k) for k, rings in enumerate(many) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    xy, area, side = np.array([e[:4] for e in edges]).astype(int), np.array([e[4] for e in edges]), np.arange(6) % 2
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    cell = overlay.Cell(xy, area, 6, np.zeros(6, int), 0, 0, 64, (side[:, None] != side) | np.eye(6, dtype=bool))
+    assert (cell.touch(left, right) == overlay.Cell(xy, area, 6, np.zeros(6, int), 0, 0, 64).touch(left, right)).all()
+    want = [[swept([many[i], many[j]], all) for j in right] for i in left]
+    assert cell.common(left, right) == pytest.approx(np.array(want), abs=1e-2)
