@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance, ring_contains
 from ..storage import stored
+from . import held
 
 
 def cell(value: Column, size: float) -> Column:
@@ -70,28 +71,39 @@ def within_distance(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str,
     return left.join(right, ["_cx", "_cy", *keys]).withColumn("dist", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """a_id, b_id and dist of the nearest b (with the same keys) of each a, ties to the lesser b_id.
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, radius: float, bounded: bool = False, keys: tuple[str, ...] = (), most: int = 1, held_points: int = held.HELD_POINTS) -> DataFrame:
+    """a_id, b_id and dist of the nearest b (with the same keys) of each a (a row an id), ties to the lesser b_id.
 
-    Looks within ``radius`` and, unless bounded, doubles the reach for rows that found nothing; a row found within the
-    reach can have no nearer one beyond it.  Bounded: rows without one get NULLs.  Rows whose keys no b has drop out, and
-    so do those without a place.
+    Bounded: only within ``radius``; rows without one get NULLs.  Rows whose keys no b has drop out, and so do those
+    without a place.  Few points b (``held_points``, counted first) are sent to the tasks (``held``).  Of more, those in
+    reach are looked through by cells; the first reach is such that a cell has few, and it doubles for rows that found
+    nothing; a row found within the reach can have no nearer one beyond it.
+    most: so many of the nearest, only where bounded.
     """
+    if most > 1 and not bounded:
+        raise ValueError("several of the nearest only within a radius")
     known = lambda x, y: (F.col(x) - F.col(x) == 0) & (F.col(y) - F.col(y) == 0)
     b = b.where(known("bx", "by"))
-    left, found, reach = a.where(known("ax", "ay")), None, radius
+    low, high = (lambda c: F.min(c).alias(f"{c}1")), (lambda c: F.max(c).alias(f"{c}2"))
+    own = b.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*keys)).alias("kinds") if keys else F.lit(1).alias("kinds"), low("bx"), high("bx"), low("by"), high("by")).first()
+    if own["n"] <= held_points:
+        return held.nearest(a, b, a_id, b_id, radius if bounded else float("inf"), keys, most, bounded)
+    wide, each = max(own["bx2"] - own["bx1"], own["by2"] - own["by1"]), own["n"] / own["kinds"] / most
+    left, found, reach = a.where(known("ax", "ay")), None, min(radius, wide / each**0.5 or radius)
     if keys and not bounded:
         left = left.join(b.select(*keys).distinct(), [*keys], "left_semi")
     while True:
-        pairs = within_distance(left, b, reach, keys).groupBy(a_id).agg(F.min(F.struct("dist", b_id)).alias("_best"))
-        got = pairs.select(a_id, F.col(f"_best.{b_id}").alias(b_id), F.col("_best.dist").alias("dist"))
-        if bounded:
-            return a.select(a_id).join(got, a_id, "left")
-        got = stored(got, "nearest")
+        last = bounded and reach >= radius
+        pairs = within_distance(left, b, min(reach, radius) if bounded else reach, keys).groupBy(a_id)
+        best = F.array(F.min(F.struct("dist", b_id))) if most == 1 else F.slice(F.array_sort(F.collect_list(F.struct("dist", b_id))), 1, most)
+        got = pairs.agg(best.alias("_all")).where(F.lit(last) | (F.size("_all") >= most)).select(a_id, F.explode("_all").alias("_best"))
+        got = stored(got.select(a_id, F.col(f"_best.{b_id}").alias(b_id), F.col("_best.dist").alias("dist")), "nearest")
         found = got if found is None else found.union(got)
+        if last:
+            return a.select(a_id).join(found, a_id, "left")
         left = stored(left.join(got, a_id, "left_anti"), "unplaced")
-        if left.isEmpty() or b.isEmpty():
-            return found
+        if left.isEmpty():
+            return a.select(a_id).join(found, a_id, "left") if bounded else found
         reach *= 2
 
 
