@@ -69,9 +69,8 @@ def intermodal(cities: DataFrame, areas: DataFrame, facilities: DataFrame, city:
     """src, dst and confidence: each city and its nearest area both ways, and its nearest facilities within 5 km."""
     near = spatial.nearest(cities, areas, city, area, FACILITY_METRES)
     to = near.select(F.col(city).cast("string").alias("src"), F.col(area).cast("string").alias("dst"), F.lit(CITY_LINK).alias("confidence"))
-    close = spatial.within_distance(cities, facilities, FACILITY_METRES)
-    few = close.groupBy(city).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", facility))), 1, FACILITIES).alias("f")).select(F.col(city).cast("string").alias("src"), F.explode("f").alias("f"))
-    return to.union(to.select("dst", "src", "confidence")).union(few.select("src", F.col(f"f.{facility}").cast("string"), F.lit(FACILITY_LINK)))
+    few = spatial.nearest(cities, facilities, city, facility, FACILITY_METRES, bounded=True, most=FACILITIES).where("dist is not null")
+    return to.union(to.select("dst", "src", "confidence")).union(few.select(F.col(city).cast("string"), F.col(facility).cast("string"), F.lit(FACILITY_LINK)))
 
 
 def affects(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float, float, float, float] = (-68.5, 16.8, -64.0, 19.5)) -> Column:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gridloom.operators import spatial
+from gridloom.operators import build, spatial
 
 SCHEMA = "{0}_id long, {0}x double, {0}y double, k int"
 
@@ -42,3 +42,13 @@ def test_nearest_of_none(spark):
     _, _, left, right = tables(spark, 1)
     assert spatial.nearest(left, right.limit(0), "a_id", "b_id", 3.0).count() == 0
     assert spatial.nearest(left, right.limit(0), "a_id", "b_id", 3.0, bounded=True).where("b_id is null").count() == left.count()
+
+
+def test_intermodal_takes_the_first_of_many_facilities(spark):
+    """Thousands of facilities around each city, many equally far: five each, ties by name."""
+    cities = spark.createDataFrame([("s1", 0.0, 0.0), ("s2", 900.0, 900.0), ("s3", 90000.0, 0.0)], "city string, ax double, ay double")
+    places = [(i, float(i % 31), float(i // 31)) for i in range(1000)]
+    areas = spark.createDataFrame(places, "id long, bx double, by double").selectExpr("id", "bx", "by", "'f' || id as facility")
+    got = {(r.src, r.dst) for r in build.intermodal(cities, areas, areas, "city", "id", "facility").where("confidence = 0.7D").collect()}
+    far = lambda x, y, p: math.sqrt((x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]))
+    assert got == {(s, f) for s, x, y in (("s1", 0.0, 0.0), ("s2", 900.0, 900.0)) for _, f in sorted((far(x, y, p), f"f{p[0]}") for p in places)[:5]}
