@@ -19,9 +19,12 @@ about each other cross freely, so pieces do not grow with the square of how dens
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -101,7 +104,8 @@ class Cell:
     def __init__(self, xy: np.ndarray, area: np.ndarray, n_areas: int, corner: np.ndarray, row: int, column: int, size: int, cuts: np.ndarray | None = None) -> None:
         self.x0, self.y0 = column * size - 0.5, row * size - 0.5
         self.x1, self.y1, self.cuts = self.x0 + size, self.y0 + size, cuts
-        e, at = self._cut(xy, None if cuts is None else cuts[np.ix_(area, area)])
+        which = ~np.eye(len(xy), dtype=bool) if cuts is None else cuts[np.ix_(area, area)] & ~np.eye(len(xy), dtype=bool)
+        e, at = _cut(xy, *np.nonzero(which), (self.x0, self.y0, self.x1, self.y1))
         pieces, self.of = np.unique(e, axis=0, return_inverse=True) if len(e) else (np.zeros((0, 4)), np.zeros(0, int))
         self.of = self.of.reshape(-1)
         self.pieces = pieces
@@ -131,58 +135,6 @@ class Cell:
         #: Twice the area below a piece and above y = 0, as it is added where the area is below.
         self.weight = (pieces[:, 1] + pieces[:, 3]) / 2 * (pieces[:, 2] - pieces[:, 0])
 
-    def _cut(self, xy: np.ndarray, cuts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces within the cell, and the edge of each; cuts: which edges cut which (all, if None)."""
-        a, b = xy[:, :2], xy[:, 2:]
-        d = b - a
-        points, whose = [a, b], [np.arange(len(xy))] * 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for line in (self.x0, self.x1):
-                hit = np.flatnonzero((a[:, 0] < line) & (line < b[:, 0]))
-                y = a[hit, 1] + (line - a[hit, 0]) * d[hit, 1] / d[hit, 0]
-                points.append(np.stack([np.full(len(hit), line), np.rint(y * FINE) / FINE], axis=1))
-                whose.append(hit)
-            for line in (self.y0, self.y1):
-                hit = np.flatnonzero((np.minimum(a[:, 1], b[:, 1]) < line) & (line < np.maximum(a[:, 1], b[:, 1])))
-                x = a[hit, 0] + (line - a[hit, 1]) * d[hit, 0] / d[hit, 1]
-                points.append(np.stack([np.rint(x * FINE) / FINE, np.full(len(hit), line)], axis=1))
-                whose.append(hit)
-        cross = lambda p, q: p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
-        to_a, to_b = cross(d[:, None], a[None] - a[:, None]), cross(d[:, None], b[None] - a[:, None])  # of edge i: ends of edge j
-        apart = np.sign(to_a) * np.sign(to_b) < 0
-        met = apart & apart.T
-        i, j = np.nonzero(np.triu(met if cuts is None else met & cuts, 1))
-        t = to_a.T[i, j] / (to_a.T[i, j] - to_b.T[i, j])
-        p = np.rint((a[i] + d[i] * t[:, None]) * FINE) / FINE
-        points += [p, p]
-        whose += [i, j]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        for ends, side in ((a, to_a), (b, to_b)):
-            i, j = np.nonzero(side == 0 if cuts is None else (side == 0) & cuts)
-            on = ((ends[j] >= low[i]) & (ends[j] <= high[i])).all(axis=1)
-            i, j = i[on], j[on]
-            points.append(ends[j])
-            whose.append(i)
-        p, k = np.concatenate(points).astype(float), np.concatenate(whose)
-        if cuts is not None:  # edges along each other are cut at the same points, so that their pieces are the same
-            i, j = np.nonzero((to_a == 0) & (to_b == 0) & cuts & ~np.eye(len(xy), dtype=bool))
-            order, starts = np.argsort(k, kind="stable"), np.searchsorted(np.sort(k), np.arange(len(xy) + 1))
-            many = starts[i + 1] - starts[i]
-            of = np.repeat(np.arange(len(i)), many)
-            at = order[starts[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
-            on = ((p[at] >= low[j[of]]) & (p[at] <= high[j[of]])).all(axis=1)
-            p, k = np.concatenate([p, p[at[on]]]), np.concatenate([k, j[of[on]]])
-        inside = (p[:, 0] >= self.x0) & (p[:, 0] <= self.x1) & (p[:, 1] >= self.y0) & (p[:, 1] <= self.y1)
-        p, k = p[inside], k[inside]
-        along = ((p - a[k]) * d[k]).sum(axis=1)
-        order = np.lexsort((along, k))
-        p, k = p[order], k[order]
-        joined = (k[1:] == k[:-1]) & (p[1:] != p[:-1]).any(axis=1)
-        e = np.concatenate([p[:-1], p[1:]], axis=1)[joined]
-        turned = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
-        e[turned] = e[turned][:, [2, 3, 0, 1]]
-        return e, k[:-1][joined]
-
     def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Area in common, of each of some areas and each of some others, as far as this cell adds to it."""
         return (self.below[:, left] * self.weight[:, None]).T @ self.below[:, right].astype(float) - (self.above[:, left] * self.weight[:, None]).T @ self.above[:, right].astype(float)
@@ -198,10 +150,190 @@ class Cell:
         return nodes[:, left].T @ nodes[:, right] > 0
 
 
-def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel, schema: str, wanted=None) -> DataFrame:
+def _cut(xy: np.ndarray, i: np.ndarray, j: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces within a box, and the edge of each; edge i is cut by edge j, and j by i (both stand in the pairs)."""
+    a, b = xy[:, :2], xy[:, 2:]
+    d, (x0, y0, x1, y1) = b - a, box
+    points, whose = [a, b], [np.arange(len(xy))] * 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for line in (x0, x1):
+            hit = np.flatnonzero((a[:, 0] < line) & (line < b[:, 0]))
+            y = a[hit, 1] + (line - a[hit, 0]) * d[hit, 1] / d[hit, 0]
+            points.append(np.stack([np.full(len(hit), line), np.rint(y * FINE) / FINE], axis=1))
+            whose.append(hit)
+        for line in (y0, y1):
+            hit = np.flatnonzero((np.minimum(a[:, 1], b[:, 1]) < line) & (line < np.maximum(a[:, 1], b[:, 1])))
+            x = a[hit, 0] + (line - a[hit, 1]) * d[hit, 0] / d[hit, 1]
+            points.append(np.stack([np.rint(x * FINE) / FINE, np.full(len(hit), line)], axis=1))
+            whose.append(hit)
+    side = lambda i, p: d[i, 0] * (p[:, 1] - a[i, 1]) - d[i, 1] * (p[:, 0] - a[i, 0])
+    to_a, to_b = side(i, a[j]), side(i, b[j])  # of edge i: ends of edge j
+    met = np.flatnonzero((i < j) & (np.sign(to_a) * np.sign(to_b) < 0))
+    from_a, from_b = side(j[met], a[i[met]]), side(j[met], b[i[met]])
+    both = np.sign(from_a) * np.sign(from_b) < 0
+    k, t = met[both], from_a[both] / (from_a[both] - from_b[both])
+    p = np.rint((a[i[k]] + d[i[k]] * t[:, None]) * FINE) / FINE
+    points += [p, p]
+    whose += [i[k], j[k]]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    for ends, off in ((a, to_a), (b, to_b)):
+        k = np.flatnonzero(off == 0)
+        k = k[((ends[j[k]] >= low[i[k]]) & (ends[j[k]] <= high[i[k]])).all(axis=1)]
+        points.append(ends[j[k]])
+        whose.append(i[k])
+    p, k = np.concatenate(points).astype(float), np.concatenate(whose)
+    along = np.flatnonzero((to_a == 0) & (to_b == 0))
+    if len(along):  # edges along each other are cut at the same points, so that their pieces are the same
+        i, j = i[along], j[along]
+        order, starts = np.argsort(k, kind="stable"), np.searchsorted(np.sort(k), np.arange(len(xy) + 1))
+        many = starts[i + 1] - starts[i]
+        of = np.repeat(np.arange(len(i)), many)
+        at = order[starts[i][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
+        on = ((p[at] >= low[j[of]]) & (p[at] <= high[j[of]])).all(axis=1)
+        p, k = np.concatenate([p, p[at[on]]]), np.concatenate([k, j[of[on]]])
+    inside = (p[:, 0] >= x0) & (p[:, 0] <= x1) & (p[:, 1] >= y0) & (p[:, 1] <= y1)
+    p, k = p[inside], k[inside]
+    order = np.lexsort((((p - a[k]) * d[k]).sum(axis=1), k))
+    p, k = p[order], k[order]
+    joined = (k[1:] == k[:-1]) & (p[1:] != p[:-1]).any(axis=1)
+    e = np.concatenate([p[:-1], p[1:]], axis=1)[joined]
+    turned = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    e[turned] = e[turned][:, [2, 3, 0, 1]]
+    return e, k[:-1][joined]
+
+
+def _each_with(of: np.ndarray, starts: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every i with each number of the range that ``of[i]`` has."""
+    i = np.repeat(np.arange(len(of)), many[of])
+    return i, starts[of][i] + np.arange(len(i)) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
+
+
+def _signed(xy: np.ndarray, area: np.ndarray, n_areas: int, corner: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (not upright), the area of each, 1 where it lies below the piece and -1 where above, and whether it is of the cell's lower border.
+
+    Each area is looked at alone.  With the stretches of the lower border that lie in an area, at any place in the cell the area is
+    there if minus the sum over the pieces below the place is 1.
+    """
+    order = np.argsort(area, kind="stable")
+    xy, area = xy[order], area[order]
+    many = np.bincount(area, minlength=n_areas)
+    starts, (x0, y0, x1, _) = np.cumsum(many) - many, box
+    i, j = _each_with(area, starts, many)
+    e, k = _cut(xy, i[i != j], j[i != j], box)
+    of = area[k]
+    by = np.lexsort((*e.T, of))
+    e, k, of = e[by], k[by], of[by]
+    first = np.r_[True, (e[1:] != e[:-1]).any(axis=1) | (of[1:] != of[:-1])][: len(e)]
+    piece = np.cumsum(first) - 1  # an area's edges along each other have the same pieces
+    odd = np.bincount(piece, minlength=0) % 2 == 1
+    p, whose = e[first], of[first]
+    ours, flat = np.unique(piece * len(xy) + k), np.flatnonzero(odd & (p[:, 0] < p[:, 2])) if len(p) else np.zeros(0, int)
+    m, j = _each_with(whose[flat], starts, many)
+    middle = (p[flat, :2] + p[flat, 2:])[m] / 2
+    ax, ay, bx, by = (xy[j, c].astype(float) for c in range(4))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = ay + (middle[:, 0] - ax) * ((by - ay) / (bx - ax))
+        bottom = np.rint((ax + (y0 - ay) * (bx - ax) / (by - ay)) * FINE) / FINE
+    through = (np.minimum(ay, by) < y0) & (y0 < np.maximum(ay, by))
+    before = bottom <= middle[:, 0]
+    lower = np.where(through, np.where(by > ay, before, ~before), np.minimum(ay, by) > y0)
+    code = flat[m] * len(xy) + j
+    on = ours[np.minimum(np.searchsorted(ours, code), max(len(ours) - 1, 0))] == code if len(code) else np.zeros(0, bool)
+    under = (ax <= middle[:, 0]) & (middle[:, 0] < bx) & ~on & lower & (y < middle[:, 1])
+    crossed = under.astype(np.int64) + (through & (bottom >= x0) & before)
+    inside = (np.bincount(m, crossed, len(flat)).astype(np.int64) + corner[whose[flat]]) % 2 == 1
+    ax, ay, bx, by = (xy[:, c].astype(float) for c in range(4))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bottom = np.rint((ax + (y0 - ay) * (bx - ax) / (by - ay)) * FINE) / FINE
+    hit = np.flatnonzero((np.minimum(ay, by) < y0) & (y0 < np.maximum(ay, by)) & (bottom >= x0) & (bottom <= x1))
+    held = np.flatnonzero(corner % 2)
+    where, at = np.r_[area[hit], held], np.r_[bottom[hit], np.full(len(held), x0)]
+    rest = np.flatnonzero(np.bincount(where, minlength=n_areas) % 2)
+    where, at = np.r_[where, rest], np.r_[at, np.full(len(rest), x1)]
+    order = np.lexsort((at, where))
+    where, at = where[order], at[order]
+    base = np.stack([at[0::2], np.full(len(at) // 2, y0), at[1::2], np.full(len(at) // 2, y0)], axis=1)
+    wide = base[:, 0] < base[:, 2]
+    pieces = np.concatenate([p[flat], base[wide]])
+    return pieces, np.r_[whose[flat], where[0::2][wide]], np.r_[np.where(inside, 1.0, -1.0), np.full(wide.sum(), -1.0)], np.r_[np.zeros(len(flat), bool), np.ones(wide.sum(), bool)]
+
+
+class Held:
+    """How many areas of level pieces are at each place of a cell (or whether any is), summed from there to the upper border and from the left."""
+
+    def __init__(self, pieces: np.ndarray, sign: np.ndarray, box: tuple[float, float, float, float], once: bool) -> None:
+        x0, y0, x1, y1 = box
+        self.xs, self.ys = np.unique(np.r_[x0, pieces[:, 0], pieces[:, 2]]), np.unique(np.r_[y0, pieces[:, 1]])
+        v = np.zeros((len(self.xs), len(self.ys)))
+        row = np.searchsorted(self.ys, pieces[:, 1])
+        np.add.at(v, (np.searchsorted(self.xs, pieces[:, 0]), row), -sign)
+        np.add.at(v, (np.searchsorted(self.xs, pieces[:, 2]), row), sign)
+        v = np.rint(v.cumsum(axis=0).cumsum(axis=1))
+        self.v = np.minimum(v, 1.0) if once else v
+        high = (self.v * np.diff(np.r_[self.ys, y1]))[:, ::-1].cumsum(axis=1)[:, ::-1]
+        wide = np.diff(np.r_[self.xs, max(x1, self.xs[-1])])[:, None]
+        before = lambda w: np.concatenate([np.zeros((1, w.shape[1])), (w * wide).cumsum(axis=0)[:-1]])
+        self.high, self.all_high, self.all_v = high, before(high), before(self.v)
+
+    def upto(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Left of x and above y."""
+        i, j = np.searchsorted(self.xs, x, "right") - 1, np.searchsorted(self.ys, y, "right") - 1
+        right, up = x - self.xs[i], y - self.ys[j]
+        return self.all_high[i, j] + right * self.high[i, j] - up * (self.all_v[i, j] + right * self.v[i, j])
+
+    def along(self, x: np.ndarray, top: bool) -> np.ndarray:
+        """Left of x along the upper or lower border."""
+        i, j = np.searchsorted(self.xs, x, "right") - 1, len(self.ys) - 1 if top else 0
+        return self.all_v[i, j] + (x - self.xs[i]) * self.v[i, j]
+
+
+def _above_both(e: np.ndarray, f: np.ndarray, top: float) -> np.ndarray:
+    """(e, f): area above both pieces and below ``top``, as far as they lie over each other."""
+    low, high = np.maximum(e[:, None, 0], f[None, :, 0]), np.minimum(e[:, None, 2], f[None, :, 2])
+    wide = np.maximum(high - low, 0.0)
+    at = lambda p, x: p[..., 1] + (x - p[..., 0]) * ((p[..., 3] - p[..., 1]) / (p[..., 2] - p[..., 0]))
+    e1, e2, f1, f2 = at(e[:, None], low), at(e[:, None], high), at(f[None], low), at(f[None], high)
+    d1, d2 = e1 - f1, e2 - f2
+    both = np.abs(d1) + np.abs(d2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = np.where(d1 * d2 >= 0, both / 2, (d1 * d1 + d2 * d2) / (2 * both))
+    return wide * (top - (e1 + e2 + f1 + f2) / 4 - apart / 2)
+
+
+def _sums(left, right, n: int, box: tuple[float, float, float, float], once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of each left area: what it has in common with the right ones (summed, or with any of them) in a cell, and as the cell adds to the whole.
+
+    left, right: as ``_signed`` gives them.  The second is the first without what the cell's borders would add, so cells without edges need not be
+    looked at.  Any of them (``once``): of level pieces only.
+    """
+    (e, area, s, base), (f, _, g, floor), (_, y0, _, y1) = left, right, box
+    flat, level = f[:, 1] == f[:, 3], e[:, 1] == e[:, 3]
+    held = Held(f[flat], g[flat], box, once)
+    value = np.zeros(n) + np.bincount(area[level], -s[level] * (held.upto(e[level, 2], e[level, 1]) - held.upto(e[level, 0], e[level, 1])), n)
+    top = np.zeros(n) + np.bincount(area, -s * (held.along(e[:, 2], True) - held.along(e[:, 0], True)), n)
+    bottom = np.bincount(area[base], held.along(e[base, 2], False) - held.along(e[base, 0], False), n)
+    for mine, theirs in ((level, ~flat), (~level, flat), (~level, ~flat)):
+        mine, theirs = np.flatnonzero(mine), np.flatnonzero(theirs)
+        if len(mine) and len(theirs):
+            step = max(1, (1 << 20) // len(theirs))
+            for k in range(0, len(mine), step):
+                some = mine[k : k + step]
+                value += np.bincount(area[some], s[some] * (_above_both(e[some], f[theirs], y1) @ g[theirs]), n)
+    sloped = np.flatnonzero(~flat)
+    if len(sloped):
+        at = np.r_[f[sloped, 0], f[sloped, 2]]
+        order = np.argsort(at, kind="stable")
+        many = np.cumsum(np.r_[-g[sloped], g[sloped]][order])
+        total = np.r_[0.0, np.cumsum(many[:-1] * np.diff(at[order]))]
+        top += np.bincount(area, -s * (np.interp(e[:, 2], at[order], total) - np.interp(e[:, 0], at[order], total)), n)
+    return value, value - y1 * top + y0 * bottom
+
+
+def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel, schema: str, wanted=None, cost: Callable[[int], Column] | None = None) -> DataFrame:
     """What ``kernel`` makes of every cell: its rows are edges and, with x1 NULL, areas that hold the corner.
 
-    wanted: of the edges by cell, where corners are looked up; else in every cell.
+    wanted: of the edges by cell, where corners are looked up; else in every cell.  cost: of a cell of some size, what is held
+    against MOST_EDGES, if not its edges.
     """
     out, rest, parents = None, of, None
     while True:
@@ -210,7 +342,7 @@ def _cells(of: DataFrame, size: int, group: list[str], area: list[str], kernel,
             inside = [F.floor(F.col(c) / SPLIT).cast("long").alias(f"_{c}") for c in ("row", "column")]
             dealt = dealt.select("*", *inside).join(parents.select(*group, F.col("row").alias("_row"), F.col("column").alias("_column")), [*group, "_row", "_column"], "left_semi").drop("_row", "_column")
         dealt = stored(dealt, "dealt")
-        counts = stored(dealt.groupBy(*group, "row", "column").agg(F.count("*").alias("n")), "cells")
+        counts = stored(dealt.groupBy(*group, "row", "column").agg((F.count("*") if cost is None else cost(size)).alias("n")), "cells")
         full = counts.where((F.col("n") > MOST_EDGES) & F.lit(size >= SPLIT and size % SPLIT == 0))
         some = not full.isEmpty()
         cells = (counts.join(full, [*group, "row", "column"], "left_anti") if some else counts).drop("n")
@@ -242,11 +374,100 @@ def _codes(table: pa.Table, *columns: str) -> tuple[np.ndarray, list[tuple]]:
     return np.array([at.setdefault(k, len(at)) for k in keys], np.int64), list(at)
 
 
-def _two(left: DataFrame, right: DataFrame, a: str, b: str, unit: float) -> DataFrame:
+def _two(left: DataFrame, right: DataFrame, a: str, b: str, unit: float, kind: Column | None = None) -> DataFrame:
+    """Edges with their side; kind: of a right area."""
+    if kind is not None:
+        named = lambda df, c, k: df.select(F.struct(F.col(c).alias("area"), k.alias("kind")).alias("named"), "rings")
+        none = F.lit(None).cast(right.select(kind).schema[0].dataType)
+        flat = lambda of, side: of.select("area.*", "x1", "y1", "x2", "y2", F.lit(side).alias("side"))
+        return flat(edges(named(left, a, none), "named", unit), 0).unionByName(flat(edges(named(right, b, kind), "named", unit), 1))
     one, two = edges(left, a, unit), edges(right, b, unit)
     return one.withColumn("side", F.lit(0)).unionByName(two.withColumn("side", F.lit(1)))
 
 
+def _cost(sloped: str, size: int) -> Column:
+    """Of a cell that is summed: how wide its table may be, a fiftieth of its edges, those of the same area with each other, and what sloped edges cost."""
+    many = lambda c: F.count_if(F.expr(c)).cast("double")
+    one, two = (many(f"side = {k} and x1 <> x2 and y1 <> y2") for k in (0, 1))
+    level = F.greatest(F.least(many("side = 1"), F.lit(float(size))) * 0.4, F.count("*") / 50.0, F.count("*") / F.sqrt(F.approx_count_distinct(F.struct("side", "area")).cast("double")) * 0.3)
+    if sloped == "pairs":
+        return F.greatest(level, F.sqrt(one * many("side = 1") + many("side = 0") * two) * 0.3)
+    return F.when(one + two > 0, F.count("*").cast("double")).otherwise(level)
+
+
+class Side:
+    """The rows of one side of a cell: ids of its areas, xy and area (a number) of edges, how often each area holds the corner."""
+
+    def __init__(self, table: pa.Table, side: int) -> None:
+        mine = table.filter(pa.array(np.asarray(table.column("side")) == side))
+        known = np.asarray(mine.column("x1").is_valid())
+        self.ids, of = np.unique(np.asarray(mine.column("area")), return_inverse=True)
+        self.first = np.unique(of, return_index=True)[1]
+        edges = mine.filter(pa.array(known))
+        self.xy = np.stack([np.asarray(edges.column(c)) for c in ("x1", "y1", "x2", "y2")], axis=1).astype(np.int64).reshape(-1, 4)
+        self.area, self.corner, self.rows = of[known], np.bincount(of[~known], minlength=len(self.ids)), mine
+
+    def signed(self, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return _signed(self.xy, self.area, len(self.ids), self.corner, box)
+
+
+def _box_of(table: pa.Table) -> tuple[float, float, float, float]:
+    row, column, size = (table.column(c)[0].as_py() for c in ("row", "column", "size"))
+    return column * size - 0.5, row * size - 0.5, (column + 1) * size - 0.5, (row + 1) * size - 0.5
+
+
+def _meet(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of some edges have a point in common with any of some others."""
+    out, step = np.zeros(len(one), bool), max(1, (1 << 20) // max(1, len(two)))
+    low, high = np.minimum(two[:, :2], two[:, 2:]), np.maximum(two[:, :2], two[:, 2:])
+    side = lambda e, p: (e[:, 2] - e[:, 0]) * (p[:, 1] - e[:, 1]) - (e[:, 3] - e[:, 1]) * (p[:, 0] - e[:, 0])
+    for k in range(0, len(one), step):
+        e = one[k : k + step]
+        near = (np.minimum(e[:, :2], e[:, 2:])[:, None] <= high).all(axis=2) & (np.maximum(e[:, :2], e[:, 2:])[:, None] >= low).all(axis=2)
+        i, j = np.nonzero(near)
+        p, q = e[i], two[j]
+        met = (np.sign(side(p, q[:, :2])) * np.sign(side(p, q[:, 2:])) <= 0) & (np.sign(side(q, p[:, :2])) * np.sign(side(q, p[:, 2:])) <= 0)
+        out[k + i[met]] = True
+    return out
+
+
+def shared(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.01, size: int = 1 << 16, kind: str | None = None) -> DataFrame:
+    """a, kind and common: what each left area has in common with the right areas of each kind (a column of theirs), each area counted.
+
+    There is no row for a pair.  Kinds that an area only touches have 0; of these, only the greatest is sure to be listed.
+    Without kinds all right areas are of one, and what is only touched has no row.  ids: whole numbers.
+    """
+    area = unit * unit
+    both = stored(_two(left, right, a, b, unit, F.col(kind) if kind else F.lit(0)), "edges")
+    of_kind = both.schema["kind"].dataType.simpleString()
+
+    def kernel(table: pa.Table) -> pa.Table:
+        one, two, box = Side(table, 0), Side(table, 1), _box_of(table)
+        kinds = two.rows.column("kind").combine_chunks()
+        found, least = [(np.zeros(0, np.int64), [], np.zeros(0), np.zeros(0, bool))], max(1e-6, 1e-12 * (box[2] - box[0]) ** 2 * len(two.ids))  # what rounding may leave
+        if len(one.ids) and len(two.ids):
+            mine, (f, of, g, floor) = one.signed(box), two.signed(box)
+            names = kinds.take(pa.array(two.first)).to_pylist()
+            open_ = np.ones(len(one.ids), bool)
+            for name in sorted(set(names), key=lambda k: (k is not None, k), reverse=True):
+                own = np.array([k == name for k in names])
+                some = own[of]
+                value, adds = _sums(mine, (f[some], of[some], g[some], floor[some]), len(one.ids), box)
+                there = value > least
+                if kind:
+                    asked = np.flatnonzero((open_ & ~there)[one.area])
+                    there[one.area[asked[_meet(one.xy[asked], two.xy[own[two.area]])]]] = True
+                    open_ &= ~there
+                at = np.flatnonzero(there | (adds != 0))
+                found.append((one.ids[at], [name] * len(at), adds[at] * area, there[at]))
+        ids, names, values, there = zip(*found, strict=True)
+        return pa.table([pa.array(np.concatenate(ids)), pa.array([n for x in names for n in x], kinds.type), pa.array(np.concatenate(values)), pa.array(np.concatenate(there))], ["a", "kind", "common", "there"])
+
+    found = _cells(both, size, [], ["side", "area", "kind"], kernel, f"a long, kind {of_kind}, common double, there boolean", _of_interest, partial(_cost, "pairs"))
+    sums = found.groupBy(F.col("a").alias(a), *([F.col("kind").alias(kind)] if kind else [])).agg(F.greatest(F.sum("common"), F.lit(0.0)).alias("common"), F.bool_or("there").alias("_there"))
+    return sums.where("_there").drop("_there")
+
+
 def meeting(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.01, size: int = 1 << 16) -> DataFrame:
     """a, b and common (area; 0 where they only touch) of areas of two tables that meet.  ids: whole numbers."""
     area = unit * unit
@@ -273,17 +494,24 @@ def covered(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.0
     scale = unit * unit
 
     def kernel(table: pa.Table) -> pa.Table:
-        codes, names = _codes(table, "side", "area")
-        cell = _cell_of(table, codes)
-        sides = np.array([n[0] for n in names])
-        l, r = np.flatnonzero(sides == 0), sides == 1
-        below, above = cell.below[:, r].any(axis=1), cell.above[:, r].any(axis=1)
-        own = cell.weight @ cell.below[:, l] - cell.weight @ cell.above[:, l]
-        both = cell.weight @ (cell.below[:, l] & below[:, None]) - cell.weight @ (cell.above[:, l] & above[:, None])
-        return pa.table([pa.array([names[k][1] for k in l], pa.int64()), pa.array(own * scale, pa.float64()), pa.array(both * scale, pa.float64())], ["a", "area", "covered"])
+        one, two, box = Side(table, 0), Side(table, 1), _box_of(table)
+        n, m = len(one.ids), len(two.ids)
+        xy = np.concatenate([one.xy, two.xy])
+        if ((xy[:, 0] != xy[:, 2]) & (xy[:, 1] != xy[:, 3])).any():
+            left = np.arange(n + m) < n
+            row, column, size = (table.column(c)[0].as_py() for c in ("row", "column", "size"))
+            cell = Cell(xy, np.r_[one.area, n + two.area], n + m, np.r_[one.corner, two.corner], row, column, size, ~(left[:, None] & left) | np.eye(n + m, dtype=bool))
+            below, above = cell.below[:, n:].any(axis=1), cell.above[:, n:].any(axis=1)
+            own = cell.weight @ cell.below[:, :n] - cell.weight @ cell.above[:, :n]
+            both = cell.weight @ (cell.below[:, :n] & below[:, None]) - cell.weight @ (cell.above[:, :n] & above[:, None])
+        else:
+            mine = e, of, s, base = one.signed(box)
+            own = np.zeros(n) + np.bincount(of[~base], (s * (e[:, 1] + e[:, 3]) / 2 * (e[:, 2] - e[:, 0]))[~base], n)
+            both = _sums(mine, two.signed(box), n, box, once=True)[1] if m else np.zeros(n)
+        return pa.table([pa.array(one.ids), pa.array(own * scale), pa.array(both * scale)], ["a", "area", "covered"])
 
     both = stored(_two(left, right, a, b, unit), "edges")
-    found = _cells(both, size, [], ["side", "area"], kernel, "a long, area double, covered double")
+    found = _cells(both, size, [], ["side", "area"], kernel, "a long, area double, covered double", _of_interest, partial(_cost, "cells"))
     return found.groupBy(F.col("a").alias(a)).agg(F.sum("area").alias("area"), F.sum("covered").alias("covered"))
 
 

@@ -137,3 +137,24 @@ def test_cut_only_across(seed):
     assert (cell.touch(left, right) == overlay.Cell(xy, area, 6, np.zeros(6, int), 0, 0, 64).touch(left, right)).all()
     want = [[swept([many[i], many[j]], all) for j in right] for i in left]
     assert cell.common(left, right) == pytest.approx(np.array(want), abs=1e-2)
+
+
+def counted(boxes, places):
+    """How many boxes are over each unit square of a 400 x 400 grid, as sums over each place."""
+    grid = np.zeros((400, 400), int)
+    for x1, y1, x2, y2 in boxes:
+        grid[x1:x2, y1:y2] += 1
+    return [(grid[x1:x2, y1:y2].sum(), (grid[x1:x2, y1:y2] > 0).sum()) for x1, y1, x2, y2 in places]
+
+
+def dense(spark, seed, many, sides):
+    r = random.Random(seed)
+    boxes = [(x, y, x + r.randint(*sides), y + r.randint(*sides)) for x, y in ((r.randint(0, 280), r.randint(0, 280)) for _ in range(many))]
+    return boxes, frame(spark, [[box(*b)] for b in boxes], 3)
+
+
+def test_covered_where_areas_lie_densely(spark):
+    """Six hundred plots and five hundred areas, each over many others: without cutting any by any."""
+    (plots, left), (areas, right) = dense(spark, 1, 600, (10, 40)), dense(spark, 2, 500, (20, 110))
+    got = {r["area"]: r[2] for r in overlay.covered(left, right.withColumnRenamed("area", "other"), "area", "other", 1.0, 128).toDF("area", "own", "covered").collect()}
+    assert got == pytest.approx({k: float(v[1]) for k, v in enumerate(counted(areas, plots))})
