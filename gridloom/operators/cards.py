@@ -41,7 +41,7 @@ def flood(shapes: DataFrame, zones: DataFrame, key: str, unit: float = 0.01, siz
     A shape without an area has fraction 0.
     """
     # a zone that a shape only touches counts for its label
-    common = overlay.meeting(shapes.select(key, "rings"), zones.select("zone", "rings"), key, "zone", unit, size).join(zones.select("zone", "label"), "zone")
+    common = overlay.shared(shapes.select(key, "rings"), zones.select("zone", "rings", "label"), key, "zone", unit, size, kind="label")
     sums = common.groupBy(key).agg(F.sum("common").alias("wet"), F.max("label").alias("worst_zone"))
     whole = areas_of(shapes, key)
     share = F.least(F.greatest(F.coalesce(F.try_divide("wet", "whole"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -46,3 +46,13 @@ def test_flood_of_shapes(spark):
     assert {tuple(r) for r in cards.flood(shapes, zones, "area").collect()} == {(1, 0.5, "high", "AE"), (2, 0.0, "minimal", None), (3, 0.0, "minimal", None)}
     halves = spark.createDataFrame([(1, [[(0.0, 0.0), (50.0, 0.0), (50.0, 100.0), (0.0, 100.0)]]), (1, [[(50.0, 0.0), (100.0, 0.0), (100.0, 100.0), (50.0, 100.0)]])], f"area long, rings {POINTS}")
     assert [tuple(r) for r in cards.flood(cards.one_shape(halves, "area"), zones, "area").collect()] == [(1, 0.5, "high", "AE")]
+
+
+def test_flood_of_many_shapes_in_many_zones(spark):
+    """Three hundred shapes under three hundred zones that all overlap; the last label is of a zone that one shape only touches."""
+    square = lambda x, y, n: [[(float(x), float(y)), (float(x + n), float(y)), (float(x + n), float(y + n)), (float(x), float(y + n))]]
+    zones = [(i, "A" if i % 2 else "B", square(i % 20, i // 20, 100)) for i in range(300)] + [(999, "Z", square(140, 50, 10)), (1000, None, square(300, 300, 10))]
+    shapes = [(i, square(30 + i % 17, 30 + i % 13, 20)) for i in range(300)] + [(500, square(130, 50, 10)), (501, square(400, 0, 5)), (502, square(295, 295, 10))]
+    got = {r.area: (r.fraction, r.worst_zone) for r in cards.flood(spark.createDataFrame(shapes, f"area long, rings {POINTS}"), spark.createDataFrame(zones, f"zone long, label string, rings {POINTS}"), "area", 1.0, 64).collect()}
+    assert {got[i] for i in range(300)} == {(1.0, "B")}
+    assert (got[500], got[501], got[502]) == ((0.0, "Z"), (0.0, None), (0.25, None))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import overlay
 
@@ -158,3 +159,23 @@ def test_covered_where_areas_lie_densely(spark):
     (plots, left), (areas, right) = dense(spark, 1, 600, (10, 40)), dense(spark, 2, 500, (20, 110))
     got = {r["area"]: r[2] for r in overlay.covered(left, right.withColumnRenamed("area", "other"), "area", "other", 1.0, 128).toDF("area", "own", "covered").collect()}
     assert got == pytest.approx({k: float(v[1]) for k, v in enumerate(counted(areas, plots))})
+
+
+def test_shared_where_areas_lie_densely(spark):
+    """What plots share with the areas of each kind, summed over those that overlap each other, also by large plots that hold whole cells."""
+    (plots, left), (areas, right) = dense(spark, 3, 300, (10, 40)), dense(spark, 4, 400, (20, 110))
+    wide = [(0, 0, 400, 400), (100, 100, 300, 301)]
+    left = left.unionByName(frame(spark, [[box(*b)] for b in wide]).withColumn("area", F.col("area") + 300))
+    kinds = overlay.shared(left, right.withColumnRenamed("area", "other"), "area", "other", 1.0, 64, kind="team").collect()
+    want = {(k, t): float(v[0]) for t in range(3) for k, v in enumerate(counted(areas[t::3], plots + wide)) if v[0]}
+    assert {(r.area, r.team): r.common for r in kinds if r.common} == pytest.approx(want)
+    assert len(kinds) < 3 * 302 + 1
+
+
+@pytest.mark.parametrize(("seed", "reach", "size"), [(6, 20, 16), (7, 12, 256)])
+def test_shared_of_any_shape(spark, monkeypatch, seed, reach, size):
+    monkeypatch.setattr(overlay, "MOST_EDGES", 12)
+    a, b = shapes(seed, 10, reach), shapes(seed + 50, 10, reach)
+    got = {r.area: r.common for r in overlay.shared(frame(spark, a), frame(spark, b).withColumnRenamed("area", "other"), "area", "other", 1.0, size).collect()}
+    for i in range(10):
+        assert got.get(i, 0.0) == pytest.approx(sum(swept([a[i], b[j]], all) for j in range(10)), abs=1e-2)
