@@ -36,7 +36,7 @@ def flood_shares(sites: DataFrame, zones: DataFrame, unit: float, size: int) ->
 
     sites: site, area_m2, rings; zones: zone (whole numbers), rings.  Sites without an area have 0.
     """
-    common = overlay.meeting(sites.select("site", "rings"), zones.select("zone", "rings"), "site", "zone", unit, size).groupBy("site").agg(F.sum("common").alias("common"))
+    common = overlay.shared(sites.select("site", "rings"), zones.select("zone", "rings"), "site", "zone", unit, size)
     share = F.least(F.coalesce(F.try_divide("common", "area_m2"), F.lit(0.0)), F.lit(1.0))
     return sites.select("site", "area_m2").join(common, "site", "left").select("site", share.alias("flood"))
 
