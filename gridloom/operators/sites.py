@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ordered_total, weighted_blend
+from ..storage import stored
 from . import overlay, spatial
 from .scoring import SITE_WEIGHTS
 
@@ -17,6 +18,9 @@ RANKED = {
     "port_access": ("dist_port", False), "bulk_port_access": ("dist_bulk_port", False), "air_access": ("dist_airport", False), "dev_impact": ("svi", True), "land_value": ("land_per_m2", False),
 }
 
+#: Distinct values of all criteria whose ranks are sent to the tasks: some 10 MB.
+HELD_VALUES = 200_000
+
 
 def nearest_of_kinds(sites: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """site and for each kind of target dist_<kind> and <kind> (its id): one search for all kinds; NULL where there is none.
@@ -63,20 +67,23 @@ def measured(sites: DataFrame, targets: DataFrame, areas: DataFrame, travel: Dat
     return out.withColumn("land_per_m2", F.try_divide(F.col("land"), F.col("area_m2")))
 
 
-def scored(measures: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def scored(measures: DataFrame, weights: dict[str, float] | None = None, held_values: int = HELD_VALUES) -> DataFrame:
     """Adds s_<criterion> (0 to 1, higher is better; NULL where not known) and their composite.
 
     A score is the percent rank among all sites, unknown ones last and counted.  All criteria are ranked by one sort of
-    their distinct values.
+    their distinct values.  At most HELD_VALUES of those (counted) are sent to where the sites are; more are joined.
     """
+    measures = stored(measures, "measures")
     n = measures.count()
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("criterion"), F.col(c).cast("double").alias("value")) for k, (c, _) in RANKED.items())))
     counts = measures.select(each.alias("m")).where("m.value is not null").groupBy("m.criterion", "m.value").agg(F.count("*").alias("_n"))
     ranks = ordered_total(counts, ["criterion"], [F.col("value")], F.col("_n"), "_upto").withColumn("_rank", (F.col("_upto") - F.col("_n")) / F.lit(float(max(1, n - 1))))
+    ranks = stored(ranks.select("criterion", "value", "_rank"), "ranks")
+    sent = F.broadcast if ranks.count() <= held_values else (lambda df: df)
     out = measures
     for name, (column, higher) in RANKED.items():
         one = ranks.where(F.col("criterion") == name).select(F.col("value").alias("_value"), (F.col("_rank") if higher else 1 - F.col("_rank")).alias(f"s_{name}"))
-        out = out.join(one, out[column].cast("double") == one["_value"], "left").drop("_value")
+        out = out.join(sent(one), out[column].cast("double") == one["_value"], "left").drop("_value")
     out = out.withColumn("s_flood_safety", 1 - F.coalesce("flood", F.lit(0.0)))
     return reranked(out, weights)
 

@@ -56,3 +56,11 @@ def test_flood_of_many_shapes_in_many_zones(spark):
     got = {r.area: (r.fraction, r.worst_zone) for r in cards.flood(spark.createDataFrame(shapes, f"area long, rings {POINTS}"), spark.createDataFrame(zones, f"zone long, label string, rings {POINTS}"), "area", 1.0, 64).collect()}
     assert {got[i] for i in range(300)} == {(1.0, "B")}
     assert (got[500], got[501], got[502]) == ((0.0, "Z"), (0.0, None), (0.25, None))
+
+
+def test_scores_with_ranks_sent_and_joined(spark):
+    rows = [(i, *(float(i * k % 17) if i % k else None for k in (2, 3, 5, 7, 11, 13, 4, 6, 9)), i % 5 / 4) for i in range(60)]
+    columns = [c for c, _ in sites.RANKED.values()]
+    df = spark.createDataFrame(rows, f"site long, {', '.join(f'{c} double' for c in columns)}, flood double")
+    sent, joined = ({tuple(r) for r in sites.scored(df, held_values=h).collect()} for h in (sites.HELD_VALUES, 0))
+    assert sent == joined and len(sent) == 60
