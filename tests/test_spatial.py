@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gridloom.operators import build, spatial
+from gridloom.operators import build, network, spatial
 
 SCHEMA = "{0}_id long, {0}x double, {0}y double, k int"
 
@@ -52,3 +52,15 @@ def test_intermodal_takes_the_first_of_many_facilities(spark):
     got = {(r.src, r.dst) for r in build.intermodal(cities, areas, areas, "city", "id", "facility").where("confidence = 0.7D").collect()}
     far = lambda x, y, p: math.sqrt((x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]))
     assert got == {(s, f) for s, x, y in (("s1", 0.0, 0.0), ("s2", 900.0, 900.0)) for _, f in sorted((far(x, y, p), f"f{p[0]}") for p in places)[:5]}
+
+
+def test_connected_points_dealt_out(spark, monkeypatch):
+    """All points lie in one cell of the reach, so the pairs are dealt out by parts; each stands once."""
+    monkeypatch.setattr(network, "BESIDE", 7)
+    places = [(i, float(i * 37 % 100), float(i * 53 % 90)) for i in range(60)]
+    points = spark.createDataFrame(places, "id long, ax double, ay double")
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 90.0)], "line long, x1 double, y1 double, x2 double, y2 double")
+    got = [(r.src, r.dst) for r in network.connects_to(points, lines, "id", reach=60.0).collect()]
+    want = {(a[0], b[0]) for a in places for b in places if a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) <= 60}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert network.connects_to(points.limit(0), lines, "id").count() == 0
