@@ -498,9 +498,8 @@ def covered(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.0
         n, m = len(one.ids), len(two.ids)
         xy = np.concatenate([one.xy, two.xy])
         if ((xy[:, 0] != xy[:, 2]) & (xy[:, 1] != xy[:, 3])).any():
-            left = np.arange(n + m) < n
             row, column, size = (table.column(c)[0].as_py() for c in ("row", "column", "size"))
-            cell = Cell(xy, np.r_[one.area, n + two.area], n + m, np.r_[one.corner, two.corner], row, column, size, ~(left[:, None] & left) | np.eye(n + m, dtype=bool))
+            cell = Cell(xy, np.r_[one.area, n + two.area], n + m, np.r_[one.corner, two.corner], row, column, size)
             below, above = cell.below[:, n:].any(axis=1), cell.above[:, n:].any(axis=1)
             own = cell.weight @ cell.below[:, :n] - cell.weight @ cell.above[:, :n]
             both = cell.weight @ (cell.below[:, :n] & below[:, None]) - cell.weight @ (cell.above[:, :n] & above[:, None])
@@ -511,7 +510,7 @@ def covered(left: DataFrame, right: DataFrame, a: str, b: str, unit: float = 0.0
         return pa.table([pa.array(one.ids), pa.array(own * scale), pa.array(both * scale)], ["a", "area", "covered"])
 
     both = stored(_two(left, right, a, b, unit), "edges")
-    found = _cells(both, size, [], ["side", "area"], kernel, "a long, area double, covered double", _of_interest, partial(_cost, "cells"))
+    found = _cells(both, size, [], ["side", "area"], kernel, "a long, area double, covered double", None, partial(_cost, "cells"))
     return found.groupBy(F.col("a").alias(a)).agg(F.sum("area").alias("area"), F.sum("covered").alias("covered"))
 
 
